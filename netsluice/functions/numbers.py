@@ -45,10 +45,9 @@ def infinite_to_null(c: Column) -> Column:
 def decimal_number(c: Column) -> Column:
     """Decimal text to double, null otherwise; overflow gives infinity.
 
-    The letters of ``1d``, ``1f``, ``0x1`` and of the words for infinity, all of which Spark's
-    cast would take, are blotted out first.
+    Text with a letter of ``1d``, ``1f`` or ``0x1``, forms that only Spark's cast takes, is refused.
     """
-    return F.translate(c, "dDfFxX", "??????").try_cast("double")
+    return F.when(~c.rlike("[dDfFxX]"), c.try_cast("double"))
 
 
 def grouped_number(c: Column) -> Column:
@@ -66,21 +65,16 @@ def parse_number(c: Column) -> Column:
     return F.coalesce(decimal_number(c), special, grouped_number(c))
 
 
-def coerced_text(c: Column, decimal: Column) -> Column:
-    """Text, and its :func:`decimal_number` from an earlier projection, to a finite double.
-
-    Null, placeholders and non-finite values become 0.0; text that is no number gives null.
-    """
+def coerce_number(c: Column, dtype: str) -> Column:
+    """Null, non-finite and placeholder texts become 0.0; other text that is no number gives null."""
+    if dtype != "string":
+        return finite_or(c, 0.0)
+    decimal = decimal_number(c)
     word = F.lower(F.btrim(c, F.lit(WHITESPACE)))
     blank = c.isNull() | decimal.isNotNull() | word.isin(*NOT_A_NUMBER_TEXTS, *SPECIAL_NUMBERS)
     return F.when(F.abs(decimal) < _INFINITY, decimal).when(blank, 0.0).otherwise(grouped_number(c))
 
 
-def coerce_number(c: Column, dtype: str) -> Column:
-    """Null, non-finite and placeholder texts become 0.0; other text that is no number gives null."""
-    return coerced_text(c, decimal_number(c)) if dtype == "string" else finite_or(c, 0.0)
-
-
 def clamp_at_zero(c: Column) -> Column:
     """Negative values become 0; null and NaN are left alone."""
     return F.when(c < 0, F.lit(0.0)).otherwise(c)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsluice import schema
 from netsluice.functions.keys import quoted
 from netsluice.functions.numbers import (
+    NOT_A_NUMBER_TEXTS,
+    SPECIAL_NUMBERS,
     clamp_at_zero,
-    coerced_text,
+    coerce_number,
     decimal_number,
     finite_or,
     infinite_to_null,
     parse_number,
 )
-from netsluice.functions.text import attack_flag, normal_label, snake_key
+from netsluice.functions.text import WHITESPACE, attack_flag, normal_label, snake_key
 
 
 def trim_header(df: DataFrame) -> DataFrame:
@@ -39,10 +43,17 @@ def infinities_to_null(df: DataFrame) -> DataFrame:
 
 
 def clean_label(c: Column) -> Column:
-    """Label text to its normal form; text that is a number or stands for none is ``benign``."""
-    return F.when(parse_number(c).isNotNull(), F.lit("benign")).otherwise(
-        F.when(F.lower(F.trim(c)).isin("none", "null"), F.lit("benign")).otherwise(normal_label(c))
-    )
+    """Label text to its normal form; text that is a number or stands for none is ``benign``.
+
+    Labels of plain words need no more than lower case.
+    """
+    words = F.lower(c)
+    plain = c.rlike("^[A-Za-z][!-~]*( [!-~]+)*$")
+    no_label = words.isin(*NOT_A_NUMBER_TEXTS, *SPECIAL_NUMBERS)
+    full = F.when(
+        parse_number(c).isNotNull() | F.lower(F.trim(c)).isin(*NOT_A_NUMBER_TEXTS), F.lit("benign")
+    ).otherwise(normal_label(c))
+    return F.when(no_label, F.lit("benign")).when(plain, words).otherwise(full)
 
 
 _REFUSED = "array<struct<field:string,text:string>>"
@@ -51,30 +62,37 @@ _REFUSED = "array<struct<field:string,text:string>>"
 def _numbers(df: DataFrame, columns: list[str], keep: list[str], report_refused: bool) -> DataFrame:
     """Flow columns as finite doubles, clamped where they may not be negative.
 
-    Text is read as a number in a projection of its own, so that the rules after it use the
-    parsed value and do not parse again.
+    Every text is cast in one projection. A row whose casts are all finite, told by one sum, is
+    done; only a row with an odd cell has its texts read again under the full rules.
     """
     types = dict(df.dtypes)
     texts = [c for c in columns if types[c] == "string"]
-    parsed = df.select(
+    place = {c: i for i, c in enumerate(texts)}
+    cast = df.select(
         *keep,
-        *[F.col(c) if c in texts else finite_or(F.col(c), 0.0).alias(c) for c in columns],
+        *[F.col(c) if c in place else finite_or(F.col(c), 0.0).alias(c) for c in columns],
         *[decimal_number(F.col(c)).alias(f"_{c}") for c in texts],
     )
-    coerced = parsed.select(
-        *keep,
-        *[coerced_text(F.col(c), F.col(f"_{c}")).alias(c) if c in texts else F.col(c) for c in columns],
-        *([F.col(c).alias(f"_{c}") for c in texts] if report_refused else []),
-    )
-    out = [*keep, *[clamp_at_zero(F.col(c)).alias(c) if c in schema.NON_NEGATIVE_CLEAN else c for c in columns]]
+    # 0 * x is 0 for a finite x, NaN for the others, and null for null
+    check = sum((F.col(f"_{c}") * 0.0 for c in texts), F.lit(0.0))
+    flagged = cast.withColumn("_odd", F.coalesce(F.isnan(check) | check.isNull(), F.lit(True)))
+    read_again = F.transform(F.array(*texts), lambda t: coerce_number(t, "string")) if texts else F.array()
+    reread = flagged.withColumn("_again", F.when(F.col("_odd"), read_again))
+
+    def value(c: str) -> Column:
+        if c not in place:
+            return F.col(c)
+        return F.when(F.col("_odd"), F.get("_again", F.lit(place[c]))).otherwise(F.col(f"_{c}"))
+
+    out = [*keep]
+    for c in columns:
+        out.append((clamp_at_zero(value(c)) if c in schema.NON_NEGATIVE_CLEAN else value(c)).alias(c))
     if report_refused:
-        refused = [
-            F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("field"), F.col(f"_{c}").alias("text")))
-            for c in texts
-        ]
-        listed = F.array_compact(F.array(*refused)) if refused else F.array()
-        out.append(listed.cast(_REFUSED).alias("refused"))
-    return coerced.select(*out)
+        named = F.arrays_zip(F.array(*[F.lit(c) for c in texts]), F.array(*texts), "_again")
+        bad = F.filter(named, lambda z: z["_again"].isNull())
+        listed = F.transform(bad, lambda z: F.struct(z["0"].alias("field"), z["1"].alias("text")))
+        out.append(F.when(F.col("_odd"), listed).otherwise(F.array()).cast(_REFUSED).alias("refused"))
+    return reread.select(*out)
 
 
 def _stamped(df: DataFrame) -> DataFrame:
@@ -97,39 +115,82 @@ def clean_flows(df: DataFrame, report_refused: bool = False) -> DataFrame:
     return _stamped(_numbers(rows, numeric, [*others, "label"], report_refused))
 
 
-def with_normal_keys(df: DataFrame, record: str) -> DataFrame:
-    """Snake-case the keys of a map column; of keys that fall together the last one stays."""
-    others = [c for c in df.columns if c != record]
-    named = df.select(
-        *others,
-        F.transform(F.map_keys(record), snake_key).alias("_keys"),
-        F.map_values(record).alias("_values"),
+_SEPARATOR = "\x01"
+
+
+def _normal_keys(keys: Column, pieces: Column) -> Column:
+    """Snake-cased keys; key by key only where one of them holds the separator."""
+    return F.when(F.size(keys) == 0, keys).when(F.size(pieces) == F.size(keys), pieces).otherwise(
+        F.transform(keys, snake_key)
+    )
+
+
+def _snaked_pieces(keys: Column) -> Column:
+    """All keys joined, so that each string function runs once per record, and split again."""
+    joined = F.concat(F.lit(_SEPARATOR), F.array_join(keys, _SEPARATOR), F.lit(_SEPARATOR))
+    blanks = f"[{WHITESPACE}]*"
+    snaked = F.translate(
+        F.lower(F.regexp_replace(joined, f"{blanks}{_SEPARATOR}{blanks}", _SEPARATOR)), " /-.", "____"
     )
-    keys, values = F.col("_keys"), F.col("_values")
-    entries = F.arrays_zip(keys, values)
+    return F.split(F.substring(snaked, F.lit(2), F.length(snaked) - 2), _SEPARATOR)
+
+
+def _last_of_each_key(keys: Column, values: Column) -> Column:
+    """The map of keys to values; of keys that fall together the last one stays."""
     last_only = F.filter(
-        entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["_keys"])
+        F.arrays_zip(keys, values), lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["_keys"])
     )
     repeated = F.size(F.array_distinct(keys)) < F.size(keys)
-    return named.select(
-        *others,
-        F.when(repeated, F.map_from_entries(last_only)).otherwise(F.map_from_arrays(keys, values)).alias(record),
-    )
+    return F.when(repeated, F.map_from_entries(last_only)).otherwise(F.map_from_arrays(keys, values))
+
 
+def _normal_records(df: DataFrame, record: str, ordered: Column, keep: list[str]) -> DataFrame:
+    """``_values`` and ``_ordered`` for records whose keys are as expected, ``_record`` for the rest."""
+    steps = df.select(*keep, F.map_keys(record).alias("_keys"), F.map_values(record).alias("_values"))
+    steps = steps.select(*keep, "_keys", "_values", F.coalesce(ordered, F.lit(False)).alias("_ordered"))
+    rest = ~F.col("_ordered")
+    steps = steps.withColumn("_pieces", F.when(rest, _snaked_pieces(F.col("_keys"))))
+    steps = steps.withColumn("_keys", F.when(rest, _normal_keys(F.col("_keys"), F.col("_pieces"))))
+    record_map = F.when(rest, _last_of_each_key(F.col("_keys"), F.col("_values")))
+    return steps.select(*keep, "_values", "_ordered", record_map.alias("_record"))
 
-def clean_records(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+
+def with_normal_keys(df: DataFrame, record: str) -> DataFrame:
+    """Snake-case the keys of a map column; of keys that fall together the last one stays."""
+    others = [c for c in df.columns if c != record]
+    return _normal_records(df, record, F.lit(False), others).select(*others, F.col("_record").alias(record))
+
+
+def clean_records(
+    df: DataFrame, value: str = "value", keep: Sequence[str] = (), header: Sequence[str] = tuple(schema.RAW_FIELDS)
+) -> DataFrame:
     """Cleaned flows from JSON text records with free-form keys.
 
     The 78 flow fields come out as doubles: 0.0 where a record lacks the key and null where its
     text is no number. ``extra`` keeps every key outside the flow schema, so no data is lost.
+    Records with exactly the keys of ``header`` in order, the usual case, are read by position;
+    any other record has its keys normalised and looked up.
     """
+    fields = schema.CLEAN_FIELDS
+    if [schema.snake(h) for h in header] != fields:
+        raise ValueError("header is not a spelling of the 79 flow columns")
     parsed = df.select(*keep, F.from_json(F.col(value), "map<string,string>").alias("record"))
-    rows = with_normal_keys(parsed, "record")
-    known = schema.CLEAN_FIELDS
-    texts = rows.select(
+    ordered = (F.col("_keys") == F.array(*[F.lit(h) for h in header])) | (
+        F.col("_keys") == F.array(*[F.lit(f) for f in fields])
+    )
+    records = _normal_records(parsed, "record", ordered, list(keep))
+
+    def text(i: int) -> Column:
+        return F.when(F.col("_ordered"), F.get("_values", F.lit(i))).otherwise(
+            F.element_at("_record", F.lit(fields[i]))
+        )
+
+    others = F.map_filter("_record", lambda k, v: ~k.isin(fields))
+    empty = F.create_map().cast("map<string,string>")
+    texts = records.select(
         *keep,
-        clean_label(F.element_at("record", F.lit("label"))).alias("label"),
-        F.map_filter("record", lambda k, v: ~k.isin(known)).alias("extra"),
-        *[F.element_at("record", F.lit(c)).alias(c) for c in schema.NUMERIC_FIELDS],
+        clean_label(text(len(fields) - 1)).alias("label"),
+        F.when(F.col("_ordered"), empty).otherwise(others).alias("extra"),
+        *[text(i).alias(f) for i, f in enumerate(schema.NUMERIC_FIELDS)],
     )
     return _stamped(_numbers(texts, schema.NUMERIC_FIELDS, [*keep, "label", "extra"], False))
