@@ -30,7 +30,7 @@ def gate_files(
         df = first_rows(
             file_positions(read_raw_flows(spark, paths, with_position=True, **options)), n=first
         ).drop("line")
-    return gate_each(raw_rule_results(raw_numbers(df), by=["source"]), "source")
+    return gate_each(raw_rule_results(df, by=["source"]), "source")
 
 
 def ingest_files(

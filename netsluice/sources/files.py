@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from netsluice import schema
 from netsluice.functions.keys import quoted
-from netsluice.functions.numbers import finite_or, parse_number
+from netsluice.functions.numbers import decimal_number, finite_or
 from netsluice.functions.text import latin1_to_cp1252, trimmed
 
 # --- fixed values: texts that mean "missing" in a raw flow file ---------------------
@@ -93,10 +93,13 @@ def read_raw_flows(
 
 
 def raw_numbers(df: DataFrame) -> DataFrame:
-    """Flow columns of a raw table as doubles; missing and infinite values are null."""
+    """Flow columns of a raw table as doubles; missing, infinite and unreadable values are null.
+
+    Gate the text table first: it still tells unreadable from missing.
+    """
     return df.select(
         [
-            finite_or(parse_number(quoted(c)), None).alias(c)
+            finite_or(decimal_number(quoted(c)), None).alias(c)
             if c in schema.RAW_FIELDS[:-1] and t == "string"
             else quoted(c)
             for c, t in df.dtypes
