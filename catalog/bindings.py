@@ -54,11 +54,11 @@ def raw_flows(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("event_
     """Events as a raw flow table of 79 text columns, with some infinite and negative values."""
     columns = []
     for raw, field in zip(schema.RAW_FIELDS[:-1], schema.NUMERIC_FIELDS):
-        text = F.expr(f"cast({number_sql(field)} as string)")
+        text = f"cast({number_sql(field)} as string)"
         if field == "flow_bytes_s":
-            text = F.when(F.expr("user_id % 50 = 0"), F.lit("Infinity")).otherwise(text)
-        columns.append(text.alias(raw))
-    return table(spark, sf_dir, "events").select(*keep, *columns, F.expr(LABEL).alias("Label"))
+            text = f"if(user_id % 50 = 0, 'Infinity', {text})"
+        columns.append(f"{text} as `{raw}`")
+    return table(spark, sf_dir, "events").selectExpr(*keep, *columns, f"{LABEL} as Label")
 
 
 # --- flow payloads ------------------------------------------------------------------
@@ -74,19 +74,18 @@ def payload_sql(field: str) -> str:
 def json_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON flows. By event_id % 10: 0 lacks idle_std, 1 has a fractional packet count,
     2 has words for a duration, 3 a duration in quotes."""
-    kind = F.expr("event_id % 10")
     fields = []
     for f in schema.FEATURES:
-        text = F.expr(f"cast({payload_sql(f)} as string)")
+        text = f"cast({payload_sql(f)} as string)"
         if f == "idle_std":
-            text = F.when(kind != 0, text)
+            text = f"if(event_id % 10 <> 0, {text}, null)"
         if f == "total_fwd_packets":
-            text = F.when(kind == 1, F.lit("1.5")).otherwise(text)
+            text = f"if(event_id % 10 = 1, '1.5', {text})"
         if f == "flow_duration":
-            text = F.when(kind == 2, F.lit('"abc"')).when(kind == 3, F.lit('"12"')).otherwise(text)
-        fields.append(F.concat(F.lit(f'"{f}": '), text))
-    body = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit(', "tag": "x"}'))
-    return table(spark, sf_dir, "events").select("event_id", "value", "user_id", body.alias("value_text"))
+            text = f"""case event_id % 10 when 2 then '"abc"' when 3 then '"12"' else {text} end"""
+        fields.append(f"""concat('"{f}": ', {text})""")
+    body = f"""concat('{{', concat_ws(', ', {', '.join(fields)}), ', "tag": "x"}}')"""
+    return table(spark, sf_dir, "events").selectExpr("event_id", "value", "user_id", f"{body} as value_text")
 
 
 # --- scored rows --------------------------------------------------------------------

@@ -120,7 +120,7 @@ def clean_flow_table(spark, sf_dir):
 @query("clean_json_records", _CLEANED)
 def clean_json_records(spark, sf_dir):
     raw = raw_flows(spark, sf_dir)
-    records = raw.select("event_id", F.to_json(F.struct(*[F.col(f"`{c}`") for c in schema.RAW_FIELDS])).alias("value"))
+    records = raw.select("event_id", F.expr(f"to_json(struct({', '.join(f'`{c}`' for c in schema.RAW_FIELDS)})) as value"))
     return clean_records(records, keep=("event_id",)).select("event_id", *_SHOWN, "label", "is_attack")
 
 
@@ -235,13 +235,13 @@ def payload_shapes(spark, sf_dir):
 def upload_mapping(spark, sf_dir):
     columns = []
     for f in schema.FEATURES:
-        text = F.expr(f"cast({payload_sql(f)} as string)")
+        text = f"cast({payload_sql(f)} as string)"
         if f == "flow_duration":
-            text = F.when(F.expr("event_id % 4 = 0"), F.lit("n/a")).otherwise(text)
+            text = f"if(event_id % 4 = 0, 'n/a', {text})"
         if f == "idle_std":
-            text = F.lit("Infinity")
-        columns.append(text.alias(" " + f.replace("_", " ").title()))
-    upload = table(spark, sf_dir, "events").select("event_id", *columns)
+            text = "'Infinity'"
+        columns.append(f"{text} as ` {f.replace('_', ' ').title()}`")
+    upload = table(spark, sf_dir, "events").selectExpr("event_id", *columns)
     return upload_to_flows(upload, keep=["event_id"]).select(
         "event_id", "flow_duration", "total_fwd_packets", "idle_std"
     )

@@ -1 +1,145 @@
-"""Queries."""
+"""Classifier quality, training and scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import query, table
+from catalog.bindings import raw_flows
+from netsluice.operators import evaluation
+from netsluice.operators.clean import clean_flows
+from netsluice.operators.detections import batch_summary
+from netsluice.plans.scoring import score_flows
+from netsluice.plans.training import TreeParams, cross_validate, holdout_metrics, pipeline, training_table
+
+# a fixed linear score against the return flag
+_SCORE = "round(0.5 * l_quantity / 50 + 2 * l_discount + l_tax, 2)"
+_JUDGED = f"""select case when l_returnflag = 'R' then 1 else 0 end as label, {_SCORE} as score,
+    case when {_SCORE} > 0.4 then 1 else 0 end as prediction from lineitem"""
+
+
+def _judged(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "if(l_returnflag = 'R', 1, 0) as label", f"{_SCORE} as score", f"if({_SCORE} > 0.4, 1, 0) as prediction"
+    )
+
+
+@query(
+    "confusion",
+    f"select label, prediction, count(*) as rows from ({_JUDGED}) group by label, prediction",
+)
+def confusion(spark, sf_dir):
+    return evaluation.confusion(_judged(spark, sf_dir))
+
+
+_COUNTS = f"""with j as ({_JUDGED}), c as (select
+    cast(count(*) filter (where label = 1 and prediction = 1) as double) as tp,
+    cast(count(*) filter (where label = 0 and prediction = 1) as double) as fp,
+    cast(count(*) filter (where label = 1 and prediction = 0) as double) as fn,
+    cast(count(*) filter (where label = 0 and prediction = 0) as double) as tn from j)"""
+
+
+@query(
+    "binary_metrics",
+    f"""{_COUNTS} select round((tp + tn) / (tp + tn + fp + fn), 9) as accuracy, round(tp / (tp + fp), 9) as precision,
+        round(tp / (tp + fn), 9) as recall, round(2 * tp / (2 * tp + fp + fn), 9) as f1,
+        round(fp / (fp + tn), 9) as false_positive_rate from c""",
+)
+def binary_metrics(spark, sf_dir):
+    found = evaluation.binary_metrics(_judged(spark, sf_dir))
+    return found.select([F.round(c, 9).alias(c) for c in found.columns])
+
+
+@query(
+    "class_report",
+    f"""{_COUNTS}, k as (
+        select '1' as class, tp / (tp + fp) as p, tp / (tp + fn) as r, 2 * tp / (2 * tp + fp + fn) as f, tp + fn as s from c
+        union all
+        select '0', tn / (tn + fn), tn / (tn + fp), 2 * tn / (2 * tn + fn + fp), tn + fp from c),
+    l as (select class, p, r, f, s from k
+        union all select 'macro avg', avg(p), avg(r), avg(f), sum(s) from k
+        union all select 'weighted avg', sum(p * s) / sum(s), sum(r * s) / sum(s), sum(f * s) / sum(s), sum(s) from k
+        union all select 'accuracy', null, null, sum(r * s) / sum(s), sum(s) from k)
+    select class, round(p, 9) as precision, round(r, 9) as recall, round(f, 9) as f1, cast(s as bigint) as support from l""",
+)
+def class_report(spark, sf_dir):
+    found = evaluation.class_report(_judged(spark, sf_dir))
+    return found.select("class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query(
+    "roc_auc",
+    f"""with j as ({_JUDGED}), r as (select label,
+        rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as r from j),
+    s as (select cast(sum(label) as double) as p, cast(sum(1 - label) as double) as n,
+        sum(r) filter (where label = 1) as total from r)
+    select round((total - p * (p + 1) / 2) / (p * n), 9) as auc from s""",
+)
+def roc_auc(spark, sf_dir):
+    return evaluation.roc_auc(_judged(spark, sf_dir)).select(F.round("auc", 9).alias("auc"))
+
+
+def _flows(spark, sf_dir):
+    """Cleaned flows whose attacks last longer, so that there is something to learn."""
+    flows = clean_flows(raw_flows(spark, sf_dir))
+    longer = F.when(F.col("is_attack") == 1, F.col("flow_duration") + 2_000).otherwise(F.col("flow_duration"))
+    return flows.withColumn("flow_duration", longer)
+
+
+_SMALL = TreeParams(trees=3, depth=3)
+
+
+@query("training_metrics")
+def training_metrics(spark, sf_dir):
+    data = training_table(_flows(spark, sf_dir), ["event_id"], folds=2).cache()
+    train = data.where("is_test = 0")
+    metrics = cross_validate(train, _SMALL, 2)
+    metrics |= holdout_metrics(data.where("is_test = 1"), pipeline(_SMALL).fit(train))
+    data.unpersist()
+    rows = [(k, float(v)) for k, v in sorted(metrics.items())]
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
+@query("score_flows")
+def score(spark, sf_dir):
+    flows = _flows(spark, sf_dir)
+    model = pipeline(_SMALL).fit(training_table(flows, ["event_id"], folds=2).where("is_test = 0"))
+    scored = score_flows(flows, model, valid=F.expr("event_id % 50 <> 0"))
+    return scored.select(
+        "event_id", "is_anomaly", "confidence", "ml_confidence_score", "ml_model_version", "scored_ok"
+    )
+
+
+@query(
+    "score_without_model",
+    """select event_id, 'BENIGN' as is_anomaly, 0.0 as confidence, null as ml_confidence_score,
+        '1.0.0' as ml_model_version, false as scored_ok from events""",
+)
+def score_without_model(spark, sf_dir):
+    scored = score_flows(clean_flows(raw_flows(spark, sf_dir)), None)
+    return scored.select(
+        "event_id", "is_anomaly", "confidence", "ml_confidence_score", "ml_model_version", "scored_ok"
+    )
+
+
+@query(
+    "failed_batch_summary",
+    "select count(*) as total_processed, 0 as anomalies_found, count(*) as failed_count from events",
+)
+def failed_batch_summary(spark, sf_dir):
+    return batch_summary(score_flows(clean_flows(raw_flows(spark, sf_dir)), None), scored_ok="scored_ok")
+
+
+@query(
+    "training_split",
+    """with t as (select case when event_type in ('error', 'signup', 'purchase') then 1 else 0 end as is_attack,
+        count(*) as n from events group by 1),
+    s as (select *, n * ceil(sum(n) over () * 0.2) / sum(n) over () as share, ceil(sum(n) over () * 0.2) as total from t),
+    w as (select is_attack, n, floor(share) + case when row_number() over (order by round(share - floor(share), 9) desc,
+        is_attack) <= total - sum(floor(share)) over () then 1 else 0 end as test from s)
+    select is_attack, 1 as is_test, cast(test as bigint) as rows from w
+    union all select is_attack, 0, cast(n - test as bigint) from w""",
+)
+def training_split(spark, sf_dir):
+    data = training_table(clean_flows(raw_flows(spark, sf_dir)), ["event_id"])
+    return data.groupBy("is_attack", "is_test").agg(F.count(F.lit(1)).alias("rows"))

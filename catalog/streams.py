@@ -1 +1,129 @@
-"""Queries."""
+"""Streaming stages over the events table, run until their input is used up."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import query, table
+from catalog.bindings import CLEAN_LABEL, IS_ATTACK, OUTCOME, SCORE, SECONDS, clean_sql, raw_flows
+from catalog.detecting import RATES_SQL, _attack, _time
+from netsluice import schema
+from netsluice.functions.text import signal_value
+from netsluice.session import work_path
+from netsluice.sources.files import export_json_lines
+from netsluice.streaming.rates import keep_history, stream_rates
+from netsluice.streaming.stages import (
+    bounded,
+    cleaned_stream,
+    json_file_stream,
+    run_gated,
+    run_scoring,
+    run_to_table,
+    scored_stream,
+)
+
+
+def _event_stream(spark, sf_dir):
+    fields = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(fields).parquet(f"{sf_dir}/events.parquet*").selectExpr(
+        "event_id", "ts", "user_id", f"{OUTCOME} as is_anomaly", f"cast({SCORE} as double) as confidence",
+        f"cast({SECONDS} as double) as seconds",
+    )
+
+
+def _record_files(spark, sf_dir, good_ports: bool = False):
+    """Events as JSON-lines files of raw flow records."""
+    path = work_path(spark, "records")
+    flows = raw_flows(spark, sf_dir, ())
+    if good_ports:
+        flows = flows.withColumn("Destination Port", F.expr("cast(abs(hash(`Flow Duration`)) % 60000 as string)"))
+    export_json_lines(flows.repartition(4), path)
+    return path
+
+
+_SHOWN = ["flow_duration", "total_fwd_packets", "flow_bytes_s"]
+
+
+@query(
+    "stream_clean",
+    f"""select {', '.join(f'{clean_sql(f)} as {f}' for f in _SHOWN)}, {CLEAN_LABEL} as label,
+        {IS_ATTACK} as is_attack from events""",
+)
+def stream_clean(spark, sf_dir):
+    out = work_path(spark, "cleaned")
+    stream = cleaned_stream(json_file_stream(spark, _record_files(spark, sf_dir), files_per_trigger=2)).drop("extra")
+    run_to_table(stream, out, work_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(out).select(*_SHOWN, "label", "is_attack")
+
+
+@query("stream_clean_capped", "select 100 as rows")
+def stream_clean_capped(spark, sf_dir):
+    out = work_path(spark, "cleaned")
+    stream = cleaned_stream(json_file_stream(spark, _record_files(spark, sf_dir)), max_records=100).drop("extra")
+    run_to_table(stream, out, work_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "stream_gated",
+    f"select {CLEAN_LABEL} as label, count(*) as rows, {len(schema.NUMERIC_FIELDS)} as columns from events group by 1",
+)
+def stream_gated(spark, sf_dir):
+    out, held = work_path(spark, "let-through"), work_path(spark, "quarantine")
+    files = _record_files(spark, sf_dir, good_ports=True)
+    stream = cleaned_stream(json_file_stream(spark, files, files_per_trigger=2)).drop("extra")
+    run_gated(stream, out, held, work_path(spark, "checkpoint")).awaitTermination()
+    df = spark.read.parquet(out)
+    n = len([c for c in df.columns if c in schema.NUMERIC_FIELDS])
+    return df.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(n))
+
+
+@query(
+    "stream_scores",
+    "select count(*) as scored, 0 as alerts, '1.0.0' as version from events",
+)
+def stream_scores(spark, sf_dir):
+    """Both sinks of the scoring stage; without a model every score is null and nothing is alerted."""
+    out, alerts = work_path(spark, "scored"), work_path(spark, "alerts")
+    cleaned = cleaned_stream(json_file_stream(spark, _record_files(spark, sf_dir), files_per_trigger=2)).drop("extra")
+    run_scoring(scored_stream(cleaned, None), out, alerts, work_path(spark, "checkpoint")).awaitTermination()
+    scored = spark.read.parquet(out).agg(
+        F.count(F.lit(1)).alias("scored"), F.max("ml_model_version").alias("version")
+    )
+    found = spark.read.parquet(alerts).agg(F.count(F.lit(1)).alias("alerts"))
+    both = scored.unionByName(found, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("scored", "alerts", "version")])
+
+
+@query("stream_rates", f"{RATES_SQL} from s group by 1")
+def rates(spark, sf_dir):
+    """Event-time windows; complete mode, so that the last window is emitted as well."""
+    out = work_path(spark, "rates")
+    stream = stream_rates(_event_stream(spark, sf_dir), "ts", _attack(), F.col("seconds"), 3_600)
+
+    def replace(batch, batch_id):
+        batch.write.mode("overwrite").parquet(out)
+
+    bounded(
+        stream.writeStream.outputMode("complete").foreachBatch(replace), work_path(spark, "checkpoint")
+    ).start().awaitTermination()
+    return spark.read.parquet(out).select(
+        _time("window_start"), "predictions",
+        *[F.round(c, 9).alias(c) for c in ("per_second", "anomaly_ratio", "avg_latency")],
+    )
+
+
+@query(
+    "stream_history",
+    f"""select event_id, case when {OUTCOME} = 'BENIGN' then cast({SCORE} as double) else 1.0 end as value from events
+    order by ts desc, event_id desc limit 50""",
+)
+def stream_history(spark, sf_dir):
+    out = work_path(spark, "history")
+    writer = _event_stream(spark, sf_dir).writeStream.foreachBatch(keep_history(out, "ts", ["event_id"]))
+    done = bounded(writer, work_path(spark, "checkpoint")).start()
+    done.awaitTermination()
+    last = max(p["batchId"] for p in done.recentProgress if p["numInputRows"])
+    return spark.read.parquet(f"{out}/{last}").select(
+        "event_id", signal_value(_attack(), F.col("confidence")).alias("value")
+    )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netsluice.functions.numbers import sql_name
+
 
 def quoted(name: str) -> Column:
     """A column by its exact name, dots and blanks included."""
@@ -33,12 +35,13 @@ def row_digest(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     types = {f.name: f.dataType for f in df.schema.fields}
     parts = []
     for name in columns or df.columns:
-        c = quoted(name)
+        text = sql_name(name)
         dtype = types[name]
         if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            c = F.when(c == 0, F.lit(0).cast(dtype)).otherwise(c)
+            text = f"if({text} = 0, cast(0 as {dtype.simpleString()}), {text})"
         if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-            c = F.to_json(c, {"ignoreNullFields": "false"})
-        text = c.cast("string")
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.unhex(F.sha2(F.concat(*parts), 256))
+            text = f"to_json({text}, map('ignoreNullFields', 'false'))"
+        if not isinstance(dtype, T.StringType):
+            text = f"cast({text} as string)"
+        parts.append(f"coalesce(concat(length({text}), ':', {text}), '-')")
+    return F.expr(f"unhex(sha2(concat({', '.join(parts)}), 256))")

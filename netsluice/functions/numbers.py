@@ -42,6 +42,28 @@ def infinite_to_null(c: Column) -> Column:
     return finite_or(c, None)
 
 
+# Wide tables are projected with SQL text: one call per column instead of one per operator.
+
+
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def finite_sql(c: str, default: str = "0.0D") -> str:
+    """SQL form of :func:`finite_or` over an expression."""
+    d = f"cast({c} as double)"
+    return f"if(abs({d}) < double('Infinity'), {d}, {default})"
+
+
+def decimal_sql(c: str) -> str:
+    """SQL form of :func:`decimal_number` over an expression."""
+    return f"if({c} rlike '[dDfFxX]', null, try_cast({c} as double))"
+
+
 def decimal_number(c: Column) -> Column:
     """Decimal text to double, null otherwise; overflow gives infinity.
 

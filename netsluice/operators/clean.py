@@ -12,12 +12,12 @@ from netsluice.functions.keys import quoted
 from netsluice.functions.numbers import (
     NOT_A_NUMBER_TEXTS,
     SPECIAL_NUMBERS,
-    clamp_at_zero,
     coerce_number,
-    decimal_number,
-    finite_or,
+    decimal_sql,
+    finite_sql,
     infinite_to_null,
     parse_number,
+    sql_name,
 )
 from netsluice.functions.text import WHITESPACE, attack_flag, normal_label, snake_key
 
@@ -30,8 +30,10 @@ def trim_header(df: DataFrame) -> DataFrame:
 def snake_header(df: DataFrame) -> DataFrame:
     """Snake-case the column names; of columns that fall together the last one stays."""
     last = {schema.snake(name): i for i, name in enumerate(df.columns)}
+    if len(last) == len(df.columns):
+        return df.toDF(*last)
     numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return numbered.select([F.col(f"c{i}").alias(name) for name, i in last.items()])
+    return numbered.selectExpr(*[f"c{i} as {sql_name(name)}" for name, i in last.items()])
 
 
 def infinities_to_null(df: DataFrame) -> DataFrame:
@@ -68,31 +70,34 @@ def _numbers(df: DataFrame, columns: list[str], keep: list[str], report_refused:
     types = dict(df.dtypes)
     texts = [c for c in columns if types[c] == "string"]
     place = {c: i for i, c in enumerate(texts)}
-    cast = df.select(
-        *keep,
-        *[F.col(c) if c in place else finite_or(F.col(c), 0.0).alias(c) for c in columns],
-        *[decimal_number(F.col(c)).alias(f"_{c}") for c in texts],
+    kept = [sql_name(c) for c in keep]
+    cast = df.selectExpr(
+        *kept,
+        *[c if c in place else f"{finite_sql(c)} as {c}" for c in columns],
+        *[f"{decimal_sql(c)} as _{c}" for c in texts],
     )
     # 0 * x is 0 for a finite x, NaN for the others, and null for null
-    check = sum((F.col(f"_{c}") * 0.0 for c in texts), F.lit(0.0))
+    check = F.expr(" + ".join(["0.0D", *[f"0.0D * _{c}" for c in texts]]))
     flagged = cast.withColumn("_odd", F.coalesce(F.isnan(check) | check.isNull(), F.lit(True)))
     read_again = F.transform(F.array(*texts), lambda t: coerce_number(t, "string")) if texts else F.array()
     reread = flagged.withColumn("_again", F.when(F.col("_odd"), read_again))
 
-    def value(c: str) -> Column:
-        if c not in place:
-            return F.col(c)
-        return F.when(F.col("_odd"), F.get("_again", F.lit(place[c]))).otherwise(F.col(f"_{c}"))
-
-    out = [*keep]
+    out = [*kept]
     for c in columns:
-        out.append((clamp_at_zero(value(c)) if c in schema.NON_NEGATIVE_CLEAN else value(c)).alias(c))
-    if report_refused:
+        value = f"if(_odd, get(_again, {place[c]}), _{c})" if c in place else c
+        if c in schema.NON_NEGATIVE_CLEAN:
+            value = f"if({value} < 0, 0.0D, {value})"
+        out.append(f"{value} as {c}")
+    if not report_refused:
+        return reread.selectExpr(*out)
+    if texts:
         named = F.arrays_zip(F.array(*[F.lit(c) for c in texts]), F.array(*texts), "_again")
         bad = F.filter(named, lambda z: z["_again"].isNull())
         listed = F.transform(bad, lambda z: F.struct(z["0"].alias("field"), z["1"].alias("text")))
-        out.append(F.when(F.col("_odd"), listed).otherwise(F.array()).cast(_REFUSED).alias("refused"))
-    return reread.select(*out)
+        refused = F.when(F.col("_odd"), listed).otherwise(F.array())
+    else:
+        refused = F.array()
+    return reread.withColumn("_refused", refused.cast(_REFUSED)).selectExpr(*out, "_refused as refused")
 
 
 def _stamped(df: DataFrame) -> DataFrame:
@@ -180,17 +185,15 @@ def clean_records(
     )
     records = _normal_records(parsed, "record", ordered, list(keep))
 
-    def text(i: int) -> Column:
-        return F.when(F.col("_ordered"), F.get("_values", F.lit(i))).otherwise(
-            F.element_at("_record", F.lit(fields[i]))
-        )
+    def text(i: int) -> str:
+        return f"if(_ordered, get(_values, {i}), element_at(_record, '{fields[i]}'))"
 
     others = F.map_filter("_record", lambda k, v: ~k.isin(fields))
     empty = F.create_map().cast("map<string,string>")
     texts = records.select(
         *keep,
-        clean_label(text(len(fields) - 1)).alias("label"),
+        clean_label(F.expr(text(len(fields) - 1))).alias("label"),
         F.when(F.col("_ordered"), empty).otherwise(others).alias("extra"),
-        *[text(i).alias(f) for i, f in enumerate(schema.NUMERIC_FIELDS)],
+        *[F.expr(f"{text(i)} as {f}") for i, f in enumerate(schema.NUMERIC_FIELDS)],
     )
     return _stamped(_numbers(texts, schema.NUMERIC_FIELDS, [*keep, "label", "extra"], False))

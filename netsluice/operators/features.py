@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsluice import schema
-from netsluice.functions.numbers import finite_or
+from netsluice.functions.numbers import finite_sql, sql_name
 
 
 def drop_identifiers(df: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def feature_columns(df: DataFrame, names: Sequence[str] = tuple(schema.FEATURES)
     """The named features in order as finite doubles; absent columns are 0.0."""
     present = set(drop_identifiers(df).columns)
     return [
-        (finite_or(F.col(c), 0.0) if c in present else F.lit(0.0)).alias(c) for c in names
+        F.expr(f"{finite_sql(sql_name(c)) if c in present else '0.0D'} as {sql_name(c)}") for c in names
     ]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from netsluice import schema
 from netsluice.functions.keys import quoted
-from netsluice.functions.numbers import decimal_number, safe_number
+from netsluice.functions.numbers import decimal_sql, finite_sql, sql_name, sql_text
 
 
 def headers_match(headers: Sequence[str]) -> bool:
@@ -44,7 +44,10 @@ def upload_to_flows(df: DataFrame, mapping: dict[str, str] | None = None, keep:
     source = {feature: header for header, feature in mapping.items()}
     return df.select(
         *[quoted(k) for k in keep],
-        *[safe_number(quoted(source[f]).cast("string")).alias(f) for f in schema.FEATURES],
+        *[
+            F.expr(f"{finite_sql(decimal_sql(f'cast({sql_name(source[f])} as string)'))} as {f}")
+            for f in schema.FEATURES
+        ],
     )
 
 
@@ -58,31 +61,24 @@ def typed_flows(df: DataFrame, record: str, keep: Sequence[str], fields: Sequenc
     Texts are taken out of the map, then read as numbers, then judged, in one projection each,
     so that no step is repeated for every use of its result.
     """
-    texts = df.select(*keep, record, *[F.element_at(record, F.lit(f)).alias(f) for f in fields])
-    flag = {f: F.lower(F.col(f)) for f in fields}
-    numbers = texts.select(
-        *keep,
-        record,
+    kept = [sql_name(c) for c in [*keep, record]]
+    texts = df.selectExpr(*kept, *[f"element_at({record}, {sql_text(f)}) as {sql_name(f)}" for f in fields])
+    numbers = texts.selectExpr(
+        *kept,
         *[
-            F.coalesce(
-                decimal_number(F.col(f)),
-                F.when(flag[f] == "true", 1.0).when(flag[f] == "false", 0.0),
-            ).alias(f)
-            for f in fields
+            f"coalesce({decimal_sql(c)}, case lower({c}) when 'true' then 1.0D when 'false' then 0.0D end) as {c}"
+            for c in map(sql_name, fields)
         ],
     )
-    typed = numbers.select(
-        *keep,
-        record,
+    typed = numbers.selectExpr(
+        *kept,
         *[
-            F.when(F.col(f) == F.floor(f), F.col(f)).cast("bigint").alias(f)
-            if f in schema.INTEGER_FEATURES
-            else F.col(f)
-            for f in fields
+            f"cast(if({c} = floor({c}), {c}, null) as bigint) as {c}" if f in schema.INTEGER_FEATURES else c
+            for f, c in zip(fields, map(sql_name, fields))
         ],
     )
-    bad = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in fields]))
-    return typed.withColumn("bad_fields", bad)
+    bad = ", ".join(f"if({sql_name(f)} is null, {sql_text(f)}, null)" for f in fields)
+    return typed.selectExpr("*", f"array_compact(array({bad})) as bad_fields")
 
 
 def parse_flows(
@@ -110,10 +106,9 @@ def json_flow_error(value: Column, fields: Sequence[str] = tuple(schema.FEATURES
     """Why a text is no flow: not JSON, not an object, or fields that hold no JSON number
     (the first three by name, then an ellipsis). Null for a proper flow."""
     strict = T.StructType([T.StructField(f, T.DoubleType()) for f in fields])
-    record = F.from_json(value, strict)
-    missing = F.array_compact(
-        F.array(*[F.when(record[f].isNull(), F.lit(f)) for f in fields])
-    )
+    # writing the record back leaves out the fields that held no number
+    present = F.coalesce(F.json_object_keys(F.to_json(F.from_json(value, strict))), F.array().cast("array<string>"))
+    missing = F.filter(F.array(*map(F.lit, fields)), lambda f: ~F.array_contains(present, f))
     # the parser stops after the first value; inside brackets it has to read all of the text
     whole = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
     second = F.try_variant_get(whole, "$[1]", "variant")

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from netsluice import schema
 from netsluice.functions.keys import quoted
-from netsluice.functions.numbers import is_missing, not_finite, parse_number
+from netsluice.functions.numbers import decimal_sql, is_missing, not_finite, parse_number, sql_name, sql_text
 from netsluice.functions.text import trimmed
-from netsluice.operators.profile import duplicate_rows, numeric_columns
+from netsluice.operators.profile import duplicate_rows
 from netsluice.quality.records import RecordView
 
 RAW_STAGE = "raw_csv_validation"
@@ -125,7 +125,8 @@ def _is_null_rate(name: str, column: str, dtype: str, limit: float) -> Rule:
 
 
 def _as_number(column: str, dtype: str) -> Column:
-    return parse_number(quoted(column)) if dtype == "string" else quoted(column).cast("double")
+    name = sql_name(column)
+    return F.expr(decimal_sql(name) if dtype == "string" else f"cast({name} as double)")
 
 
 def _port_outside(number: Column) -> Column:
@@ -153,13 +154,13 @@ def _negative_rule(df: DataFrame, columns: Sequence[str], limit: float) -> Rule:
     name = "non_negative_numerics"
     measures = {"rows": F.count(F.lit(1))}
     for i, c in enumerate(columns):
-        number = _as_number(c, types[c])
-        measures[f"c{i}"] = F.count(F.when(~F.isnan(number) & (number < 0), 1))
-    cells = sum((_m(name, f"c{i}") for i in range(len(columns))), F.lit(0))
+        # NaN is above every number, so it is not below zero
+        number = decimal_sql(sql_name(c)) if types[c] == "string" else sql_name(c)
+        measures[f"c{i}"] = F.expr(f"count_if({number} < 0)")
+    cells = F.expr(" + ".join(["0L", *[f"{name}__c{i}" for i in range(len(columns))]]))
     rate = cells / F.greatest(_m(name, "rows"), F.lit(1))
     counts = [
-        F.when(_m(name, f"c{i}") > 0, F.concat(F.lit(f"{c}: "), _text(_m(name, f"c{i}"))))
-        for i, c in enumerate(columns)
+        F.expr(f"if({name}__c{i} > 0, concat({sql_text(c + ': ')}, {name}__c{i}), null)") for i, c in enumerate(columns)
     ]
     listing = F.concat_ws(", ", *counts)
     return Rule(
@@ -218,9 +219,12 @@ def raw_rules(df: DataFrame, limits: Limits = Limits(), by: Sequence[str] = ())
     port, label = schema.CRITICAL_RAW
     if label in columns:
         rules.append(_is_null_rate("label_null_rate", label, types[label], limits.null_rate))
-    empty = F.lit(True)
-    for c in columns:
-        empty = empty & is_missing(quoted(c), types[c])
+    floating = ("double", "float")
+    empty = F.expr(
+        " and ".join(
+            f"({sql_name(c)} is null{f' or isnan({sql_name(c)})' if types[c] in floating else ''})" for c in columns
+        )
+    )
     rules.append(counting_rule("no_fully_empty_rows", "completeness", empty, "rows without any value"))
     if port in columns:
         rules.append(_is_null_rate("destination_port_null_rate", port, types[port], limits.null_rate))
@@ -249,10 +253,8 @@ def raw_rules(df: DataFrame, limits: Limits = Limits(), by: Sequence[str] = ())
                 {"unknown_rows": _text(n), "example": example},
             )
         )
-    infinite = F.lit(0)
-    for c in numeric_columns(df):
-        if types[c] in ("double", "float") and c not in by:
-            infinite = infinite + (F.coalesce(F.abs(quoted(c)) == float("inf"), F.lit(False))).cast("int")
+    cells = [f"if(abs({sql_name(c)}) = double('Infinity'), 1, 0)" for c in columns if types[c] in floating]
+    infinite = F.expr(" + ".join(["0", *cells]))
     rules.append(counting_rule("no_infinite_values", "validity", infinite, "infinite values"))
     rules.append(_negative_rule(df, [c for c in schema.NON_NEGATIVE_RAW if c in columns], limits.negative_rate))
     rules.append(_duplicate_rule(limits.duplicate_rate))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsluice import schema
-from netsluice.functions.keys import quoted
-from netsluice.functions.numbers import decimal_number, finite_or
+from netsluice.functions.numbers import decimal_sql, finite_sql, sql_name, sql_text
 from netsluice.functions.text import latin1_to_cp1252, trimmed
 
 # --- fixed values: texts that mean "missing" in a raw flow file ---------------------
@@ -40,10 +39,6 @@ MISSING_TEXTS = [
 ]
 
 
-def missing_to_null(c: Column) -> Column:
-    return F.when(~c.isin(*MISSING_TEXTS), c)
-
-
 def csv_options(encoding: str = "windows-1252") -> dict[str, str]:
     """Reader options of raw flow files.
 
@@ -56,13 +51,15 @@ def csv_options(encoding: str = "windows-1252") -> dict[str, str]:
 
 def raw_flow_columns(df: DataFrame, encoding: str = "windows-1252") -> DataFrame:
     """Missing texts to null, and the label's bytes to the characters meant."""
-    decode = encoding.lower() in ("windows-1252", "cp1252")
-    out = []
-    for name in schema.RAW_FIELDS:
-        c = latin1_to_cp1252(quoted(name)) if decode and name == "Label" else quoted(name)
-        out.append(missing_to_null(c).alias(name))
-    others = [quoted(c) for c in df.columns if c not in schema.RAW_FIELDS]
-    return df.select(*others, *out)
+    missing = ", ".join(sql_text(t) for t in MISSING_TEXTS)
+    cells = [
+        f"if({c} in ({missing}), null, {c}) as {c}" if name in schema.RAW_FIELDS else c
+        for name, c in zip(df.columns, map(sql_name, df.columns))
+    ]
+    out = df.selectExpr(*cells)
+    if encoding.lower() in ("windows-1252", "cp1252"):
+        out = out.withColumn("Label", latin1_to_cp1252(F.col("Label")))
+    return out
 
 
 def read_raw_flows(
@@ -97,11 +94,11 @@ def raw_numbers(df: DataFrame) -> DataFrame:
 
     Gate the text table first: it still tells unreadable from missing.
     """
-    return df.select(
-        [
-            finite_or(decimal_number(quoted(c)), None).alias(c)
+    return df.selectExpr(
+        *[
+            f"{finite_sql(decimal_sql(sql_name(c)), 'null')} as {sql_name(c)}"
             if c in schema.RAW_FIELDS[:-1] and t == "string"
-            else quoted(c)
+            else sql_name(c)
             for c, t in df.dtypes
         ]
     )
