@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from catalog import table
 from netsluice import schema
+from netsluice.session import spread
 
 PROPS_NUMBER = "cast(regexp_extract(props, '([0-9]+)', 1) as bigint)"
 
@@ -58,7 +59,7 @@ def raw_flows(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("event_
         if field == "flow_bytes_s":
             text = f"if(user_id % 50 = 0, 'Infinity', {text})"
         columns.append(f"{text} as `{raw}`")
-    return table(spark, sf_dir, "events").selectExpr(*keep, *columns, f"{LABEL} as Label")
+    return spread(table(spark, sf_dir, "events")).selectExpr(*keep, *columns, f"{LABEL} as Label")
 
 
 # --- flow payloads ------------------------------------------------------------------
@@ -85,7 +86,7 @@ def json_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
             text = f"""case event_id % 10 when 2 then '"abc"' when 3 then '"12"' else {text} end"""
         fields.append(f"""concat('"{f}": ', {text})""")
     body = f"""concat('{{', concat_ws(', ', {', '.join(fields)}), ', "tag": "x"}}')"""
-    return table(spark, sf_dir, "events").selectExpr("event_id", "value", "user_id", f"{body} as value_text")
+    return spread(table(spark, sf_dir, "events")).selectExpr("event_id", "value", "user_id", f"{body} as value_text")
 
 
 # --- scored rows --------------------------------------------------------------------

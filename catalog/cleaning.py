@@ -19,7 +19,7 @@ from netsluice.functions.numbers import clamp_at_zero, coerce_number, log10_from
 from netsluice.functions.text import attack_flag, relative_age
 from netsluice.operators.clean import clean_flows, clean_label, clean_records, infinities_to_null, with_normal_keys
 from netsluice.operators.features import extract_features, prepared_dataset
-from netsluice.operators.flows import explode_payloads, json_flow_error, parse_flows, upload_to_flows
+from netsluice.operators.flows import explode_payloads, parse_flows, upload_to_flows, with_flow_error
 from netsluice.sources.files import json_objects, json_text
 
 
@@ -201,7 +201,8 @@ def json_flow_errors(spark, sf_dir):
         .when(kind == 6, F.lit("{}"))
         .otherwise(text)
     )
-    return json_flows(spark, sf_dir).select("event_id", json_flow_error(broken).alias("error"))
+    texts = json_flows(spark, sf_dir).select("event_id", broken.alias("value"))
+    return with_flow_error(texts).select("event_id", "error")
 
 
 @query(

@@ -10,6 +10,7 @@ from netsluice.functions.numbers import log10_from_one
 from netsluice.operators import distribution, profile
 from netsluice.operators.quantiles import exact_quantiles
 from netsluice.operators.ranking import top_by_count
+from netsluice.session import spread
 
 _NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -50,7 +51,7 @@ def column_info(spark, sf_dir):
     ),
 )
 def describe(spark, sf_dir):
-    df = profile.describe(table(spark, sf_dir, "lineitem").select(*_NUMERIC))
+    df = profile.describe(spread(table(spark, sf_dir, "lineitem").select(*_NUMERIC)))
     rounded = [F.round(c, 6).alias(c) for c in ("mean", "std", "p25", "p50", "p75")]
     return df.select("column", "count", "min", "max", *rounded)
 
@@ -76,7 +77,7 @@ def null_counts(spark, sf_dir):
     from lineitem""",
 )
 def duplicate_rows(spark, sf_dir):
-    return profile.duplicate_rows(table(spark, sf_dir, "lineitem"))
+    return profile.duplicate_rows(spread(table(spark, sf_dir, "lineitem")))
 
 
 @query(

@@ -18,6 +18,7 @@ from netsluice.quality.rules import (
     scored_rule_results,
     unknown_labels,
 )
+from netsluice.session import spread
 from netsluice.sources.files import raw_flow_columns
 
 _PORT = number_sql("destination_port")
@@ -146,7 +147,7 @@ def _records(spark, sf_dir):
     text = F.when(kind == 6, F.lit('{"destination_port": 80, "label": "benign"}')).otherwise(
         F.concat(F.lit("{"), body, F.lit("}"))
     )
-    return table(spark, sf_dir, "events").select(text.alias("value"))
+    return spread(table(spark, sf_dir, "events")).select(text.alias("value"))
 
 
 def _lines(lines: list[tuple[str, str]], source: str) -> str:
@@ -213,7 +214,7 @@ def _alerts(spark, sf_dir):
         F.when(kind != 1, F.concat(F.lit('"ml_confidence_score": '), score)),
         F.when(kind != 6, F.concat(F.lit('"ml_model_version": '), version)),
     )
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
+    return spread(table(spark, sf_dir, "events")).select(F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
 
 
 @query(

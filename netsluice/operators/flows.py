@@ -102,28 +102,37 @@ def rejected_flows(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.size("bad_fields") > 0)
 
 
-def json_flow_error(value: Column, fields: Sequence[str] = tuple(schema.FEATURES)) -> Column:
-    """Why a text is no flow: not JSON, not an object, or fields that hold no JSON number
+def with_flow_error(
+    df: DataFrame, value: str = "value", name: str = "error", fields: Sequence[str] = tuple(schema.FEATURES)
+) -> DataFrame:
+    """Say why a text is no flow: not JSON, not an object, or fields that hold no JSON number
     (the first three by name, then an ellipsis). Null for a proper flow."""
+    text = F.col(value)
     strict = T.StructType([T.StructField(f, T.DoubleType()) for f in fields])
-    # writing the record back leaves out the fields that held no number
-    present = F.coalesce(F.json_object_keys(F.to_json(F.from_json(value, strict))), F.array().cast("array<string>"))
-    missing = F.filter(F.array(*map(F.lit, fields)), lambda f: ~F.array_contains(present, f))
     # the parser stops after the first value; inside brackets it has to read all of the text
-    whole = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
-    second = F.try_variant_get(whole, "$[1]", "variant")
-    is_object = F.startswith(F.ltrim(value), F.lit("{"))
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    # writing the strict record back leaves out the fields that held no number
+    numbers = F.json_object_keys(F.to_json(F.from_json(text, strict)))
+    read = df.select(
+        "*",
+        (whole.isNull() | F.try_variant_get(whole, "$[1]", "variant").isNotNull()).alias("_broken"),
+        F.coalesce(numbers, F.array().cast("array<string>")).alias("_numbers"),
+    )
+    missing = F.col("_missing")
+    listed = F.concat(
+        F.lit("no number in: "),
+        F.concat_ws(", ", F.slice(missing, 1, 3)),
+        F.when(F.size(missing) > 3, F.lit("…")).otherwise(F.lit("")),
+    )
+    error = (
+        F.when(F.col("_broken"), F.lit("not JSON"))
+        .when(~F.startswith(F.ltrim(text), F.lit("{")), F.lit("not a JSON object"))
+        .when(F.size(missing) > 0, listed)
+    )
     return (
-        F.when(whole.isNull() | second.isNotNull(), F.lit("not JSON"))
-        .when(~is_object, F.lit("not a JSON object"))
-        .when(
-            F.size(missing) > 0,
-            F.concat(
-                F.lit("no number in: "),
-                F.concat_ws(", ", F.slice(missing, 1, 3)),
-                F.when(F.size(missing) > 3, F.lit("…")).otherwise(F.lit("")),
-            ),
-        )
+        read.withColumn("_missing", F.array_except(F.array(*map(F.lit, fields)), F.col("_numbers")))
+        .withColumn(name, error)
+        .drop("_broken", "_numbers", "_missing")
     )
 
 

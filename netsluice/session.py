@@ -64,3 +64,13 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
         return F.broadcast(spark.createDataFrame(rows, df.schema))
     shared_folder(spark)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of too few splits to all cores before per-row work that is heavy.
+
+    A file with one row group is one task whatever its size. A table that already has a split
+    for every core, as any large one has, is returned as it is and moves no data.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
