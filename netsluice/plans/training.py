@@ -140,8 +140,9 @@ def train_model(
 
 
 def train_from_path(spark: SparkSession, path: str, keys: Sequence[str] = (), **more) -> tuple[PipelineModel, dict[str, float]]:
-    """Train on a Parquet or CSV table; without keys they are made from the rows."""
+    """Train on a Parquet or CSV table. Without keys its ``row_key``, as the balanced table has it,
+    is used, or one is made from the rows."""
     df = read_table(spark, path)
     if not keys:
-        df, keys = with_row_key(df), ["row_key"]
+        df, keys = df if "row_key" in df.columns else with_row_key(df), ["row_key"]
     return train_model(df, keys, **more)
