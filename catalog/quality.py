@@ -41,7 +41,7 @@ def _shown(results, *by):
     """Verdicts with the one figure each rule is about."""
     figure = F.coalesce(
         *[F.element_at("details", F.lit(k)) for k in (
-            "invalid_count", "unknown_rows", "duplicate_count", "row_count", "column_count", "null_rate",
+            "invalid_count", "duplicate_count", "row_count", "column_count", "null_rate",
             "negative_columns", "missing", "missing_columns", "record_count", "anomaly_count")],
     )
     return results.select(*by, "rule_name", "category", "passed", "severity", figure.alias("figure"))

@@ -84,7 +84,7 @@ def training_table(
     data = with_weights(data)
     data = stratified_split(data, keys, "is_attack", test_size, seed)
     data = data.withColumn("_part", F.concat_ws("-", "is_test", "is_attack"))
-    return stratified_folds(data, keys, "_part", folds, seed).drop("_part")
+    return stratified_folds(data, keys, "_part", max(folds, 1), seed).drop("_part")
 
 
 def cross_validate(

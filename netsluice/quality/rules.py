@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from netsluice import schema
 from netsluice.functions.keys import quoted
-from netsluice.functions.numbers import decimal_sql, is_missing, not_finite, parse_number, sql_name, sql_text
+from netsluice.functions.numbers import decimal_sql, is_missing, parse_number, sql_name, sql_text
 from netsluice.functions.text import trimmed
 from netsluice.operators.profile import duplicate_rows
 from netsluice.quality.records import RecordView
@@ -23,6 +23,7 @@ from netsluice.quality.records import RecordView
 RAW_STAGE = "raw_csv_validation"
 CLEAN_STAGE = "cleaned_records_validation"
 SCORED_STAGE = "inference_output_validation"
+LABEL_RULES = ["label_values_valid", "cleaned_label_values_valid"]
 
 
 @dataclass(frozen=True)
@@ -236,21 +237,11 @@ def raw_rules(df: DataFrame, limits: Limits = Limits(), by: Sequence[str] = ())
             )
         )
     if label in columns:
-        unknown = F.when(
-            quoted(label).isNotNull() & ~trimmed(_text(quoted(label))).isin(*schema.ALLOWED_LABELS),
-            trimmed(_text(quoted(label))),
-        )
-        n, example = _m("label_values_valid", "n"), _m("label_values_valid", "example")
+        # counted only: a smallest or first text would turn the whole pass into a sort by group
+        unknown = ~trimmed(_text(quoted(label))).isin(*schema.ALLOWED_LABELS)
         rules.append(
-            Rule(
-                "label_values_valid",
-                "validity",
-                {"n": F.count(unknown), "example": F.min(unknown)},
-                n == 0,
-                F.when(n == 0, F.lit("all labels known")).otherwise(
-                    F.concat(_text(n), F.lit(" rows with unknown labels, such as "), example)
-                ),
-                {"unknown_rows": _text(n), "example": example},
+            counting_rule(
+                LABEL_RULES[0], "validity", F.coalesce(unknown, F.lit(False)), "rows with unknown labels"
             )
         )
     cells = [f"if(abs({sql_name(c)}) = double('Infinity'), 1, 0)" for c in columns if types[c] in floating]
@@ -293,7 +284,7 @@ def raw_rule_results(
 
 
 def unknown_labels(df: DataFrame, label: str) -> DataFrame:
-    """Every label outside the allowed set, with its rows."""
+    """Every label outside the allowed set, with its rows: the full list behind a failed label rule."""
     value = trimmed(F.col(f"`{label}`").cast("string"))
     return (
         df.where(F.col(f"`{label}`").isNotNull())
@@ -315,23 +306,22 @@ def cleaned_rules(records: RecordView, limits: Limits = Limits()) -> list[Rule]:
         kind(port) == "text",
         F.when(whole, F.replace(trimmed(text(port)), F.lit("_"), F.lit("")).try_cast("double")),
     ).otherwise(text(port).try_cast("double"))
-    truncated = F.signum(number) * F.floor(F.abs(number))
+    low, high = schema.PORT_RANGE
+    fits = (number > low - 1) & (number < high + 1)  # fractions are cut off towards zero
     bad_port = (
         F.when(kind(port).isin("absent", "null", "boolean"), F.lit(False))
         .when(kind(port) == "nested", F.lit(True))
-        .otherwise(number.isNull() | not_finite(number) | _port_outside(truncated))
+        .otherwise(~F.coalesce(fits, F.lit(False)))
     )
     zero = kind(label).isin("number", "boolean") & (
         (text(label).try_cast("double") == 0) | (F.lower(text(label)) == "false")
     )
     plain = trimmed(text(label))
-    unknown = F.when(
+    unknown = (
         ~kind(label).isin("absent", "null")
         & ~(plain.isin(*schema.ALLOWED_LABELS) | F.lower(plain).isin(*schema.ALLOWED_LABELS))
-        & ~F.coalesce(zero, F.lit(False)),
-        text(label),
+        & ~F.coalesce(zero, F.lit(False))
     )
-    unknown_n, example = _m("cleaned_label_values_valid", "n"), _m("cleaned_label_values_valid", "example")
     return [
         Rule(
             "record_count_minimum",
@@ -356,17 +346,7 @@ def cleaned_rules(records: RecordView, limits: Limits = Limits()) -> list[Rule]:
             **some,
         ),
         counting_rule("port_values_valid", "validity", bad_port, "ports outside 0..65535", **some),
-        Rule(
-            "cleaned_label_values_valid",
-            "validity",
-            {"n": F.count(unknown), "example": F.min(unknown)},
-            unknown_n == 0,
-            F.when(unknown_n == 0, F.lit("all labels known")).otherwise(
-                F.concat(_text(unknown_n), F.lit(" records with unknown labels, such as "), example)
-            ),
-            {"unknown_rows": _text(unknown_n), "example": example},
-            **some,
-        ),
+        counting_rule(LABEL_RULES[1], "validity", unknown, "records with unknown labels", **some),
         counting_rule(
             "record_field_count",
             "integrity",
@@ -389,9 +369,9 @@ def scored_rules(
         .when(records.kind(score) == "number", records.text(score).try_cast("double"))
         .when(records.kind(score) == "boolean", (F.lower(records.text(score)) == "true").cast("double"))
     )
-    outside = number.isNull() | (~F.isnan(number) & ((number < 0) | (number > 1)))
+    inside = (number >= 0) & ((number <= 1) | F.isnan(number))  # NaN is let through
     blank = (records.kind(version) != "text") | (trimmed(records.text(version)) == "")
-    low = F.coalesce(~F.isnan(number) & (number <= limits.alert_threshold), F.lit(False))
+    low = F.coalesce(number <= limits.alert_threshold, F.lit(False))  # NaN is above
     missing = counting_rule(
         "ml_metadata_present",
         "completeness",
@@ -401,7 +381,7 @@ def scored_rules(
     missing.measures["rows"] = F.count(F.lit(1))
     rules = [
         missing,
-        counting_rule("confidence_range_valid", "validity", outside, "scores outside 0..1", **some),
+        counting_rule("confidence_range_valid", "validity", ~F.coalesce(inside, F.lit(False)), "scores outside 0..1", **some),
         counting_rule("model_version_valid", "validity", blank, "records without a model version", **some),
         counting_rule(
             "threshold_consistency", "validity", low, f"scores not above {limits.alert_threshold}", **some
