@@ -1,9 +1,9 @@
 """Exact quantiles with linear interpolation, bounded in memory at any size.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one buffer, so it is used
-only where the number of values is known to be small. Beyond that, sketches narrow each wanted
-rank to a bracket that surely holds it, until few values are left inside; then one aggregate
-counts the rows below the bracket and the copies of each value in it.
+Spark's exact ``percentile`` keeps every distinct value of a group in one buffer. Here the copies
+of each value are counted map-side, and the distinct values are numbered in a window; directly where
+their number is known to be small. Beyond that, sketches first narrow each wanted rank to a bracket
+that surely holds it, until few values are left inside; the rows below it are only counted.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from netsluice.functions.keys import quoted
 from netsluice.session import small_side
 
-BUFFERED_VALUES = 4_000_000
+DIRECT_VALUES = 4_000_000
 WINDOW_ROWS = 1_000_000
 ACCURACY = 10_000
 _MARGIN = 5.0 / ACCURACY
@@ -32,16 +32,31 @@ def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame
     return df.select(*by, F.inline(F.array(*cells))).where(F.col("x").isNotNull())
 
 
-def _buffered(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    wide = df.groupBy(*by).agg(
-        *[F.percentile(_value(c), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}") for i, c in enumerate(columns)]
+def _blend(a: Column, b: Column, weight: Column) -> Column:
+    return F.when(a == b, a).otherwise(a * (1 - weight) + b * weight)
+
+
+def _direct(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """For input of known, small size: copies of each value, numbered within group and column."""
+    keys = [*by, "column"]
+    counts = _long(df, columns, by).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("copies"))
+    upto = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.select(
+        *keys,
+        "x",
+        F.sum("copies").over(upto).alias("upto"),
+        F.sum("copies").over(Window.partitionBy(*keys)).alias("n"),
     )
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"q{i}")[j].alias("value"))
-        for i, c in enumerate(columns)
-        for j, p in enumerate(probs)
-    ]
-    return wide.select(*by, F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    aggs, cells = [], []
+    for j, p in enumerate(probs):
+        at = F.lit(p) * (F.col("n") - 1)
+        first = F.floor(at)
+        aggs.append(F.min(F.when(F.col("upto") > first, F.col("x"))).alias(f"a{j}"))
+        aggs.append(F.min(F.when(F.col("upto") > F.least(first + 1, F.col("n") - 1), F.col("x"))).alias(f"b{j}"))
+        cells.append(
+            F.struct(F.lit(p).alias("prob"), _blend(F.col(f"a{j}"), F.col(f"b{j}"), at - first).alias("value"))
+        )
+    return ranked.groupBy(*keys, "n").agg(*aggs).select(*keys, F.inline(F.array(*cells)))
 
 
 def _first_brackets(
@@ -135,10 +150,7 @@ def _pick(counted: DataFrame, by: Sequence[str]) -> DataFrame:
         F.max(F.when(F.col("x").isNull(), F.col("upto")).otherwise(F.lit(0))).alias("below"),
     )
     sure = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("below") <= first)
-    weight = at - first
-    blend = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
-        F.col("a") * (1 - weight) + F.col("b") * weight
-    )
+    blend = _blend(F.col("a"), F.col("b"), at - first)
     return found.select(
         *keys,
         F.when(sure, blend)
@@ -152,7 +164,7 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    buffered_values: int | None = None,
+    direct_values: int | None = None,
     window_rows: int | None = None,
 ) -> DataFrame:
     """Rows (by..., column, prob, value); null and NaN are left out of the quantiles.
@@ -161,10 +173,10 @@ def exact_quantiles(
     row per (group, column, prob).
     """
     by, columns = list(by), list(columns)
-    buffered_values = BUFFERED_VALUES if buffered_values is None else buffered_values
+    direct_values = DIRECT_VALUES if direct_values is None else direct_values
     window_rows = WINDOW_ROWS if window_rows is None else window_rows
-    if df.count() * len(columns) <= buffered_values:
-        return _buffered(df, columns, probs, by)
+    if df.count() * len(columns) <= direct_values:
+        return _direct(df, columns, probs, by)
     long = _long(df, columns, by)
     brackets = small_side(_first_brackets(df, columns, probs, by, window_rows))
     largest = brackets.agg(F.max("n")).first()[0] or 0

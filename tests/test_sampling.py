@@ -100,7 +100,7 @@ def test_interleave(spark, cap):
     assert [(r.source, r.line) for r in got] == expected[:cap]
 
 
-@pytest.mark.parametrize("limits", [{}, {"buffered_values": 0, "window_rows": 10_000}, {"buffered_values": 0, "window_rows": 60}])
+@pytest.mark.parametrize("limits", [{}, {"direct_values": 0, "window_rows": 10_000}, {"direct_values": 0, "window_rows": 60}])
 def test_quantiles_match_numpy(spark, limits):
     """Heavy tail, a value that holds a third of the rows, and gaps."""
     df = spark.range(0, 40_000, 1, 4).select(
