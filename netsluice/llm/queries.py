@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from netsluice.llm import byte_bpe, packing, warc
+from netsluice.llm import byte_bpe, line_quality, packing, warc
 from netsluice.llm.catalog import query
 from netsluice.llm.common import table
 
@@ -14,6 +14,12 @@ def op2(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op4_line_quality")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return line_quality.assess(docs, line_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op6_best_fit_packing")
 def op6(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
