@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from netsluice.llm import byte_bpe, line_quality, packing, warc
+from netsluice.llm import byte_bpe, line_quality, ngram_trie, packing, warc
 from netsluice.llm.catalog import query
 from netsluice.llm.common import table
 
@@ -30,3 +30,8 @@ def op8(spark, sf_dir):
     return byte_bpe.round_trip_digests(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     )
+
+
+@query("op10_ngram_trie")
+def op10(spark, sf_dir):
+    return ngram_trie.score_documents(table(spark, sf_dir, "documents"))
