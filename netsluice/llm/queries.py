@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from netsluice.llm import byte_bpe, line_quality, ngram_trie, packing, warc
+from netsluice.llm import byte_bpe, hnsw, line_quality, ngram_trie, packing, warc
 from netsluice.llm.catalog import query
 from netsluice.llm.common import table
 
@@ -25,6 +25,11 @@ def op6(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op7_hnsw_near_duplicates")
+def op7(spark, sf_dir):
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_byte_bpe")
 def op8(spark, sf_dir):
     return byte_bpe.round_trip_digests(
