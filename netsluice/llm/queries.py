@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from netsluice.llm import byte_bpe, hnsw, line_quality, ngram_trie, packing, warc
+from netsluice.llm import bag_minhash, byte_bpe, hnsw, line_quality, ngram_trie, packing, warc
 from netsluice.llm.catalog import query
 from netsluice.llm.common import table
 
@@ -14,6 +14,11 @@ def op2(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op3_bag_minhash")
+def op3(spark, sf_dir):
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op4_line_quality")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
