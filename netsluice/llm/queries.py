@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from netsluice.llm import bag_minhash, byte_bpe, hnsw, line_quality, ngram_trie, packing, warc
+from netsluice.llm import bag_minhash, byte_bpe, hnsw, line_quality, main_text, ngram_trie, packing, warc
 from netsluice.llm.catalog import query
 from netsluice.llm.common import table
 
@@ -25,6 +25,12 @@ def op4(spark, sf_dir):
     return line_quality.assess(docs, line_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op5_main_text")
+def op5(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extracted(pages, main_text.train(pages))
+
+
 @query("op6_best_fit_packing")
 def op6(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
