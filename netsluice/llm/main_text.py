@@ -110,14 +110,15 @@ def features(nodes: list[Node]) -> np.ndarray:
     for i, node in enumerate(nodes):
         kids = [index[id(c)] for c in node.children]
         if kids:
-            sizes, alike = chars[kids], kind[kids]
-            whole, most = sizes.sum(), sizes.max()
-            for j, c in enumerate(kids):
-                siblings[c], place[c] = len(kids), j / len(kids)
-                near[c] = (
-                    (whole - sizes[j]) / max(1, len(kids) - 1), most, sizes[j - 1] if j else -1,
-                    sizes[j + 1] if j + 1 < len(kids) else -1, (alike == alike[j]).mean(),
-                )
+            sizes, alike, m = chars[kids], kind[kids], len(kids)
+            siblings[kids], place[kids] = m, np.arange(m) / m
+            near[kids] = np.stack(
+                [
+                    (sizes.sum() - sizes) / max(1, m - 1), np.full(m, sizes.max()), np.append(-1, sizes[:-1]),
+                    np.append(sizes[1:], -1), np.bincount(alike)[alike] / m,
+                ],
+                axis=1,
+            )
     up = np.maximum(parent, 0)
     log = np.log1p
     rest = np.stack(

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from netsluice.llm import bag_minhash, byte_bpe, hnsw, line_quality, main_text, ngram_trie, packing, warc
+from netsluice.llm import bag_minhash, byte_bpe, hnsw, line_join, line_quality, main_text, ngram_trie, packing, warc
 from netsluice.llm.catalog import query
 from netsluice.llm.common import table
 
 
+@query("op1_line_join")
+def op1(spark, sf_dir):
+    return line_join.deduplicated_lines(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 @query("op2_warc_salvage")
 def op2(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
