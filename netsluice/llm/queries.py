@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from netsluice.llm import bag_minhash, byte_bpe, hnsw, line_join, line_quality, main_text, ngram_trie, packing, warc
+from netsluice.llm import bag_minhash, byte_bpe, hnsw, line_join, line_quality, main_text, ngram_trie, packing, suffix_dedup, warc
 from netsluice.llm.catalog import query
 from netsluice.llm.common import table
 
@@ -53,6 +53,11 @@ def op8(spark, sf_dir):
     )
 
 
+@query("op9_suffix_dedup")
+def op9(spark, sf_dir):
+    return suffix_dedup.digests_without_repeats(table(spark, sf_dir, "documents"), in_place=True)
+
+
 @query("op10_ngram_trie")
 def op10(spark, sf_dir):
     return ngram_trie.score_documents(table(spark, sf_dir, "documents"))

@@ -49,3 +49,8 @@ def mapped(path: str) -> dict[str, np.ndarray]:
             raw = memoryview(f.read())
     head = io.BytesIO(raw[: 1 << 16]).readline()
     return {k: np.frombuffer(raw, d, n, len(head) + at) for k, (d, at, n) in json.loads(head).items()}
+
+
+def located(folder: str, *parts: int) -> str:
+    """A path under a folder that numbers alone decide."""
+    return f"{folder.rstrip('/')}/{'_'.join(str(int(p)) for p in parts)}.arrays"
