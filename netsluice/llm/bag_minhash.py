@@ -34,7 +34,9 @@ BANDS, BAND_REGISTERS = 20, 3
 REMEMBERED = 250_000
 
 GOLDEN, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-SKETCH = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SKETCH = pa.schema(
+    [("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))]
+)
 SHINGLES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 _known: dict[bytes, int] = {}
@@ -114,7 +116,7 @@ def _fill(out: np.ndarray, rows: np.ndarray, bags: list, registers: int, points:
         shingle, weight, row, horizon = shingle[own], weight[own], row[own], horizon[own]
         if not len(shingle):
             break
-        state = mixed(shingle + GOLDEN * np.uint64(strip + 1))
+        state = mixed(shingle + np.uint64(int(GOLDEN) * (strip + 1) % 2**64))
         time = np.zeros(len(shingle))
         w, r, end = weight, row, horizon
         while len(state):
@@ -139,7 +141,7 @@ def band_keys(signature: np.ndarray, bands: int, size: int) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, bands: int = BANDS, size: int = BAND_REGISTERS, words: int = WORDS) -> DataFrame:
-    """doc_id, node (digest of the multiset, null for none), n shingles and band keys of (doc_id, text) rows."""
+    """doc_id, hash of the text, node (digest of the multiset, null for none), n shingles and band keys of (doc_id, text) rows."""
 
     def run(batch, texts):
         bags = [shingle_bag(t, words) for t in texts]
@@ -149,11 +151,12 @@ def sketches(rows: DataFrame, bands: int = BANDS, size: int = BAND_REGISTERS, wo
             for i, k in zip(full, band_keys(signatures([bags[i] for i in full], bands * size), bands, size).tolist()):
                 keys[i] = k
         return {
-            "doc_id": batch.column("doc_id"), "node": [bag_digest(*b) if len(b[0]) else None for b in bags],
+            "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "node": [bag_digest(*b) if len(b[0]) else None for b in bags],
             "n": [int(b[1].sum()) for b in bags], "bands": keys,
         }
 
-    return rows.mapInArrow(per_block(run, SKETCH), "doc_id long, node long, n long, bands array<long>")
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    return keyed.mapInArrow(per_block(run, SKETCH), "doc_id long, text_key long, node long, n long, bands array<long>")
 
 
 def shingles_of(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -190,7 +193,7 @@ def near_duplicates(
     df: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, size: int = BAND_REGISTERS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, class_id (smallest id reachable by links, itself included), kept (doc_id = class_id), n_shingles.
+    """doc_id, class_id (smallest id reachable by links, itself included), kept (doc_id = class_id), n_shingles, text_key.
 
     One row per row. A text without words, null included, links with nothing, and so does a row
     without an id: its class is its own id, and it is kept. Repeated rows share a class; those that repeat
@@ -252,5 +255,21 @@ def near_duplicates(
     class_id = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return marked.select(
         "doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"),
-        F.col("n").alias("n_shingles"),
+        F.col("n").alias("n_shingles"), "text_key",
     )
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of ``df`` that are kept, with all columns; of rows that repeat an id and a text with words, one.
+
+    Rows without an id or without words stay.
+    """
+    marked = near_duplicates(df, id_col=id_col, text_col=text_col, **parameters)
+    kept = marked.filter("kept and doc_id is not null and n_shingles > 0").select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_of")
+    ).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = df.withColumns({"_key": F.col(id_col).cast("long"), "_text": F.xxhash64(text), "_words": text.rlike(r"[^\x20\x09-\x0D]")})
+    free = F.col("_key").isNull() | ~F.col("_words")
+    linked = own.filter(~free).join(kept, (F.col("_key") == F.col("_id")) & (F.col("_text") == F.col("_of")), "left_semi")
+    return linked.dropDuplicates(["_key", "_text"]).select(*df.columns).union(own.filter(free).select(*df.columns))

@@ -236,6 +236,18 @@ def train(df: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_c
     return fit(lines, marks)
 
 
+def _assessed(texts: list[str], field: Field, content_share: float) -> list[tuple]:
+    """The columns of MEASURED after the id, for each text."""
+    measured = [measure(t) for t in texts]
+    rows = []
+    for (base, _, sizes), marks in zip(measured, viterbi([m[1] for m in measured], field)):
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        content = int(np.dot(marks == CONTENT, sizes)) if sizes else 0
+        share = content / base[0] if base[0] else 0.0
+        rows.append((*base, failed, not failed and share >= content_share, len(sizes), int(marks.sum()), share))
+    return rows
+
+
 def assess(df: DataFrame, field: Field, content_share: float = CONTENT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measures and verdict of every row, in no order; repeated rows give a row each.
 
@@ -243,14 +255,26 @@ def assess(df: DataFrame, field: Field, content_share: float = CONTENT_SHARE, id
     """
 
     def run(batch, texts):
-        measured = [measure(t) for t in texts]
-        rows = []
-        for (base, _, sizes), marks in zip(measured, viterbi([m[1] for m in measured], field)):
-            failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-            content = int(np.dot(marks == CONTENT, sizes)) if sizes else 0
-            share = content / base[0] if base[0] else 0.0
-            rows.append((*base, failed, not failed and share >= content_share, len(sizes), int(marks.sum()), share))
-        columns = list(zip(*rows))
+        columns = list(zip(*_assessed(texts, field, content_share)))
         return dict(zip(MEASURED.names, [batch.column("doc_id"), *columns]))
 
     return documents(df, id_col, text_col).mapInArrow(per_block(run, MEASURED), MEASURED_DDL)
+
+
+def kept_rows(df: DataFrame, field: Field, content_share: float = CONTENT_SHARE, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with all their columns whose text ``assess`` keeps."""
+    columns = [c for c in df.columns if c != text_col]
+    whole = df.select(F.struct(*columns).alias("_rest"), F.col(text_col).cast("string").alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                yield part.filter(pa.array(_verdicts([t or "" for t in part.column("_text").to_pylist()], field, content_share)))
+
+    out = whole.mapInArrow(run, f"_rest {whole.schema['_rest'].dataType.simpleString()}, _text string")
+    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in df.columns])
+
+
+def _verdicts(texts: list[str], field: Field, content_share: float) -> list[bool]:
+    return [row[6] for row in _assessed(texts, field, content_share)]

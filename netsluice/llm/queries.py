@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
 from netsluice.llm import bag_minhash, byte_bpe, hnsw, line_join, line_quality, main_text, ngram_trie, packing, suffix_dedup, warc
@@ -21,7 +22,7 @@ def op2(spark, sf_dir):
 
 @query("op3_bag_minhash")
 def op3(spark, sf_dir):
-    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @query("op4_line_quality")
@@ -61,3 +62,8 @@ def op9(spark, sf_dir):
 @query("op10_ngram_trie")
 def op10(spark, sf_dir):
     return ngram_trie.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
