@@ -27,7 +27,7 @@ from netsluice.llm.common import per_block
 from netsluice.llm.dom import Node, parse
 
 #: Pages that the sample holds at most, those of least hash, and layouts composed from it.
-SAMPLE_PAGES, COMPOSED_PAGES = 200, 900
+SAMPLE_PAGES, COMPOSED_PAGES = 300, 1000
 DROP, SPLIT, KEEP = 0, 1, 2
 
 # Kinds of elements, and words of class, id and role names by what they tell.
@@ -93,9 +93,12 @@ def features(nodes: list[Node]) -> np.ndarray:
             row[9] += len(text) > 150
         own[i] = row[0]
         row[4], row[5], row[6], row[7] = node.tags, node.links, node.images, node.inputs
-    above = np.zeros((n, len(HINTS)))
+    hot = np.zeros((n, k))
+    hot[np.arange(n), kind] = 1
+    marks = np.concatenate([tokens, hot], axis=1)
+    above = np.zeros((n, len(HINTS) + k))
     for i in range(1, n):
-        above[i] = np.maximum(above[parent[i]], tokens[parent[i]])
+        above[i] = np.maximum(above[parent[i]], marks[parent[i]])
     below = tokens.copy()
     heading = (kind == 4).astype(float)
     for i in range(n - 1, 0, -1):
@@ -131,8 +134,6 @@ def features(nodes: list[Node]) -> np.ndarray:
         ],
         axis=1,
     )
-    hot = np.zeros((n, k))
-    hot[np.arange(n), kind] = 1
     return np.concatenate([hot, tokens, above, below, rest], axis=1).astype(np.float32)
 
 
@@ -163,11 +164,13 @@ class Trees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 4, rate: float = 0.25, bins: int = 32, penalty: float = 2.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 32, penalty: float = 2.0) -> Trees:
     """Gradient boosting with second-order leaves over histogram bins, one logistic model per state."""
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
-    inner, n, width = (1 << depth) - 1, len(x), x.shape[1]
+    used = np.flatnonzero(x.min(axis=0) < x.max(axis=0))
+    cuts = [np.unique(np.append(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1]), x[:, j].min())) for j in used]
+    cuts = [c[c < x[:, j].max()] for j, c in zip(used, cuts)]
+    binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in zip(used, cuts)], axis=1)
+    inner, n, width = (1 << depth) - 1, len(x), len(used)
     feature, cut = np.zeros((3, trees, inner), np.int64), np.full((3, trees, inner), np.inf, np.float32)
     leaf, start = np.zeros((3, trees, inner + 1)), np.zeros(3)
     flat = binned + np.arange(width) * bins
@@ -195,7 +198,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 4, rate: flo
                             gain[j, len(c) :] = -1
                         j, b = divmod(int(gain.argmax()), bins)
                         if gain[j, b] > sg[0, -1] ** 2 / (sh[0, -1] + penalty) + 1e-6:
-                            feature[s, t, place], cut[s, t, place] = j, cuts[j][b]
+                            feature[s, t, place], cut[s, t, place] = used[j], cuts[j][b]
                     at[rows] = 2 * place + 1 + (x[rows, feature[s, t, place]] > cut[s, t, place])
             value = np.bincount(at - inner, g, inner + 1) / (np.bincount(at - inner, h, inner + 1) + penalty) * rate
             leaf[s, t] = value
@@ -287,6 +290,11 @@ class Composer:
         p = self.r.choice(self.paragraphs)
         return html.escape(p[: p.find(" ", self.r.randint(15, most)) or most].strip() or p[:most])
 
+    def _heading(self, most: int) -> str:
+        """A sentence, or a few of its words."""
+        text = self._sentence(most)
+        return " ".join(text.split(" ")[: self.r.randint(1, 4)]) if self.r.random() < 0.35 else text
+
     def _links(self, n: int) -> str:
         return "".join(self._el("li", DROP, f'<a href="/{k}">{html.escape(self.r.choice(self.menus))}</a>') for k in range(n))
 
@@ -342,7 +350,7 @@ class Composer:
     def _article(self) -> list[str]:
         r, el, out = self.r, self._el, []
         if r.random() < 0.85:
-            title = el(self._of("h1", "h1", "h1", "h2"), KEEP, self._sentence(80))
+            title = el(self._of("h1", "h1", "h1", "h2"), KEEP, self._heading(80))
             out.append(el(self._of("header", "div"), KEEP, title, self._name("article-header", "entry-header", "title")) if r.random() < 0.2 else title)
         for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14])):
             x = r.random()
@@ -355,7 +363,7 @@ class Composer:
                     text = f"<b>{text}<br>"
                 out.append(el("div" if r.random() < 0.08 else "p", KEEP, text))
             elif x < 0.82:
-                out.append(el(self._of("h2", "h3"), KEEP, self._sentence(60)))
+                out.append(el(self._of("h2", "h3"), KEEP, self._heading(60)))
             elif x < 0.87:
                 out.append(el(self._of("ul", "ol"), KEEP, "".join(el("li", KEEP, self._sentence(120)) for _ in range(r.randint(2, 6)))))
             elif x < 0.91:
