@@ -10,7 +10,6 @@ from netsluice.functions.numbers import log10_from_one
 from netsluice.operators import distribution, profile
 from netsluice.operators.quantiles import exact_quantiles
 from netsluice.operators.ranking import top_by_count
-from netsluice.session import spread
 
 _NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -51,7 +50,7 @@ def column_info(spark, sf_dir):
     ),
 )
 def describe(spark, sf_dir):
-    df = profile.describe(spread(table(spark, sf_dir, "lineitem").select(*_NUMERIC)))
+    df = profile.describe(table(spark, sf_dir, "lineitem").select(*_NUMERIC))
     rounded = [F.round(c, 6).alias(c) for c in ("std", "p25", "p50", "p75")]
     # a mean of cents may end in an exact half, where the order of the sum would decide the rounding
     mean = F.round(F.col("mean") + 1e-7, 5).alias("mean")
@@ -79,7 +78,7 @@ def null_counts(spark, sf_dir):
     from lineitem""",
 )
 def duplicate_rows(spark, sf_dir):
-    return profile.duplicate_rows(spread(table(spark, sf_dir, "lineitem")))
+    return profile.duplicate_rows(table(spark, sf_dir, "lineitem"))
 
 
 @query(
@@ -248,7 +247,7 @@ def quantiles_narrowed(spark, sf_dir):
     """The same by the way taken for large tables."""
     found = exact_quantiles(
         table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.99], ["l_returnflag"],
-        buffered_values=0, window_rows=10_000,
+        window_rows=10_000,
     )
     return found.withColumn("value", F.round("value", 6))
 

@@ -12,7 +12,7 @@ from netsluice.functions.numbers import clip_above
 from netsluice.functions.text import trimmed
 from netsluice.operators.quantiles import _value, exact_quantiles, quantile_caps
 from netsluice.operators.ranking import top_by_count
-from netsluice.session import small_side
+from netsluice.session import stored
 
 
 def class_means(
@@ -58,20 +58,21 @@ def histogram(df: DataFrame, column: str, target: str, bins: int = 45) -> DataFr
     """Equal-width bins between each class's own smallest and largest value, the last one closed.
 
     Rows (class, bin, low, high, rows); empty bins are included. A class with one single value
-    gets a width of 1 around it.
+    gets a width of 1 around it. Infinite values have no bin and are left out, like null and NaN.
     """
     x = _value(column)
     data = df.select(quoted(target).alias("class"), x.alias("x")).where(
-        F.col("x").isNotNull() & F.col("class").isNotNull()
+        (F.abs(x) < float("inf")) & F.col("class").isNotNull()
     )
     edges = data.groupBy("class").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     flat = F.col("lo") == F.col("hi")
-    edges = small_side(
+    edges = stored(
         edges.select(
             "class",
             F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
             F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-        )
+        ),
+        "edges",
     )
     width = (F.col("hi") - F.col("lo")) / bins
     counts = (
@@ -92,7 +93,7 @@ def histogram(df: DataFrame, column: str, target: str, bins: int = 45) -> DataFr
 
 def clip_at_quantile(df: DataFrame, column: str, label: str, prob: float = 0.99) -> DataFrame:
     """Cut the column off at its own quantile within each label."""
-    caps = small_side(quantile_caps(df, column, label, prob).withColumnRenamed(label, "_label"))
+    caps = stored(quantile_caps(df, column, label, prob).withColumnRenamed(label, "_label"), "caps")
     return (
         df.join(caps, F.col(label).eqNullSafe(F.col("_label")), "left")
         .withColumn(column, clip_above(quoted(column).cast("double"), F.col("cap")))
@@ -121,7 +122,7 @@ def box_stats(df: DataFrame, column: str, label: str, k: int = 6, prob: float =
     x = F.col(column)
     low_fence, high_fence = F.col("q1") - 1.5 * spread, F.col("q3") + 1.5 * spread
     return (
-        clipped.join(small_side(quartiles, k), F.col(label) == F.col("_label"))
+        clipped.join(F.broadcast(quartiles), F.col(label) == F.col("_label"))
         .groupBy(label, "q1", "median", "q3")
         .agg(
             F.count(x).alias("rows"),

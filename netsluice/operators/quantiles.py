@@ -1,9 +1,9 @@
-"""Exact quantiles with linear interpolation, bounded in memory at any size.
+"""Exact quantiles with linear interpolation, by one way at every size and bounded in memory.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one buffer, so it is used
-only where the number of values is known to be small. Beyond that, sketches narrow each wanted
-rank to a bracket that surely holds it, until few values are left inside; then one aggregate
-counts the rows below the bracket and the copies of each value in it.
+A sketch of each column gives a bracket around each wanted rank. Exact counts below and inside the
+bracket then prove that it holds the rank; a bracket that does not is opened, one with many values
+inside is cut down by a sketch of its inside, and counted again. At last the copies of each value
+inside the proven brackets are counted, and the two order statistics are read off.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsluice.functions.keys import quoted
-from netsluice.session import small_side
+from netsluice.session import stored
 
-BUFFERED_VALUES = 4_000_000
 WINDOW_ROWS = 1_000_000
 ACCURACY = 10_000
 _MARGIN = 5.0 / ACCURACY
+_GRID = 1000
+_SLACK = 2
+_LOW, _HIGH = float("-inf"), float("inf")
 
 
 def _value(name: str) -> Column:
@@ -27,152 +29,169 @@ def _value(name: str) -> Column:
     return F.when(F.isnan(c), None).otherwise(c)
 
 
-def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column"), _value(c).alias("x")) for c in columns]
-    return df.select(*by, F.inline(F.array(*cells))).where(F.col("x").isNotNull())
-
-
-def _buffered(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    wide = df.groupBy(*by).agg(
-        *[F.percentile(_value(c), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}") for i, c in enumerate(columns)]
-    )
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"q{i}")[j].alias("value"))
-        for i, c in enumerate(columns)
-        for j, p in enumerate(probs)
-    ]
-    return wide.select(*by, F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+class _Brackets:
+    """One row per group: for column i its size ``n{i}``, for its probability j the edges ``l{i}_{j}``, ``h{i}_{j}``.
 
+    Without groups the row is turned into literals, so the data is read with plain comparisons; with
+    groups it is joined by the group's key, null included.
+    """
 
-def _first_brackets(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], window_rows: int
-) -> DataFrame:
-    """One pass over the wide table: size of each column and a bracket for each wanted rank."""
-    aggs = []
-    for i, c in enumerate(columns):
-        edges = [p + side for p in probs for side in (-_MARGIN, _MARGIN)]
-        inside = [min(max(e, 0.0), 1.0) for e in edges]
-        aggs.append(F.count(_value(c)).alias(f"n{i}"))
-        aggs.append(
-            F.percentile_approx(_value(c), F.array(*[F.lit(e) for e in inside]), F.lit(ACCURACY)).alias(f"e{i}")
-        )
-    low, high = F.lit(float("-inf")), F.lit(float("inf"))
-    cells = []
-    for i, c in enumerate(columns):
+    def __init__(self, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]):
+        self.columns, self.probs, self.by = list(columns), list(probs), list(by)
+        self.cells = [(i, j) for i in range(len(self.columns)) for j in range(len(self.probs))]
+
+    def beside(self, df: DataFrame, brackets: DataFrame) -> DataFrame:
+        """The values of each column as ``x{i}``, with the brackets of the row's group."""
+        values = df.select(*[quoted(b).alias(f"_{k}") for k, b in enumerate(self.by)], *[_value(c).alias(f"x{i}") for i, c in enumerate(self.columns)])
+        if not self.by:
+            row = brackets.first()  # a row of columns x probabilities
+            return values.withColumns({c: F.lit(row[c]).cast("double") for c in brackets.columns if c[0] in "lh"})
+        return self.joined(values, brackets.select(*self.keys(), *[c for c in brackets.columns if c[0] in "lh"]))
+
+    def joined(self, left: DataFrame, right: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        """Both sides by group, null groups too, and by the columns of ``also``."""
+        shared = [*self.keys(), *also]
+        renamed = right.withColumnsRenamed({c: f"of{c}" for c in shared})
+        same = F.lit(True)
+        for c in shared:
+            same = same & F.col(c).eqNullSafe(F.col(f"of{c}"))
+        return left.join(renamed, same).drop(*[f"of{c}" for c in shared])
+
+    def keys(self) -> list[str]:
+        return [f"_{k}" for k in range(len(self.by))]
+
+    def first(self, df: DataFrame) -> DataFrame:
+        """Sizes, and sketched edges on both sides of each probability; an outer one is open."""
+        aggs = []
+        for i, c in enumerate(self.columns):
+            at = [min(max(p + side, 0.0), 1.0) for p in self.probs for side in (-_MARGIN, _MARGIN)]
+            aggs.append(F.count(_value(c)).alias(f"n{i}"))
+            aggs.append(F.percentile_approx(_value(c), F.array(*map(F.lit, at)), F.lit(ACCURACY)).alias(f"e{i}"))
+        sketched = df.groupBy(*[quoted(b).alias(f"_{k}") for k, b in enumerate(self.by)]).agg(*aggs)
+        edges = []
+        for i, j in self.cells:
+            p = self.probs[j]
+            edges.append((F.lit(_LOW) if p <= _MARGIN else F.col(f"e{i}")[2 * j]).alias(f"l{i}_{j}"))
+            edges.append((F.lit(_HIGH) if p >= 1 - _MARGIN else F.col(f"e{i}")[2 * j + 1]).alias(f"h{i}_{j}"))
+        return sketched.select(*self.keys(), *[f"n{i}" for i in range(len(self.columns))], *edges)
+
+    def counted(self, df: DataFrame, brackets: DataFrame, grid: bool) -> DataFrame:
+        """The brackets with exact counts: below (``b``), on the lower edge (``c``), between the edges (``s``), on the
+        upper edge of another value (``t``); and on demand a sketch of what lies between (``g``)."""
+        aggs = []
+        for i, j in self.cells:
+            x, low, high = F.col(f"x{i}"), F.col(f"l{i}_{j}"), F.col(f"h{i}_{j}")
+            between = (x > low) & (x < high)
+            aggs.append(F.count(F.when(x < low, 1)).alias(f"b{i}_{j}"))
+            aggs.append(F.count(F.when(x == low, 1)).alias(f"c{i}_{j}"))
+            aggs.append(F.count(F.when(between, 1)).alias(f"s{i}_{j}"))
+            aggs.append(F.count(F.when((x == high) & (high > low), 1)).alias(f"t{i}_{j}"))
+            if grid:
+                marks = F.array(*[F.lit(k / _GRID) for k in range(_GRID + 1)])
+                aggs.append(F.percentile_approx(F.when(between, x), marks, F.lit(ACCURACY)).alias(f"g{i}_{j}"))
+        found = self.beside(df, brackets).groupBy(*self.keys()).agg(*aggs)
+        if not self.by:
+            row = brackets.first()
+            return found.withColumns({c: F.lit(row[c]).cast(t) for c, t in brackets.dtypes})
+        return self.joined(found, brackets)
+
+    def rank(self, i: int, j: int) -> Column:
+        return F.lit(self.probs[j]) * (F.col(f"n{i}") - 1)
+
+    def proven(self, i: int, j: int) -> Column:
+        """The bracket holds both order statistics around the rank."""
+        b, c, s, t = (F.col(f"{k}{i}_{j}") for k in "bcst")
         n = F.col(f"n{i}")
-        whole = n <= max(window_rows, ACCURACY)
-        for j, p in enumerate(probs):
-            lo = low if p - _MARGIN <= 0 else F.when(whole, low).otherwise(F.col(f"e{i}")[2 * j])
-            hi = high if p + _MARGIN >= 1 else F.when(whole, high).otherwise(F.col(f"e{i}")[2 * j + 1])
-            cells.append(
-                F.struct(
-                    F.lit(c).alias("column"), F.lit(p).alias("prob"), n.alias("n"), lo.alias("lo"), hi.alias("hi")
+        at = F.floor(self.rank(i, j))
+        return (n == 0) | ((b <= at) & (F.least(at + 1, n - 1) < b + c + s + t))
+
+    def open_cells(self, window_rows: int) -> Column:
+        """How many brackets of a group are not proven, or hold too many rows between their edges."""
+        out = F.lit(0)
+        for i, j in self.cells:
+            out = out + F.when(~self.proven(i, j) | (F.col(f"s{i}_{j}") > window_rows), 1).otherwise(0)
+        return out
+
+    def narrowed(self, counted: DataFrame, window_rows: int) -> DataFrame:
+        """Proven brackets cut down around the rank by the sketch of what is between their edges, others opened.
+
+        What is between the new edges is under a hundredth of what was, or the rank is that of an edge.
+        """
+        edges = []
+        for i, j in self.cells:
+            low, high, s, g = (F.col(f"{k}{i}_{j}") for k in "lhsg")
+            first = F.col(f"b{i}_{j}") + F.col(f"c{i}_{j}")  # the rank of the first row between
+            share = (self.rank(i, j) - first) / s * _GRID
+            left, right = F.floor(share).cast("int") - _SLACK, F.ceil(share).cast("int") + _SLACK
+            cut_low = F.when(left <= 0, low).when(left >= _GRID, high).otherwise(F.get(g, left))
+            cut_high = F.when(right >= _GRID, high).when(right <= 0, low).otherwise(F.get(g, right))
+            many = s > window_rows
+            edges.append(F.when(~self.proven(i, j), F.lit(_LOW)).when(many, cut_low).otherwise(low).alias(f"l{i}_{j}"))
+            edges.append(F.when(~self.proven(i, j), F.lit(_HIGH)).when(many, cut_high).otherwise(high).alias(f"h{i}_{j}"))
+        return counted.select(*self.keys(), *[f"n{i}" for i in range(len(self.columns))], *edges)
+
+    def read_off(self, df: DataFrame, counted: DataFrame) -> DataFrame:
+        """(by..., column, prob, value) from the copies of each value inside the brackets."""
+        cells = [
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x{i}").alias("x"))
+            for i, j in self.cells
+        ]
+        inside = [
+            F.when((F.col(f"x{i}") >= F.col(f"l{i}_{j}")) & (F.col(f"x{i}") <= F.col(f"h{i}_{j}")), c)
+            for (i, j), c in zip(self.cells, cells)
+        ]
+        keys = self.keys()
+        copies = (
+            self.beside(df, counted).select(*keys, F.explode(F.array_compact(F.array(*inside))).alias("c"))
+            .groupBy(*keys, "c.i", "c.j", "c.x").agg(F.count(F.lit(1)).alias("copies"))
+        )
+        facts = counted.select(
+            *keys,
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(self.columns[i]).alias("column"),
+                            F.lit(self.probs[j]).alias("prob"), F.col(f"n{i}").alias("n"), F.col(f"b{i}_{j}").alias("below"),
+                        )
+                        for i, j in self.cells
+                    ]
                 )
-            )
-    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells))).where(F.col("n") > 0)
-
-
-def _in_brackets(long: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows up to the upper edge of a bracket; those below its lower edge lose their value."""
-    names = [*by, "column"]
-    side = brackets.select(*[F.col(f"`{b}`").alias(f"_{b}") for b in names], "prob", "n", "lo", "hi")
-    match = F.lit(True)
-    for b in names:
-        match = match & long[b].eqNullSafe(side[f"_{b}"])
-    kept = long.join(side, match & (long["x"] <= side["hi"]))
-    return kept.select(*names, "prob", "n", "lo", "hi", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("x"))
-
-
-def _narrower(long: DataFrame, brackets: DataFrame, by: Sequence[str], window_rows: int) -> DataFrame:
-    """Sketch the inside of each bracket and cut it down around the wanted rank."""
-    keys = [*by, "column", "prob"]
-    inside = (
-        _in_brackets(long, brackets, by)
-        .groupBy(*keys, "n", "lo", "hi")
-        .agg(
-            F.sum(F.col("x").isNull().cast("bigint")).alias("below"),
-            F.count("x").alias("m"),
-            F.percentile_approx(
-                "x", F.array(*[F.lit(i / 1000.0) for i in range(1001)]), F.lit(ACCURACY)
-            ).alias("grid"),
+            ),
+        )
+        rows = self.joined(copies, facts, ["i", "j"])
+        upto = Window.partitionBy(*keys, "column", "prob").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        at = F.col("prob") * (F.col("n") - 1)
+        first = F.floor(at)
+        ranked = rows.withColumn("upto", F.col("below") + F.sum("copies").over(upto))
+        found = ranked.groupBy(*keys, "column", "prob", "n").agg(
+            F.min(F.when(F.col("upto") > first, F.col("x"))).alias("a"),
+            F.min(F.when(F.col("upto") > F.least(first + 1, F.col("n") - 1), F.col("x"))).alias("b"),
         )
-    )
-    share = (F.col("prob") * (F.col("n") - 1) - F.col("below")) / F.col("m")
-    slack = 0.002
-    left = F.floor((share - slack) * 1000).cast("int")
-    right = F.ceil((share + slack) * 1000).cast("int")
-    lo = F.when(left <= 0, F.col("lo")).otherwise(F.get("grid", left))
-    hi = F.when(right >= 1000, F.col("hi")).otherwise(F.get("grid", right))
-    narrow = F.col("m") > window_rows
-    return inside.select(
-        *keys,
-        "n",
-        F.when(narrow, lo).otherwise(F.col("lo")).alias("lo"),
-        F.when(narrow, hi).otherwise(F.col("hi")).alias("hi"),
-    )
-
-
-def _counted(long: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Copies of each value inside a bracket; the rows below it are the null value."""
-    return (
-        _in_brackets(long, brackets, by)
-        .groupBy(*by, "column", "prob", "n", "x")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-
-
-def _pick(counted: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Interpolate between the two order statistics around each wanted rank."""
-    keys = [*by, "column", "prob"]
-    upto = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0)
-    at = F.col("prob") * (F.col("n") - 1)
-    first = F.floor(at)
-    second = F.least(first + 1, F.col("n") - 1)
-    ranked = counted.withColumn("upto", F.sum("copies").over(upto))
-    found = ranked.groupBy(*keys, "n").agg(
-        F.min(F.when((F.col("upto") > first) & F.col("x").isNotNull(), F.col("x"))).alias("a"),
-        F.min(F.when((F.col("upto") > second) & F.col("x").isNotNull(), F.col("x"))).alias("b"),
-        F.max(F.when(F.col("x").isNull(), F.col("upto")).otherwise(F.lit(0))).alias("below"),
-    )
-    sure = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("below") <= first)
-    weight = at - first
-    blend = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
-        F.col("a") * (1 - weight) + F.col("b") * weight
-    )
-    return found.select(
-        *keys,
-        F.when(sure, blend)
-        .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .alias("value"),
-    )
+        weight = at - first
+        a, b = F.col("a"), F.col("b")
+        # an infinite neighbour of no weight must not be multiplied
+        value = F.when((a == b) | (weight == 0), a).otherwise(a * (1 - weight) + b * weight)
+        return found.select(*[F.col(k).alias(name) for k, name in zip(keys, self.by)], "column", "prob", value.alias("value"))
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    buffered_values: int | None = None,
-    window_rows: int | None = None,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), window_rows: int | None = None
 ) -> DataFrame:
-    """Rows (by..., column, prob, value); null and NaN are left out of the quantiles.
+    """Rows (by..., column, prob, value); null and NaN are left out, infinities count as values.
 
-    Runs one count, and on large input one job per narrowing round, whose result is one small
-    row per (group, column, prob).
+    A column without a value has no row. One job sketches, one counts, and one more for each round in
+    which some bracket holds over ``window_rows`` rows; a row per group is all that is kept of them.
     """
-    by, columns = list(by), list(columns)
-    buffered_values = BUFFERED_VALUES if buffered_values is None else buffered_values
     window_rows = WINDOW_ROWS if window_rows is None else window_rows
-    if df.count() * len(columns) <= buffered_values:
-        return _buffered(df, columns, probs, by)
-    long = _long(df, columns, by)
-    brackets = small_side(_first_brackets(df, columns, probs, by, window_rows))
-    largest = brackets.agg(F.max("n")).first()[0] or 0
-    width = largest * 4 * _MARGIN
-    while width > window_rows:
-        brackets = small_side(_narrower(long, brackets, by, window_rows))
-        width /= 100
-    return _pick(_counted(long, brackets, by), by)
+    state = _Brackets(columns, probs, by)
+    brackets = stored(state.first(df), "brackets")
+    while True:
+        counted = stored(state.counted(df, brackets, grid=False), "brackets")
+        if not counted.where(state.open_cells(window_rows) > 0).limit(1).count():
+            return state.read_off(df, counted)
+        sketched = stored(state.counted(df, brackets, grid=True), "brackets")
+        brackets = stored(state.narrowed(sketched, window_rows), "brackets")
 
 
 def quantile_caps(df: DataFrame, column: str, by: str, prob: float = 0.99) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from netsluice.functions.keys import hash_bucket, hash_order, row_digest
 from netsluice.operators.ranking import position_by_hash, position_by_number
-from netsluice.session import small_side
+from netsluice.session import stored
 
 
 def with_row_key(df: DataFrame, name: str = "row_key", chunk: int = 100_000) -> DataFrame:
@@ -62,7 +62,7 @@ def hash_cuts(
     )
     inside = Window.partitionBy(target).orderBy("_order")
     return (
-        ordered.join(small_side(cut_bucket), [target, "_bucket"])
+        ordered.join(stored(cut_bucket, "cut"), [target, "_bucket"])
         .withColumn("_rank", F.row_number().over(inside))
         .where(F.col("_rank") == F.col("_need"))
         .select(target, F.col("_order").alias("cut"))
@@ -119,8 +119,8 @@ def stratified_split(
     name: str = "is_test",
 ) -> DataFrame:
     """Add 1 for hold-out rows, 0 for training rows, each class split in the same proportion."""
-    wanted = small_side(holdout_sizes(df, target, fraction).where(F.col("wanted") > 0))
-    cuts = small_side(hash_cuts(df, target, keys, seed, wanted).withColumnRenamed(target, "_class"))
+    wanted = stored(holdout_sizes(df, target, fraction).where(F.col("wanted") > 0), "wanted")
+    cuts = stored(hash_cuts(df, target, keys, seed, wanted).withColumnRenamed(target, "_class"), "cuts")
     order = hash_order(keys, seed)
     return (
         df.join(cuts, F.col(target).eqNullSafe(F.col("_class")), "left")
@@ -169,7 +169,7 @@ def with_weights(df: DataFrame, label: str = "label", name: str = "weight") -> D
     if label not in df.columns:
         return df.withColumn(name, F.lit(1.0))
     weights = class_weights(df, label).select(F.col(label).alias("_label"), F.col("weight").alias(name))
-    return df.join(small_side(weights), F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
+    return df.join(stored(weights, "weights"), F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

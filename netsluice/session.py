@@ -1,4 +1,4 @@
-"""Session settings, the shared work folder, and size-checked small sides."""
+"""Session settings, the shared work folder, and tables kept there."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-SMALL_ROWS = 100_000
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,24 +50,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Evaluate a join side once; mark it for broadcast only if its row count is proven small.
-
-    A side over ``max_rows`` is checkpointed and returned without a hint, so the join shuffles.
-    """
-    spark = df.sparkSession
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return F.broadcast(spark.createDataFrame(rows, df.schema))
-    shared_folder(spark)
-    return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of too few splits to all cores before per-row work that is heavy.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows read from a table in the shared folder.
 
-    A file with one row group is one task whatever its size. A table that already has a split
-    for every core, as any large one has, is returned as it is and moves no data.
+    They are evaluated once, survive a lost executor, and have a known size, by which Spark chooses how to
+    join them: no count of rows decides here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsluice.operators.ranking import with_position
-from netsluice.session import small_side
+from netsluice.session import stored
 
 
 def file_positions(df: DataFrame, name: str = "line") -> DataFrame:
@@ -45,4 +45,4 @@ def interleave(
         .select("round", source, "_before")
     )
     place = F.col("_before") + F.pmod(F.col(line) - 1, F.lit(batch))
-    return candidates.join(small_side(chunks), ["round", source]).where(place < max_records).drop("_before")
+    return candidates.join(stored(chunks, "chunks"), ["round", source]).where(place < max_records).drop("_before")

@@ -10,7 +10,7 @@ from netsluice.operators.distribution import box_stats, histogram
 from netsluice.operators.profile import constant_columns, describe, duplicate_rows, null_counts
 from netsluice.operators.quantiles import exact_quantiles
 from netsluice.operators.ranking import number_rows, position_by_number, running_totals
-from netsluice.session import small_side
+from netsluice.session import stored
 from netsluice.sources.interleave import interleave
 
 
@@ -100,7 +100,7 @@ def test_interleave(spark, cap):
     assert [(r.source, r.line) for r in got] == expected[:cap]
 
 
-@pytest.mark.parametrize("limits", [{}, {"buffered_values": 0, "window_rows": 10_000}, {"buffered_values": 0, "window_rows": 60}])
+@pytest.mark.parametrize("limits", [{}, {"window_rows": 500}, {"window_rows": 20}])
 def test_quantiles_match_numpy(spark, limits):
     """Heavy tail, a value that holds a third of the rows, and gaps."""
     df = spark.range(0, 40_000, 1, 4).select(
@@ -115,6 +115,21 @@ def test_quantiles_match_numpy(spark, limits):
         assert r.value == pytest.approx(np.quantile(values, r.prob), rel=1e-12), (r, limits)
 
 
+@pytest.mark.parametrize("limits", [{}, {"window_rows": 3}])
+def test_infinite_values_have_ranks(spark, limits):
+    inf = math.inf
+    rows = [(1, 1.0), (1, 2.0), (1, inf), (2, -inf), (2, inf), (2, math.nan), (2, 3.0), (2, None), (3, None), (None, 4.0)]
+    rows += [(4, float(i % 7)) for i in range(300)] + [(4, inf)] * 40 + [(4, -inf)] * 3
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = {(r.g, r.prob): r.value for r in exact_quantiles(df, ["x"], [0.25, 0.5, 1.0], ["g"], **limits).collect()}
+    assert got == {
+        (1, 0.25): 1.5, (1, 0.5): 2.0, (1, 1.0): inf, (2, 0.25): -inf, (2, 0.5): 3.0, (2, 1.0): inf,
+        (4, 0.25): 1.0, (4, 0.5): 3.0, (4, 1.0): inf, **{(None, p): 4.0 for p in (0.25, 0.5, 1.0)},
+    }
+    alone = exact_quantiles(df.where("g = 4"), ["x"], [0.5], **limits).collect()
+    assert [r.value for r in alone] == [3.0] and exact_quantiles(df.limit(0), ["x"], [0.5]).collect() == []
+
+
 def test_profile_edge_cases(spark):
     df = spark.createDataFrame(
         [(1.0, None, "a"), (1.0, math.nan, "a"), (1.0, 0.0, None), (1.0, -0.0, None)], "x double, y double, s string"
@@ -150,7 +165,11 @@ def test_box_stats_leaves_out_rare_labels(spark):
     assert box_stats(df, "x", "label").count() == 6
 
 
-def test_small_side_over_its_bound_is_not_broadcast(spark):
-    big = small_side(spark.range(50), max_rows=10)
-    plan = big.join(spark.range(50), "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" not in plan and big.count() == 50
+def test_stored_rows_are_read_from_a_table(spark):
+    kept = stored(spark.range(50), "kept")
+    assert "parquet" in kept._jdf.queryExecution().optimizedPlan().toString().lower() and kept.count() == 50
+
+
+def test_histogram_leaves_infinite_values_out(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, math.inf), (1, -math.inf), (1, math.nan), (2, math.inf)], "t int, x double")
+    assert [(r.t, r.low, r.high, r.rows) for r in histogram(df, "x", "t", 2).orderBy("bin").collect()] == [(1, 1.0, 1.5, 1), (1, 1.5, 2.0, 1)]
