@@ -15,6 +15,9 @@ SPECIAL_NUMBERS = [
     "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity", "nan", "+nan", "-nan",
 ]
 
+#: Cells whose text is no number: the cleaned field name and the text.
+REFUSED = "array<struct<field:string,text:string>>"
+
 _INFINITY = float("inf")
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
+#: A key as the cleaned records should have it.
+SNAKE_KEY = "^[a-z0-9][a-z0-9_/]*$"
+
 # --- fixed values: Windows-1252 characters for the bytes Latin-1 leaves as controls --
 _CP1252_BYTES = (
     "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e"

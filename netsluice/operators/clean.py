@@ -11,6 +11,7 @@ from netsluice import schema
 from netsluice.functions.keys import quoted
 from netsluice.functions.numbers import (
     NOT_A_NUMBER_TEXTS,
+    REFUSED,
     SPECIAL_NUMBERS,
     coerce_number,
     decimal_sql,
@@ -19,12 +20,7 @@ from netsluice.functions.numbers import (
     parse_number,
     sql_name,
 )
-from netsluice.functions.text import WHITESPACE, attack_flag, normal_label, snake_key
-
-
-def trim_header(df: DataFrame) -> DataFrame:
-    """Strip blanks around the column names."""
-    return df.toDF(*[c.strip() for c in df.columns])
+from netsluice.functions.text import SNAKE_KEY, WHITESPACE, attack_flag, normal_label, snake_key
 
 
 def snake_header(df: DataFrame) -> DataFrame:
@@ -58,9 +54,6 @@ def clean_label(c: Column) -> Column:
     return F.when(no_label, F.lit("benign")).when(plain, words).otherwise(full)
 
 
-_REFUSED = "array<struct<field:string,text:string>>"
-
-
 def _numbers(df: DataFrame, columns: list[str], keep: list[str], report_refused: bool) -> DataFrame:
     """Flow columns as finite doubles, clamped where they may not be negative.
 
@@ -97,7 +90,7 @@ def _numbers(df: DataFrame, columns: list[str], keep: list[str], report_refused:
         refused = F.when(F.col("_odd"), listed).otherwise(F.array())
     else:
         refused = F.array()
-    return reread.withColumn("_refused", refused.cast(_REFUSED)).selectExpr(*out, "_refused as refused")
+    return reread.withColumn("_refused", refused.cast(REFUSED)).selectExpr(*out, "_refused as refused")
 
 
 def _stamped(df: DataFrame) -> DataFrame:
@@ -108,10 +101,13 @@ def clean_flows(df: DataFrame, report_refused: bool = False) -> DataFrame:
     """Cleaned flows from a raw flow table of any header spelling.
 
     Flow columns become doubles, eight of them clamped at zero; the label is normalised and
-    ``is_attack`` and ``ingested_at`` are added. Other columns pass through. With
-    ``report_refused`` a column lists text that is no number; its value is null meanwhile.
+    ``is_attack`` and ``ingested_at`` are added. Other columns pass through. Text that is no number
+    gives null, whether it is met here or was listed in ``refused`` when the raw table was made. With
+    ``report_refused`` the column ``refused`` lists it, also from a table of texts.
     """
     df = snake_header(df)
+    if "refused" in df.columns:
+        return _with_listed_refusals(df)
     numeric = [c for c in df.columns if c in schema.NUMERIC_FIELDS]
     others = [c for c in df.columns if c not in schema.NUMERIC_FIELDS and c != "label"]
     is_text = dict(df.dtypes).get("label") == "string"
@@ -120,6 +116,15 @@ def clean_flows(df: DataFrame, report_refused: bool = False) -> DataFrame:
     return _stamped(_numbers(rows, numeric, [*others, "label"], report_refused))
 
 
+def _with_listed_refusals(df: DataFrame) -> DataFrame:
+    """Clean a raw table of numbers, and put null back where its list says that a text was refused."""
+    cleaned = clean_flows(df.withColumnRenamed("refused", "_listed"))
+    numeric = [c for c in cleaned.columns if c in schema.NUMERIC_FIELDS]
+    some = cleaned.withColumn("_fields", F.when(F.size("_listed") > 0, F.transform("_listed", lambda z: z["field"])))
+    values = {c: F.expr(f"if(_fields is not null and array_contains(_fields, '{c}'), null, {c})") for c in numeric}
+    return some.withColumns(values).withColumnRenamed("_listed", "refused").drop("_fields")
+
+
 _SEPARATOR = "\x01"
 
 
@@ -172,7 +177,9 @@ def clean_records(
     """Cleaned flows from JSON text records with free-form keys.
 
     The 78 flow fields come out as doubles: 0.0 where a record lacks the key and null where its
-    text is no number. ``extra`` keeps every key outside the flow schema, so no data is lost.
+    text is no number, which ``refused`` then lists. ``extra`` keeps every key outside the flow schema,
+    so no data is lost. What the gate asks of the record itself stays beside it: ``missing_keys`` of
+    the critical ones, ``odd_keys`` that are no snake case even now, and ``field_count``.
     Records with exactly the keys of ``header`` in order, the usual case, are read by position;
     any other record has its keys normalised and looked up.
     """
@@ -190,10 +197,19 @@ def clean_records(
 
     others = F.map_filter("_record", lambda k, v: ~k.isin(fields))
     empty = F.create_map().cast("map<string,string>")
+    none = F.array().cast("array<string>")
+    own_keys = F.coalesce(F.map_keys("_record"), none)
+    asked = F.array(*[F.lit(k) for k in schema.CRITICAL_CLEAN])
+    facts = {
+        "missing_keys": F.when(F.col("_ordered"), none).otherwise(F.array_except(asked, own_keys)),
+        "odd_keys": F.when(F.col("_ordered"), none).otherwise(F.filter(own_keys, lambda k: ~k.rlike(SNAKE_KEY))),
+        "field_count": F.when(F.col("_ordered"), F.lit(len(fields))).otherwise(F.size(own_keys)),
+    }
     texts = records.select(
         *keep,
+        *[c.alias(name) for name, c in facts.items()],
         clean_label(F.expr(text(len(fields) - 1))).alias("label"),
         F.when(F.col("_ordered"), empty).otherwise(others).alias("extra"),
         *[F.expr(f"{text(i)} as {f}") for i, f in enumerate(schema.NUMERIC_FIELDS)],
     )
-    return _stamped(_numbers(texts, schema.NUMERIC_FIELDS, [*keep, "label", "extra"], False))
+    return _stamped(_numbers(texts, schema.NUMERIC_FIELDS, [*keep, "label", "extra", *facts], True))

@@ -13,7 +13,7 @@ from netsluice import schema
 from netsluice.operators.clean import clean_flows
 from netsluice.operators.detections import alerts
 from netsluice.plans.scoring import scored_records
-from netsluice.quality.records import TableRecords
+from netsluice.quality.records import CleanedRecords, TableRecords
 from netsluice.quality.report import QualityReport, gate, gate_each
 from netsluice.quality.rules import cleaned_rule_results, raw_rule_results, scored_rule_results
 from netsluice.sources.files import raw_numbers, read_raw_flows
@@ -52,10 +52,10 @@ def ingest_files(
 
 
 def clean_table(spark: SparkSession, raw: str, out: str) -> dict[str, int]:
-    """Raw table to cleaned table, gated; returns rows and attacks."""
+    """Raw table to cleaned table, gated; returns rows and attacks. Texts refused on the way stay in ``refused``."""
     clean_flows(spark.read.parquet(raw)).write.mode("overwrite").parquet(out)
     cleaned = spark.read.parquet(out)
-    gate(cleaned_rule_results(TableRecords(cleaned)))
+    gate(cleaned_rule_results(CleanedRecords(cleaned)))
     sums = cleaned.agg(F.count(F.lit(1)).alias("cleaned"), F.sum("is_attack").alias("attacks")).first()
     return {"cleaned": sums["cleaned"], "attacks": sums["attacks"] or 0}
 

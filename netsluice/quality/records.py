@@ -113,3 +113,40 @@ class TableRecords(RecordView):
             else "boolean" if dtype == "boolean" else "nested"
         )
         return F.when(F.col(f"`{key}`").isNull(), F.lit("null")).otherwise(F.lit(present))
+
+
+class CleanedRecords(TableRecords):
+    """A cleaned table, asked about the records it came from.
+
+    Cleaning leaves the texts it refused, the critical keys that were missing, the odd keys and the number
+    of keys beside the typed values. A table without these columns answers by its schema.
+    """
+
+    _FACTS = ("refused", "missing_keys", "odd_keys", "field_count", "extra")
+
+    def __init__(self, df: DataFrame):
+        super().__init__(df)
+        self._facts = set(self._FACTS) & set(df.columns)
+        self._types = {c: t for c, t in self._types.items() if c not in self._facts}
+
+    def _refused_text(self, key: str) -> Column:
+        if "refused" not in self._facts:
+            return F.lit(None).cast("string")
+        return F.get(F.filter("refused", lambda z: z["field"] == key), F.lit(0))["text"]
+
+    def has_keys(self, keys: Sequence[str]) -> Column:
+        if "missing_keys" not in self._facts:
+            return super().has_keys(keys)
+        return ~F.arrays_overlap("missing_keys", F.array(*[F.lit(k) for k in keys]))
+
+    def any_key(self, test: Callable[[Column], Column]) -> Column:
+        return F.exists("odd_keys", test) if "odd_keys" in self._facts else super().any_key(test)
+
+    def key_count(self) -> Column:
+        return F.col("field_count") if "field_count" in self._facts else super().key_count()
+
+    def text(self, key: str) -> Column:
+        return F.coalesce(self._refused_text(key), super().text(key))
+
+    def kind(self, key: str) -> Column:
+        return F.when(self._refused_text(key).isNotNull(), F.lit("text")).otherwise(super().kind(key))

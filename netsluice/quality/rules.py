@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from netsluice import schema
 from netsluice.functions.keys import quoted
 from netsluice.functions.numbers import decimal_sql, is_missing, parse_number, sql_name, sql_text
-from netsluice.functions.text import trimmed
+from netsluice.functions.text import SNAKE_KEY, trimmed
 from netsluice.operators.profile import duplicate_rows
 from netsluice.quality.records import RecordView
 
@@ -341,7 +341,7 @@ def cleaned_rules(records: RecordView, limits: Limits = Limits()) -> list[Rule]:
         counting_rule(
             "keys_normalized",
             "validity",
-            records.any_key(lambda k: ~k.rlike("^[a-z0-9][a-z0-9_/]*$")),
+            records.any_key(lambda k: ~k.rlike(SNAKE_KEY)),
             "records with a key not in snake case",
             **some,
         ),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsluice import schema
-from netsluice.functions.numbers import decimal_sql, finite_sql, sql_name, sql_text
+from netsluice.functions.keys import quoted
+from netsluice.functions.numbers import REFUSED, coerce_number, decimal_sql, finite_sql, grouped_number, sql_name, sql_text
 from netsluice.functions.text import latin1_to_cp1252, trimmed
 
 # --- fixed values: texts that mean "missing" in a raw flow file ---------------------
@@ -90,17 +91,37 @@ def read_raw_flows(
 
 
 def raw_numbers(df: DataFrame) -> DataFrame:
-    """Flow columns of a raw table as doubles; missing, infinite and unreadable values are null.
+    """Flow columns of a raw table as doubles; missing and infinite values are null.
 
-    Gate the text table first: it still tells unreadable from missing.
+    Text that is no number is null too, and is listed in ``refused`` as (cleaned field name, text), so
+    that cleaning and its gate still see it. Only rows with a cell that a plain cast does not take are
+    looked at cell by cell.
     """
-    return df.selectExpr(
+    types = dict(df.dtypes)
+    texts = [c for c in df.columns if c in schema.RAW_FIELDS[:-1] and types[c] == "string"]
+    others = [c for c in df.columns if c not in texts and c != "refused"]
+    if not texts:
+        return df if "refused" in df.columns else df.withColumn("refused", F.array().cast(REFUSED))
+    place = {c: i for i, c in enumerate(texts)}
+    cells = F.array(*[quoted(c) for c in texts])
+    cast = df.select(
+        *[quoted(c) for c in others],
+        cells.alias("_texts"),
+        F.array(*[F.expr(finite_sql(decimal_sql(sql_name(c)), "null")) for c in texts]).alias("_numbers"),
+    ).withColumn("_odd", F.exists(F.arrays_zip("_texts", "_numbers"), lambda z: z["_texts"].isNotNull() & z["_numbers"].isNull()))
+    named = F.arrays_zip(F.array(*[F.lit(schema.snake(c)) for c in texts]).alias("field"), F.col("_texts").alias("text"))
+    unread = F.filter(named, lambda z: coerce_number(z["text"], "string").isNull())
+    refused = F.when(F.col("_odd"), unread).otherwise(F.array()).cast(REFUSED)
+    again = F.when(F.col("_odd"), F.transform("_texts", grouped_number))
+    full = cast.withColumns({"refused": refused, "_again": again})
+    return full.select(
         *[
-            f"{finite_sql(decimal_sql(sql_name(c)), 'null')} as {sql_name(c)}"
-            if c in schema.RAW_FIELDS[:-1] and t == "string"
-            else sql_name(c)
-            for c, t in df.dtypes
-        ]
+            quoted(c) if c not in place
+            else F.expr(f"coalesce(_numbers[{place[c]}], _again[{place[c]}])").alias(c)
+            for c in df.columns
+            if c != "refused"
+        ],
+        "refused",
     )
 
 

@@ -19,20 +19,20 @@ from netsluice import schema
 from netsluice.operators.clean import clean_records
 from netsluice.operators.detections import alerts
 from netsluice.plans.scoring import scored_records
-from netsluice.quality.records import TableRecords
+from netsluice.quality.records import CleanedRecords
 from netsluice.quality.report import DataQualityError, collect_report
 from netsluice.quality.rules import cleaned_rule_results
-from netsluice.sources.files import csv_options, json_text, raw_flow_columns, raw_numbers
+from netsluice.sources.files import csv_options, json_text, raw_flow_columns
 
 
 def raw_file_stream(
     spark: SparkSession, folder: str, encoding: str = "windows-1252", files_per_trigger: int | None = None
 ) -> DataFrame:
-    """New raw flow files of a folder as JSON text records."""
+    """New raw flow files of a folder as JSON text records; every value keeps its text, missing ones are null."""
     reader = spark.readStream.schema(schema.RAW_SCHEMA).options(**csv_options(encoding))
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return json_text(raw_numbers(raw_flow_columns(reader.csv(folder), encoding)))
+    return json_text(raw_flow_columns(reader.csv(folder), encoding))
 
 
 def json_file_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -96,7 +96,7 @@ def write_gated(path: str, quarantine: str, totals: list[dict] | None = None) ->
     def write(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            report = collect_report(cleaned_rule_results(TableRecords(held)))
+            report = collect_report(cleaned_rule_results(CleanedRecords(held)))
             if not report.passed:
                 held.write.mode("overwrite").parquet(batch_path(quarantine, batch_id))
                 raise DataQualityError(report)
