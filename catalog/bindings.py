@@ -61,6 +61,21 @@ def raw_flows(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("event_
     return table(spark, sf_dir, "events").selectExpr(*keep, *columns, f"{LABEL} as Label")
 
 
+def broken_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON flow records. By event_id % 8: 1 has but a port that is no number and a label, 2 has neither,
+    3 an odd key besides, 4 an unknown label."""
+    flows = raw_flows(spark, sf_dir).withColumns(
+        {"Destination Port": F.lit("80"), "Label": F.when(F.expr("event_id % 8 = 4"), "nonsense").otherwise(F.col("Label"))}
+    )
+    names = [c for c in flows.columns if c != "event_id"]
+    full = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]))
+    odd = F.concat(F.lit('{"odd key!": "1", '), F.substring(full, 2, 1_000_000))
+    few = F.concat(F.lit('{"Destination Port": "http", "Label": "BENIGN", "n": '), F.col("event_id"), F.lit("}"))
+    kind = F.expr("event_id % 8")
+    value = F.when(kind == 1, few).when(kind == 2, F.lit('{"unknown": 1}')).when(kind == 3, odd).otherwise(full)
+    return flows.select("event_id", value.alias("value"))
+
+
 # --- flow payloads ------------------------------------------------------------------
 
 

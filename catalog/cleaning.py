@@ -20,7 +20,7 @@ from netsluice.functions.text import attack_flag, relative_age
 from netsluice.operators.clean import clean_flows, clean_label, clean_records, infinities_to_null, with_normal_keys
 from netsluice.operators.features import extract_features, prepared_dataset
 from netsluice.operators.flows import explode_payloads, parse_flows, upload_to_flows, with_flow_error
-from netsluice.sources.files import json_objects, json_text
+from netsluice.sources.files import json_objects, json_text, raw_numbers
 
 
 @query(
@@ -139,6 +139,38 @@ def refused_numbers(spark, sf_dir):
     )
 
 
+_REFUSED_WAYS = " union all ".join(
+    f"""select event_id, '{way}' as way,
+        case when event_id % 10 = 3 then null else {clean_sql('destination_port')} end as destination_port,
+        case when event_id % 10 = 4 then null else {clean_sql('flow_duration')} end as flow_duration,
+        case event_id % 10 when 3 then 'destination_port=http' when 4 then 'flow_duration=x1' else '' end as refused from events"""
+    for way in ("texts", "raw table", "records")
+)
+
+
+@query("clean_refused_batch", _REFUSED_WAYS)
+def clean_refused_batch(spark, sf_dir):
+    """Unreadable texts by three ways to the cleaned table: each keeps them, and the value is null."""
+    raw = raw_flows(spark, sf_dir).withColumns(
+        {
+            "Destination Port": F.when(F.expr("event_id % 10 = 3"), "http").otherwise(F.col("Destination Port")),
+            "Flow Duration": F.when(F.expr("event_id % 10 = 4"), "x1").otherwise(F.col("Flow Duration")),
+        }
+    )
+    records = raw.select("event_id", F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns[1:]]), {"ignoreNullFields": "false"}).alias("value"))
+    ways = {
+        "texts": clean_flows(raw, report_refused=True),
+        "raw table": clean_flows(raw_numbers(raw)),
+        "records": clean_records(records, keep=["event_id"]),
+    }
+    listed = F.array_join(F.transform("refused", lambda z: F.concat(z["field"], F.lit("="), z["text"])), ",")
+    out = [
+        df.select("event_id", F.lit(way).alias("way"), "destination_port", "flow_duration", listed.alias("refused"))
+        for way, df in ways.items()
+    ]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 _FEATURES_SHOWN = ["flow_duration", "total_fwd_packets", "fwd_iat_std", "idle_std"]
 
 

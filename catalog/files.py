@@ -9,7 +9,8 @@ from catalog.bindings import SCORED_SQL, clean_sql, raw_flows, scored_events
 from netsluice import schema
 from netsluice.operators.clean import clean_flows
 from netsluice.operators.detections import numbered_results
-from netsluice.plans.pipeline import gate_files, ingest_files
+from netsluice.plans.pipeline import file_verdicts, gate_files, ingest_files
+from netsluice.quality.report import DataQualityError
 from netsluice.session import work_path
 from netsluice.sources.files import (
     export_json_lines,
@@ -196,9 +197,49 @@ def gated_files(spark, sf_dir):
     # the driver tables repeat flows once ports and durations are levelled; that is not at issue here
     try:
         gate_files(spark, path)
-    except Exception as e:
-        failed = e.report.failures()
-        if failed != ["duplicate_row_rate"]:
+    except DataQualityError as e:
+        if e.report.failures() != ["duplicate_row_rate"]:
             raise
     df = read_raw_flows(spark, path)
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
+
+
+@query(
+    "gate_outcome",
+    """with f as (select 'good' as file, 0 as odd, 0 as http union all
+            select 'bad', (select count(*) from events where event_id % 2 = 0), (select count(*) from events where event_id % 3 = 0)),
+        r as (select unnest(['row_count_minimum', 'column_count_match', 'critical_columns_present', 'label_null_rate',
+            'no_fully_empty_rows', 'destination_port_null_rate', 'port_range_valid', 'label_values_valid', 'no_infinite_values',
+            'non_negative_numerics', 'duplicate_row_rate', 'schema_column_match']) as rule_name)
+    select file, rule_name, case rule_name when 'port_range_valid' then http = 0 when 'label_values_valid' then odd = 0
+        else true end as passed, case rule_name when 'port_range_valid' then http when 'label_values_valid' then odd end as invalid,
+        case when file = 'bad' and rule_name in ('port_range_valid', 'label_values_valid') then 1 else 0 end as stopped
+    from f cross join r""",
+)
+def gate_outcome(spark, sf_dir):
+    """A good and a bad raw file, the verdict on each rule, and the rules for which the gate stopped."""
+    path = work_path(spark, "outcome")
+    good = raw_flows(spark, sf_dir).withColumns(
+        {"Destination Port": F.lit("80"), "Flow Duration": F.col("event_id").cast("string"), "Label": F.lit("BENIGN")}
+    )
+    bad = good.withColumns(
+        {
+            "Label": F.when(F.col("event_id") % 2 == 0, "odd").otherwise(F.col("Label")),
+            "Destination Port": F.when(F.col("event_id") % 3 == 0, "http").otherwise(F.col("Destination Port")),
+        }
+    )
+    for name, df in (("good", good), ("bad", bad)):
+        df.drop("event_id").coalesce(1).write.option("header", "true").csv(f"{path}/{name}")
+    paths = [f"{path}/good", f"{path}/bad"]
+    verdicts = file_verdicts(spark, paths)
+    try:
+        gate_files(spark, paths)
+        failed = []
+    except DataQualityError as e:
+        failed = e.report.failures()
+    file = F.element_at(F.split("source", "/"), -2)
+    return verdicts.select(
+        file.alias("file"), "rule_name", "passed",
+        F.when(F.col("rule_name").isin("port_range_valid", "label_values_valid"), F.col("details")["invalid_count"].cast("bigint")).alias("invalid"),
+        F.when((file == "bad") & F.col("rule_name").isin(*failed, ""), 1).otherwise(0).alias("stopped"),
+    )

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query, table
-from catalog.bindings import PROPS_NUMBER, clean_sql, number_sql, raw_flows
+from catalog.bindings import PROPS_NUMBER, broken_records, clean_sql, number_sql, raw_flows
 from netsluice import schema
-from netsluice.operators.clean import clean_flows
+from netsluice.operators.clean import clean_flows, clean_records
 from netsluice.plans.staging import staging_test_results, stage_network_logs
 from netsluice.quality.column_tests import ColumnTest, column_test_results
-from netsluice.quality.records import JsonRecords, TableRecords
+from netsluice.quality.records import CleanedRecords, JsonRecords, TableRecords
 from netsluice.quality.report import report_rows
 from netsluice.quality.rules import (
     cleaned_rule_results,
@@ -297,3 +297,19 @@ def staging_logs(spark, sf_dir):
 )
 def staging_tests(spark, sf_dir):
     return staging_test_results(_logs(spark, sf_dir))
+
+
+@query(
+    "dq_cleaned_after_cleaning",
+    """with n as (select unnest(['critical_keys_present', 'keys_normalized', 'port_values_valid',
+            'cleaned_label_values_valid', 'record_field_count']) as rule_name, unnest([1, 3, 1, 4, 1]) as a, unnest([2, 3, 1, 4, 2]) as b),
+        c as (select rule_name, count(*) filter (where event_id % 8 in (a, b)) as invalid from n cross join events group by rule_name)
+    select rule_name, invalid = 0 as passed, invalid from c
+    union all select 'record_count_minimum', true, null""",
+)
+def dq_cleaned_after_cleaning(spark, sf_dir):
+    """The second gate over cleaned records fails for what was wrong with the records before."""
+    cleaned = clean_records(broken_records(spark, sf_dir))
+    return cleaned_rule_results(CleanedRecords(cleaned)).select(
+        "rule_name", "passed", F.col("details")["invalid_count"].cast("bigint").alias("invalid")
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from catalog import query, table
-from catalog.bindings import CLEAN_LABEL, IS_ATTACK, OUTCOME, SCORE, SECONDS, clean_sql, raw_flows
+from catalog.bindings import CLEAN_LABEL, IS_ATTACK, OUTCOME, SCORE, SECONDS, broken_records, clean_sql, raw_flows
 from catalog.detecting import RATES_SQL, _attack, _time
 from netsluice import schema
 from netsluice.functions.text import signal_value
@@ -16,6 +17,7 @@ from netsluice.streaming.stages import (
     bounded,
     cleaned_stream,
     json_file_stream,
+    raw_file_stream,
     run_gated,
     run_scoring,
     run_to_table,
@@ -78,6 +80,59 @@ def stream_gated(spark, sf_dir):
     return df.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(n))
 
 
+@query(
+    "stream_gated_bad",
+    """select 'quarantined' as what, count(*) as rows from events union all
+    select 'refused port', count(*) from events where event_id % 8 = 1 union all
+    select 'missing keys', count(*) from events where event_id % 8 in (1, 2) union all
+    select 'odd keys', count(*) from events where event_id % 8 = 3 union all
+    select 'unknown label', count(*) from events where event_id % 8 = 4 union all
+    select 'few fields', count(*) from events where event_id % 8 in (1, 2)""",
+)
+def stream_gated_bad(spark, sf_dir):
+    """A batch with broken records stops the gated stage and lies in the quarantine, with what was wrong beside the rows."""
+    out, held, files = (work_path(spark, n) for n in ("let-through", "quarantine", "records"))
+    broken_records(spark, sf_dir).select("value").repartition(4).write.text(files)
+    stream = cleaned_stream(json_file_stream(spark, files))
+    try:
+        run_gated(stream, out, held, work_path(spark, "checkpoint")).awaitTermination()
+    except StreamingQueryException as e:
+        if "DataQualityError" not in str(e):
+            raise
+    kinds = {
+        "quarantined": F.lit(True), "refused port": F.exists("refused", lambda z: z["field"] == "destination_port"),
+        "missing keys": F.size("missing_keys") > 0, "odd keys": F.size("odd_keys") > 0,
+        "unknown label": F.col("label") == "nonsense", "few fields": F.col("field_count") < schema.MIN_RECORD_FIELDS,
+    }
+    rows = spark.read.parquet(held).agg(*[F.count(F.when(c, 1)).alias(k) for k, c in kinds.items()])
+    return rows.select(F.inline(F.array(*[F.struct(F.lit(k).alias("what"), F.col(f"`{k}`").alias("rows")) for k in kinds])))
+
+
+@query(
+    "stream_raw_files",
+    f"""select event_id % 2 as file, count(*) as rows, sum({clean_sql('flow_duration')}) as duration,
+        count(*) filter (where event_id % 10 = 3) as refused from events group by 1""",
+)
+def stream_raw_files(spark, sf_dir):
+    """Raw CSV files to records to cleaned flows, by two streams; unreadable ports come through as refused texts."""
+    raw, lines, out = (work_path(spark, n) for n in ("raw-files", "lines", "cleaned"))
+    flows = raw_flows(spark, sf_dir).withColumns(
+        {
+            "Destination Port": F.when(F.expr("event_id % 10 = 3"), "http").otherwise(F.lit("80")),
+            "Flow IAT Min": F.expr("cast(event_id % 2 as string)"),
+        }
+    )
+    flows.drop("event_id").repartition(3).write.option("header", "true").csv(raw)
+    records = raw_file_stream(spark, raw, files_per_trigger=2)
+    bounded(records.writeStream.format("text").outputMode("append"), work_path(spark, "checkpoint")).start(lines).awaitTermination()
+    cleaned = cleaned_stream(json_file_stream(spark, lines)).drop("extra")
+    run_to_table(cleaned, out, work_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(out).groupBy(F.col("flow_iat_min").cast("bigint").alias("file")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("flow_duration").alias("duration"),
+        F.count(F.when(F.size("refused") > 0, 1)).alias("refused"),
+    )
+
+
 @query(
     "stream_scores",
     "select count(*) as scored, 0 as alerts, '1.0.0' as version from events",

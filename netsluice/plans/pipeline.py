@@ -14,23 +14,26 @@ from netsluice.operators.clean import clean_flows
 from netsluice.operators.detections import alerts
 from netsluice.plans.scoring import scored_records
 from netsluice.quality.records import CleanedRecords, TableRecords
-from netsluice.quality.report import QualityReport, gate, gate_each
+from netsluice.quality.report import gate, gate_each
 from netsluice.quality.rules import cleaned_rule_results, raw_rule_results, scored_rule_results
 from netsluice.sources.files import raw_numbers, read_raw_flows
 from netsluice.sources.interleave import file_positions, first_rows, interleave
 
 
-def gate_files(
-    spark: SparkSession, paths: str | Sequence[str], first: int | None = None, **options
-) -> dict[str, QualityReport]:
-    """Gate every raw file with one job; ``first`` restricts the check to a file's first rows."""
+def file_verdicts(spark: SparkSession, paths: str | Sequence[str], first: int | None = None, **options) -> DataFrame:
+    """The raw rules' results of every file, by one job; ``first`` restricts the check to a file's first rows."""
     if first is None:
         df = read_raw_flows(spark, paths, with_position=True, **options).drop("block", "line_order")
     else:
         df = first_rows(
             file_positions(read_raw_flows(spark, paths, with_position=True, **options)), n=first
         ).drop("line")
-    return gate_each(raw_rule_results(df, by=["source"]), "source")
+    return raw_rule_results(df, by=["source"])
+
+
+def gate_files(spark: SparkSession, paths: str | Sequence[str], first: int | None = None, **options) -> DataFrame:
+    """Gate every raw file; returns the verdicts (source, rule, ...), or raises with the first failing file's report."""
+    return gate_each(file_verdicts(spark, paths, first, **options), "source")
 
 
 def ingest_files(
