@@ -82,6 +82,13 @@ def test_line_numbers_over_file_splits(spark, landing, split):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_line_numbers_move_no_rows(spark, landing):
+    """Only block sizes are exchanged; the flow columns go from the scan to the result."""
+    lines = first_rows(file_positions(read_raw_flows(spark, str(landing), with_position=True)), n=10)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan and "Sort [" not in plan
+
+
 def test_first_rows_per_file(spark, landing):
     lines = file_positions(read_raw_flows(spark, str(landing), with_position=True))
     assert first_rows(lines, n=10).groupBy("source").count().agg(F.max("count")).first()[0] == 10
