@@ -58,8 +58,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_known) > REMEMBERED:
         _known.clear()
     h = xxhash.xxh64_intdigest
-    for w in set(words) - _known.keys():
-        _known[w] = h(w)
+    for w in set(words):
+        if w not in _known:
+            _known[w] = h(w)
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
