@@ -2,7 +2,9 @@
 
 A rule is a set of named aggregate measures and a verdict over them. All measures of a stage go
 into a single ``agg`` (grouped by file where asked), and the one result row is turned into a row
-per rule. Only repeated rows need a shuffle of their own.
+per rule. The raw rules count small whole numbers that each row gives by itself, so equal rows
+give equal ones: the rows are grouped by their digest, with their numbers packed into a long, and
+copies and measures come from one pass over the table.
 """
 
 from __future__ import annotations
@@ -14,10 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsluice import schema
-from netsluice.functions.keys import quoted
+from netsluice.functions.keys import quoted, row_digest
 from netsluice.functions.numbers import decimal_sql, is_missing, parse_number, sql_name, sql_text
 from netsluice.functions.text import SNAKE_KEY, trimmed
-from netsluice.operators.profile import duplicate_rows
 from netsluice.quality.records import RecordView
 
 RAW_STAGE = "raw_csv_validation"
@@ -49,6 +50,7 @@ class Rule:
     details: dict[str, Column] = field(default_factory=dict)
     severity: Column = field(default_factory=lambda: F.lit("error"))
     applies: Column = field(default_factory=lambda: F.lit(True))
+    cells: dict[str, tuple[Column, int]] = field(default_factory=dict)  # number of a row, and the largest it can be
 
 
 def _m(rule: str, measure: str) -> Column:
@@ -69,7 +71,7 @@ def counting_rule(name: str, category: str, offending: Column, subject: str, **m
         n == 0,
         F.concat(_text(n), F.lit(f" {subject}")),
         {"invalid_count": _text(n)},
-        **more,
+        **({"cells": {"n": (offending, 1)}} | more),
     )
 
 
@@ -114,14 +116,16 @@ def rule_rows(measured: DataFrame, stage: str, rules: Sequence[Rule], by: Sequen
 
 
 def _is_null_rate(name: str, column: str, dtype: str, limit: float) -> Rule:
-    rate = _m(name, "rate")
+    rows = _m(name, "rows")
+    rate = F.when(rows > 0, _m(name, "nulls") / rows)
     return Rule(
         name,
         "completeness",
-        {"rate": F.avg(is_missing(quoted(column), dtype).cast("int"))},
+        {},
         rate <= limit,  # an empty table has no rate and fails
         F.format_string(f"{column}: null rate %.4f, at most {limit}", rate),
         {"null_rate": _text(F.round(rate, 6)), "threshold": F.lit(str(limit))},
+        cells={"rows": (F.lit(1), 1), "nulls": (is_missing(quoted(column), dtype), 1)},
     )
 
 
@@ -153,11 +157,11 @@ def _duplicate_rule(limit: float) -> Rule:
 def _negative_rule(df: DataFrame, columns: Sequence[str], limit: float) -> Rule:
     types = dict(df.dtypes)
     name = "non_negative_numerics"
-    measures = {"rows": F.count(F.lit(1))}
+    numbers: dict[str, tuple[Column, int]] = {"rows": (F.lit(1), 1)}
     for i, c in enumerate(columns):
         # NaN is above every number, so it is not below zero
         number = decimal_sql(sql_name(c)) if types[c] == "string" else sql_name(c)
-        measures[f"c{i}"] = F.expr(f"count_if({number} < 0)")
+        numbers[f"c{i}"] = (F.expr(f"{number} < 0"), 1)
     cells = F.expr(" + ".join(["0L", *[f"{name}__c{i}" for i in range(len(columns))]]))
     rate = cells / F.greatest(_m(name, "rows"), F.lit(1))
     counts = [
@@ -167,7 +171,7 @@ def _negative_rule(df: DataFrame, columns: Sequence[str], limit: float) -> Rule:
     return Rule(
         name,
         "validity",
-        measures,
+        {},
         cells == 0,
         F.when(cells == 0, F.lit("no negative values")).otherwise(
             F.concat(F.lit("negative values in "), listing, F.format_string(f"; rate %.4f, tolerated {limit}", rate))
@@ -178,6 +182,7 @@ def _negative_rule(df: DataFrame, columns: Sequence[str], limit: float) -> Rule:
             "threshold": F.lit(str(limit)),
         },
         severity=F.when((cells > 0) & (rate <= limit), F.lit("warning")).otherwise(F.lit("error")),
+        cells=numbers,
     )
 
 
@@ -191,10 +196,11 @@ def raw_rules(df: DataFrame, limits: Limits = Limits(), by: Sequence[str] = ())
         Rule(
             "row_count_minimum",
             "completeness",
-            {"n": F.count(F.lit(1))},
+            {},
             rows > 0,
             F.concat(_text(rows), F.lit(" rows")),
             {"row_count": _text(rows)},
+            cells={"n": (F.lit(1), 1)},
         )
     )
     expected_count = len(schema.RAW_FIELDS)
@@ -246,7 +252,8 @@ def raw_rules(df: DataFrame, limits: Limits = Limits(), by: Sequence[str] = ())
         )
     cells = [f"if(abs({sql_name(c)}) = double('Infinity'), 1, 0)" for c in columns if types[c] in floating]
     infinite = F.expr(" + ".join(["0", *cells]))
-    rules.append(counting_rule("no_infinite_values", "validity", infinite, "infinite values"))
+    most = {"cells": {"n": (infinite, max(1, len(cells)))}}
+    rules.append(counting_rule("no_infinite_values", "validity", infinite, "infinite values", **most))
     rules.append(_negative_rule(df, [c for c in schema.NON_NEGATIVE_RAW if c in columns], limits.negative_rate))
     rules.append(_duplicate_rule(limits.duplicate_rate))
     expected = set(schema.RAW_HEADER)
@@ -266,21 +273,40 @@ def raw_rules(df: DataFrame, limits: Limits = Limits(), by: Sequence[str] = ())
 def raw_rule_results(
     df: DataFrame, limits: Limits = Limits(), by: Sequence[str] = (), by_digest: bool = True
 ) -> DataFrame:
-    """Results of the raw-table rules, one row per rule, or per group and rule."""
+    """Results of the raw-table rules, one row per rule, or per group and rule.
+
+    One pass: equal rows are counted before the shuffle, which carries a digest (or, without
+    ``by_digest``, the row itself), a count and the packed numbers.
+    """
     df = df.toDF(*[c.strip() for c in df.columns])
     rules = raw_rules(df, limits, by)
-    aggs = [m.alias(f"{r.name}__{k}") for r in rules for k, m in r.measures.items()]
-    measured = df.groupBy(*by).agg(*aggs)
-    repeats = duplicate_rows(df, [c for c in df.columns if c not in by], by, by_digest).select(
-        *by,
-        F.col("rows").alias("duplicate_row_rate__rows"),
-        F.col("duplicates").alias("duplicate_row_rate__repeats"),
+    places, packed, word, bit = [], [F.lit(0).cast("bigint")], 0, 0
+    for r in rules:
+        for k, (number, most) in r.cells.items():
+            if bit + most.bit_length() > 62:
+                packed.append(F.lit(0).cast("bigint"))
+                word, bit = word + 1, 0
+            value = F.coalesce(number.cast("bigint"), F.lit(0))
+            packed[word] = packed[word].bitwiseOR(F.shiftleft(value, bit))
+            places.append((f"{r.name}__{k}", word, bit, (1 << most.bit_length()) - 1))
+            bit += most.bit_length()
+    columns = [c for c in df.columns if c not in by]
+    keys = [row_digest(df, columns).alias("_digest")] if by_digest else [quoted(c) for c in columns]
+    words = [f"_w{i}" for i in range(len(packed))]
+    copies = (
+        df.select(*by, *keys, *[p.alias(w) for p, w in zip(packed, words)])
+        .groupBy(*by, *(["_digest"] if by_digest else [quoted(c) for c in columns]))
+        .agg(F.count(F.lit(1)).alias("_copies"), *[F.first(w).alias(w) for w in words])
+    )
+    sums = [
+        F.coalesce(F.sum(F.col("_copies") * F.shiftright(F.col(f"_w{w}"), bit).bitwiseAND(mask)), F.lit(0)).alias(name)
+        for name, w, bit, mask in places
+    ]
+    rows, kinds = F.coalesce(F.sum("_copies"), F.lit(0)), F.count(F.lit(1))
+    measured = copies.groupBy(*by).agg(
+        *sums, rows.alias("duplicate_row_rate__rows"), (rows - kinds).alias("duplicate_row_rate__repeats")
     )
-    # the two results meet by union and regrouping, so that no join is needed without groups
-    both = measured.unionByName(repeats, allowMissingColumns=True)
-    measures = [c for c in both.columns if c not in by]
-    both = both.groupBy(*by).agg(*[F.max(c).alias(c) for c in measures])
-    return rule_rows(both, RAW_STAGE, rules, by)
+    return rule_rows(measured, RAW_STAGE, rules, by)
 
 
 def unknown_labels(df: DataFrame, label: str) -> DataFrame:
