@@ -23,7 +23,7 @@ from netsluice.sources.files import (
     read_upload,
 )
 from netsluice.sources.interleave import file_positions
-from netsluice.sources.landing import admission, landing_changes
+from netsluice.sources.landing import admission, admit_landing, landing_changes, list_landing, write_files
 
 
 @query(
@@ -149,6 +149,36 @@ def cleaned_csv_scan(spark, sf_dir):
 
 
 
+_PAGE_FILES = "select page_id, case when page_id % 4 = 0 then chr(9) || chr(10) || html when page_id % 4 = 1 then 'x,y' || chr(10) || html else html end as content from pages"
+
+
+@query(
+    "landing_folder",
+    f"""with f as ({_PAGE_FILES}), h as (select page_id, strlen(content) as length, lower(ltrim(left(content, 512), ' ' || chr(9) || chr(10))) as head from f)
+    select page_id, length, length >= 2000 and not (starts_with(head, '<!doctype') or starts_with(head, '<html')) as admitted,
+        case when length < 2000 then 'too small' when starts_with(head, '<!doctype') or starts_with(head, '<html') then 'html page' end as reason,
+        case when page_id % 3 = 0 then 'added' end as change from h""",
+)
+def landing_folder(spark, sf_dir):
+    """Pages as files of a real folder: what is let in by its first bytes, and what came since an earlier listing."""
+    path = work_path(spark, "landing")
+    content = (
+        F.when(F.expr("page_id % 4 = 0"), F.concat(F.lit("\t\n"), "html"))
+        .when(F.expr("page_id % 4 = 1"), F.concat(F.lit("x,y\n"), "html"))
+        .otherwise(F.col("html"))
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", F.encode(content, "UTF-8").alias("content"))
+    write_files(pages.where("page_id % 3 <> 0").select(F.concat("page_id", F.lit(".csv")).alias("name"), "content"), path)
+    before = list_landing(spark, path)
+    before = spark.createDataFrame(before.collect(), before.schema)  # the state that an earlier run kept, a row per page
+    write_files(pages.where("page_id % 3 = 0").select(F.concat("page_id", F.lit(".csv")).alias("name"), "content"), path)
+    number = F.regexp_extract("name", r"^(\d+)", 1).cast("bigint")
+    changes = landing_changes(list_landing(spark, path), before)
+    return admit_landing(spark, path, min_bytes=2_000).join(changes, "name", "left").select(
+        number.alias("page_id"), "length", "admitted", "reason", "change"
+    )
+
+
 @query(
     "landing_changes",
     """select cast(doc_id as varchar) as name, case when doc_id % 5 = 0 then 'added' when doc_id % 5 = 1 then 'removed'

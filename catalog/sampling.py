@@ -101,8 +101,9 @@ def approximate_split(spark, sf_dir):
 
 @query(
     "stratified_folds",
-    f"""select event_id, cast((row_number() over (partition by event_type order by {_order('event_id')}) - 1) % 5 as int)
-        as fold from events""",
+    f"""with r as (select event_id, row_number() over (partition by event_type order by {_order('event_id')}) as p,
+            count(*) over (partition by event_type) as n from events)
+    select event_id, cast({' + '.join(f'(n * {j} // 5 < p)::int' for j in range(1, 5))} as int) as fold from r""",
 )
 def stratified_folds(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", "event_type")

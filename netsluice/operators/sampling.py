@@ -7,13 +7,14 @@ filter on the scan, with no shuffle of the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsluice.functions.keys import hash_bucket, hash_order, row_digest
-from netsluice.operators.ranking import position_by_hash, position_by_number
+from netsluice.operators.ranking import position_by_number
 from netsluice.session import stored
 
 
@@ -41,31 +42,41 @@ def class_sizes(df: DataFrame, target: str) -> DataFrame:
     return df.groupBy(target).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def bucket_digits(largest: int) -> int:
+    """Hex digits by which a class of so many rows falls into buckets of some ten thousand rows at most."""
+    return max(4, math.ceil(math.log(max(largest, 1) / 10_000, 16)))
+
+
 def hash_cuts(
-    df: DataFrame, target: str, keys: Sequence[str], seed: int, wanted: DataFrame, digits: int = 4
+    df: DataFrame, target: str, keys: Sequence[str], seed: int, wanted: DataFrame, digits: int | None = None
 ) -> DataFrame:
-    """Per class the digest of its ``wanted``-th row in hash order.
+    """Per class and wanted number the digest of its ``wanted``-th row in hash order, as (target, wanted, cut).
 
-    ``wanted`` has the columns (target, wanted); a class wanted 0 times gets no row.
+    ``wanted`` has the columns (target, wanted), any number of rows per class; 0 gets no row. Only the rows
+    of the buckets in which a cut lies are sorted, bucket by bucket.
     """
+    if digits is None:
+        digits = bucket_digits(class_sizes(df, target).agg(F.max("rows")).first()[0] or 0)
     ordered = df.select(F.col(target), hash_order(keys, seed).alias("_order")).withColumn(
         "_bucket", hash_bucket(F.col("_order"), digits)
     )
     running = Window.partitionBy(target).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cut_bucket = (
-        ordered.groupBy(target, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(running))
-        .join(wanted, target)
+    sizes = ordered.groupBy(target, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    cut_bucket = stored(
+        sizes.withColumn("_upto", F.sum("_n").over(running))
+        .join(wanted.select(target, "wanted"), target)
         .where((F.col("_upto") >= F.col("wanted")) & (F.col("_upto") - F.col("_n") < F.col("wanted")))
-        .select(target, "_bucket", (F.col("wanted") - F.col("_upto") + F.col("_n")).alias("_need"))
+        .select(target, "_bucket", "wanted", (F.col("wanted") - F.col("_upto") + F.col("_n")).alias("_need")),
+        "cut",
+    )
+    inside = Window.partitionBy(target, "_bucket").orderBy("_order")
+    ranked = ordered.join(cut_bucket.select(target, "_bucket").distinct(), [target, "_bucket"], "left_semi").withColumn(
+        "_rank", F.row_number().over(inside)
     )
-    inside = Window.partitionBy(target).orderBy("_order")
     return (
-        ordered.join(stored(cut_bucket, "cut"), [target, "_bucket"])
-        .withColumn("_rank", F.row_number().over(inside))
+        ranked.join(cut_bucket, [target, "_bucket"])
         .where(F.col("_rank") == F.col("_need"))
-        .select(target, F.col("_order").alias("cut"))
+        .select(target, "wanted", F.col("_order").alias("cut"))
     )
 
 
@@ -120,7 +131,7 @@ def stratified_split(
 ) -> DataFrame:
     """Add 1 for hold-out rows, 0 for training rows, each class split in the same proportion."""
     wanted = stored(holdout_sizes(df, target, fraction).where(F.col("wanted") > 0), "wanted")
-    cuts = stored(hash_cuts(df, target, keys, seed, wanted).withColumnRenamed(target, "_class"), "cuts")
+    cuts = stored(hash_cuts(df, target, keys, seed, wanted).select(F.col(target).alias("_class"), "cut"), "cuts")
     order = hash_order(keys, seed)
     return (
         df.join(cuts, F.col(target).eqNullSafe(F.col("_class")), "left")
@@ -145,10 +156,26 @@ def stratified_folds(
     seed: int = 42,
     name: str = "fold",
 ) -> DataFrame:
-    """Add a fold number 0..k-1; inside each class fold sizes differ by at most one row."""
-    return position_by_hash(df, [target], keys, seed, "_position").withColumn(
-        name, F.pmod(F.col("_position") - 1, F.lit(k)).cast("int")
-    ).drop("_position")
+    """Add a fold number 0..k-1; inside each class fold sizes differ by at most one row.
+
+    A fold is a range of the hash order, so its number is that of the class's k - 1 cuts below a row's
+    digest: a comparison on the scan, which moves no row. Rows without a class are a class of their own.
+    """
+    rows = df.withColumn("_class", F.struct(F.col(target).alias("of")))
+    sizes = rows.groupBy("_class").agg(F.count(F.lit(1)).alias("rows"))
+    parts = F.explode(F.sequence(F.lit(1), F.lit(k - 1))) if k > 1 else F.explode(F.array().cast("array<int>"))
+    wanted = sizes.select("_class", "rows", parts.alias("_j")).select(
+        "_class", F.floor(F.col("rows") * F.col("_j") / k).cast("bigint").alias("wanted")
+    )
+    cuts = hash_cuts(rows, "_class", keys, seed, stored(wanted.where("wanted > 0"), "wanted"))
+    lists = cuts.join(wanted, ["_class", "wanted"]).groupBy("_class").agg(F.collect_list("cut").alias("_cuts"))  # k - 1 at most
+    none = wanted.groupBy("_class").agg(F.count(F.when(F.col("wanted") == 0, 1)).alias("_empty"))
+    sides = stored(none.join(lists, "_class", "left"), "cuts")
+    order = hash_order(keys, seed)
+    below = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_order"))), F.lit(0))
+    numbered = rows.withColumn("_order", order).join(sides, "_class", "left")
+    fold = F.coalesce(F.greatest(below, F.lit(0)) + F.col("_empty"), F.lit(0)).cast("int")
+    return numbered.withColumn(name, fold).drop("_class", "_order", "_cuts", "_empty")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsluice.functions.numbers import sql_name
+
 # --- fixed values --------------------------------------------------------------------
 MIN_FILE_BYTES = 1_000_000
 SNIFFED_BYTES = 512
 HTML_STARTS = ["<!doctype", "<html"]
 
 
-def list_landing(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """Files of a folder as (name, modified, length); their content is not read."""
+def _listing(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .load(folder)
         .select(
+            "path",
             F.element_at(F.split("path", "/"), -1).alias("name"),
             F.col("modificationTime").alias("modified"),
             "length",
@@ -25,6 +31,11 @@ def list_landing(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Da
     )
 
 
+def list_landing(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """Files of a folder as (name, modified, length); their content is not read."""
+    return _listing(spark, folder, pattern).drop("path")
+
+
 def landing_changes(current: DataFrame, last: DataFrame) -> DataFrame:
     """Files added, changed or removed since the last state; an empty result means nothing to do."""
     was = last.select(
@@ -57,28 +68,49 @@ def admission(files: DataFrame, min_bytes: int = MIN_FILE_BYTES) -> DataFrame:
     return files.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull())
 
 
+def with_heads(listing: DataFrame, path: str = "path") -> DataFrame:
+    """Add the first SNIFFED_BYTES bytes of each listed file as ``content``; nothing behind them is read.
+
+    One bounded read per file, spread over the tasks, by the file system that the path names.
+    """
+    kinds = ", ".join(f"{sql_name(f.name)} {f.dataType.simpleString()}" for f in listing.schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for name in batch.column(path).to_pylist():
+                store, inner = fs.FileSystem.from_uri(name)
+                with store.open_input_stream(inner, compression=None) as f:
+                    heads.append(f.read(SNIFFED_BYTES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=[*batch.schema.names, "content"])
+
+    return listing.mapInArrow(read, f"{kinds}, content binary")
+
+
 def admit_landing(
     spark: SparkSession, folder: str, pattern: str = "*.csv", min_bytes: int = MIN_FILE_BYTES
 ) -> DataFrame:
     """Admission of the files in a folder as (name, length, admitted, reason).
 
-    Small files are refused from the listing. Of the others the first line that is not blank is
-    taken with the text reader, so that no file is ever held whole in memory.
+    Small files are refused from the listing; of the others the first bytes alone are looked at.
     """
-    names = list_landing(spark, folder, pattern)
-    heads = (
-        spark.read.option("pathGlobFilter", pattern)
-        .text(folder)
-        .where(F.col("_metadata.file_size") >= min_bytes)
-        .select(
-            F.col("_metadata.file_name").alias("name"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-            "value",
-        )
-        .where((F.col("block") == 0) & (F.trim("value") != ""))
-        .groupBy("name")
-        .agg(F.min_by("value", "line").alias("head"))
-    )
-    files = names.join(heads, "name", "left").withColumn("content", F.coalesce("head", F.lit("")).cast("binary"))
-    return admission(files, min_bytes).select("name", "length", "admitted", "reason")
+    files = _listing(spark, folder, pattern).select("path", "name", "length")
+    small = files.where(F.col("length") < min_bytes).withColumn("content", F.lit(b""))
+    n = spark.sparkContext.defaultParallelism
+    large = with_heads(files.where(F.col("length") >= min_bytes).repartition(n, "path"))
+    return admission(small.unionByName(large), min_bytes).select("name", "length", "admitted", "reason")
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write each row (name, content) as a file of the folder; returns how many. A second attempt writes the same bytes."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inner = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(inner, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                with store.open_output_stream(f"{inner}/{name}", compression=None) as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return rows.select("name", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0

@@ -158,6 +158,10 @@ def test_admission(spark, tmp_path):
     (tmp_path / "good.csv").write_text("a,b\n" + "1,2\n" * 100)
     found = {r.name: (r.admitted, r.reason) for r in admit_landing(spark, str(tmp_path), min_bytes=100).collect()}
     assert found == {"small.csv": (False, "too small"), "page.csv": (False, "html page"), "good.csv": (True, None)}
+    (tmp_path / "tab.csv").write_text("\t\n<html>" + "x" * 300)
+    (tmp_path / "far.csv").write_text("\n" * 600 + "<html>" + "x" * 300)
+    found = {r.name: r.admitted for r in admit_landing(spark, str(tmp_path), min_bytes=100).collect()}
+    assert not found["tab.csv"] and found["far.csv"]  # only the first 512 bytes count
     texts = spark.createDataFrame([("\n\t <HTML lang=x>",), ("a <html>",), ("",)], "t string")
     assert [r[0] for r in texts.select(starts_like_html(F.col("t").cast("binary"))).collect()] == [True, False, False]
 

@@ -130,6 +130,19 @@ def test_infinite_values_have_ranks(spark, limits):
     assert [r.value for r in alone] == [3.0] and exact_quantiles(df.limit(0), ["x"], [0.5]).collect() == []
 
 
+def test_folds_move_no_rows(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 3).alias("c"), F.rand(1).alias("wide"))
+    folds = sampling.stratified_folds(df, ["id"], "c", 4)
+    plan = folds._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    sizes = folds.groupBy("c", "fold").count().collect()
+    assert len(sizes) == 12 and {r["count"] for r in sizes} <= {416, 417}
+    few = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id int, c string")
+    assert len({(r.c, r.fold) for r in sampling.stratified_folds(few, ["id"], "c", 5).collect()}) == 3
+    assert {r.fold for r in sampling.stratified_folds(few, ["id"], "c", 1).collect()} == {0}
+    assert sampling.bucket_digits(10**12) == 7
+
+
 def test_profile_edge_cases(spark):
     df = spark.createDataFrame(
         [(1.0, None, "a"), (1.0, math.nan, "a"), (1.0, 0.0, None), (1.0, -0.0, None)], "x double, y double, s string"
