@@ -1,8 +1,4 @@
-"""Registered queries against their SQL twins at the smallest scale.
-
-The slow ones (training, streams, file round trips) run with NETSLUICE_ALL=1, or in
-``check_queries.py``.
-"""
+"""Registered queries against their SQL twins at the smallest scale."""
 
 import os
 
@@ -12,7 +8,7 @@ import __spark_entry__ as entry_points
 from check_queries import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SLOW = ("stream_", "ingest_", "training_", "score_flows", "dq_raw", "gate_files", "clean_json", "json_flow", "cleaned_csv")
+LLM = ("op", "pipeline")  # held against brute force in tests/llm
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -23,8 +19,7 @@ def duck():
 
 
 def wanted():
-    names = entry_points.queries()
-    return [n for n in names if os.environ.get("NETSLUICE_ALL") or not n.startswith(SLOW)]
+    return [n for n in entry_points.queries() if not n.startswith(LLM)]
 
 
 @pytest.mark.parametrize("name", wanted())
