@@ -420,8 +420,8 @@ def digests_without_repeats(
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, judged on the input.
 
-    Order is that of doc_id, rows without an id last; rows that share an id are ordered by their place in
-    the input, the later ones being repeats of the first. A null text is empty. ``in_place`` says that
+    Order is that of doc_id, rows without an id last; rows that share an id are ordered by file and row of
+    the table read, one of them being the first. A null text is empty. ``in_place`` says that
     ``df`` is a plain Parquet table, read as it is; anything else is written to the shared folder first.
     """
     scan, folder = _applied(df, length, gram, in_place, id_col, text_col)
