@@ -57,6 +57,10 @@ class _Brackets:
             same = same & F.col(c).eqNullSafe(F.col(f"of{c}"))
         return left.join(renamed, same).drop(*[f"of{c}" for c in shared])
 
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """The rows evaluated: a row per group in a table, or the one row of columns x probabilities as it is."""
+        return stored(rows, "brackets") if self.by else rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
     def keys(self) -> list[str]:
         return [f"_{k}" for k in range(len(self.by))]
 
@@ -185,13 +189,13 @@ def exact_quantiles(
     """
     window_rows = WINDOW_ROWS if window_rows is None else window_rows
     state = _Brackets(columns, probs, by)
-    brackets = stored(state.first(df), "brackets")
+    brackets = state.kept(state.first(df))
     while True:
-        counted = stored(state.counted(df, brackets, grid=False), "brackets")
+        counted = state.kept(state.counted(df, brackets, grid=False))
         if not counted.where(state.open_cells(window_rows) > 0).limit(1).count():
             return state.read_off(df, counted)
-        sketched = stored(state.counted(df, brackets, grid=True), "brackets")
-        brackets = stored(state.narrowed(sketched, window_rows), "brackets")
+        sketched = state.kept(state.counted(df, brackets, grid=True))
+        brackets = state.kept(state.narrowed(sketched, window_rows))
 
 
 def quantile_caps(df: DataFrame, column: str, by: str, prob: float = 0.99) -> DataFrame:
