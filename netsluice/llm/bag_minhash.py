@@ -8,8 +8,8 @@ equal to their weighted Jaccard similarity, without bias. Points come in order o
 before a document's horizon, by which all its registers are all but surely filled, are ever made.
 
 Registers are banded. Documents of one multiset are one node. Nodes that share a band are compared with
-the band's first node, then with further ones as long as parts of the band lie in different components;
-the overlap of the multisets decides each link, exactly.
+the band's first node; where parts of the band then lie in different components, all nodes of different
+ones are compared in the task where they meet. The overlap of the multisets decides each link, exactly.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsluice.llm.common import documents, per_block, written
@@ -32,6 +32,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_REGISTERS = 20, 3
 #: Words whose hashes a worker remembers before it forgets all of them.
 REMEMBERED = 250_000
+#: Shingles of a block of a band, about.
+SET_BLOCK = 1_000_000
 
 GOLDEN, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 SKETCH = pa.schema(
@@ -190,6 +192,96 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def compared_bands(members: DataFrame, of: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between nodes of one band and of different components: enough of them to join what all links join.
+
+    Nodes are compared where their band brings them together, in blocks of about SET_BLOCK shingles that split
+    large bands; a pair is compared in the first band that it shares. What leaves a task is a forest of edges.
+    """
+    state = members.join(of, "node", "left").select(
+        "band", "place", "node", F.coalesce("component", "node").alias("component"), "n"
+    )
+    open_bands = (
+        state.groupBy("band")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n") / SET_BLOCK).cast("int").alias("blocks"))
+        .filter("low < high").select("band", "blocks")
+    )
+    placed = (
+        state.join(open_bands, "band").join(sets.select("node", "shingles"), "node").join(nodes.select("node", "bands"), "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    )
+    columns = ["band", "place", "node", "component", "shingles", "bands"]
+    first = placed.select(*columns, F.lit(True).alias("one"), F.col("block").alias("a"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("b"))
+    second = placed.filter("block > 0").select(
+        *columns, F.lit(False).alias("one"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("a"), F.col("block").alias("b")
+    )
+
+    def compare(batches):
+        group: tuple | None = None
+        rows: list[tuple] = []
+        out: list[tuple[int, int]] = []
+        for batch in batches:
+            table = {c: batch.column(c) for c in ("band", "a", "b", "place", "node", "component", "one")}
+            table = {c: x.to_pylist() for c, x in table.items()}
+            for i in range(batch.num_rows):
+                key = (table["band"][i], table["a"][i], table["b"][i])
+                if key != group:
+                    out += _group_links(group, rows, similarity)
+                    group, rows = key, []
+                rows.append(
+                    (table["place"][i], table["node"][i], table["component"][i], table["one"][i],
+                     batch.column("shingles")[i].values.to_numpy(), batch.column("bands")[i].values.to_numpy())
+                )
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out + _group_links(group, rows, similarity))
+
+    parts = first.union(second).repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
+    return written(parts.mapInArrow(compare, "u long, v long"), "links")
+
+
+def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _group_links(group: tuple | None, rows: list[tuple], similarity: float) -> list[tuple[int, int]]:
+    """Links of a block of a band with itself (a = b), or of its first rows with the others."""
+    if not rows:
+        return []
+    root = {r[2]: r[2] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sizes, given = np.array([len(r[4]) for r in rows]), np.array([r[2] for r in rows])
+    keys, one = np.stack([r[5] for r in rows]), np.array([r[3] for r in rows])
+    sets: list[frozenset | None] = [None] * len(rows)
+    out = []
+    for i, (place, node, component, is_one, _, _) in enumerate(rows):
+        if group[1] != group[2] and not is_one:
+            continue
+        others = np.arange(i + 1, len(rows)) if group[1] == group[2] else np.flatnonzero(~one)
+        others = others[given[others] != component]
+        low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[low >= similarity * high]
+        others = others[(keys[others] == keys[i]).argmax(axis=1) == place]  # their first band in common
+        for j in others.tolist():
+            a, b = find(component), find(rows[j][2])
+            if a != b:
+                sets[i] = sets[i] or frozenset(rows[i][4].tolist())
+                sets[j] = sets[j] or frozenset(rows[j][4].tolist())
+                shared = len(sets[i] & sets[j])
+                if shared >= similarity * (sizes[i] + sizes[j] - shared):
+                    root[max(a, b)] = min(a, b)
+                    out.append((node, rows[j][1]))
+    return out
+
+
 def near_duplicates(
     df: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, size: int = BAND_REGISTERS,
     id_col: str = "doc_id", text_col: str = "text",
@@ -206,7 +298,7 @@ def near_duplicates(
     nodes = written(
         usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes"
     )
-    members = nodes.select("node", "n", F.explode("bands").alias("band"))
+    members = nodes.select("node", "n", F.posexplode("bands").alias("place", "band"))
     shared = members.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     members = written(members.join(shared.select("band", "pivot"), "band"), "band-members")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
@@ -222,32 +314,9 @@ def near_duplicates(
     links = written(verified(star.filter(ratio(F.col("nu"), F.col("nv"))).select("u", "v"), sets, similarity), "links")
     of = written(components(links, "node-components"), "node-components")
 
-    # then, in bands that still hold several components, each with 1, 4, 16, ... further nodes
-    tested, pivots = 1, 1
-    while True:
-        state = members.join(of, "node", "left").select(
-            "band", "node", "n", F.col("pivot"), F.coalesce("component", "node").alias("component")
-        )
-        mixed_bands = state.groupBy("band").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")
-        ).filter((F.col("low") < F.col("high")) & (F.col("members") > tested)).select("band")
-        order = Window.partitionBy("band").orderBy("node")
-        ranked = written(state.join(mixed_bands, "band").withColumn("rank", F.row_number().over(order)), "open-bands")
-        chosen = ranked.filter((F.col("rank") > tested) & (F.col("rank") <= tested + pivots)).select(
-            "band", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("rank").alias("ru")
-        )
-        others = ranked.filter(F.col("rank") > tested).select(
-            "band", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("rank").alias("rv")
-        )
-        pairs = chosen.join(others, "band").filter("cu <> cv and ru < rv").filter(ratio(F.col("nu"), F.col("nv")))
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        found = written(verified(pairs, sets, similarity), "links")
-        if found.limit(1).count():
-            links = links.union(found)
-            of = written(components(links, "node-components"), "node-components")
-        tested, pivots = tested + pivots, 4 * pivots
-        if not ranked.filter(F.col("rank") > tested + 1).limit(1).count():
-            break
+    # then, where a band still holds several components, all its nodes of different ones
+    found = compared_bands(members, of, nodes, sets, similarity)
+    of = written(components(links.union(found), "node-components"), "node-components")
 
     classes = nodes.select("node", "doc_id").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("doc_id").alias("class_id"))
