@@ -12,6 +12,7 @@ comes from counts per task and length, so no task sees all pieces of a length.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_left
 from functools import lru_cache
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from netsluice.llm.common import blocks, documents, written
 
 #: Words whose ids a worker remembers before it forgets all of them.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
+#: Words of letters that are encoded as one text.
+RUNNING = 1000
 
 PIECES = pa.schema(
     [
@@ -50,14 +53,32 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.batch = self.tokenizer.encode_batch_fast
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
 
     def _direct(self, words: list[bytes]) -> None:
-        step = 20_000
-        for i in range(0, len(words), step):
-            part = words[i : i + step]
-            for word, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
+        """Words of letters alone go as running texts: each ends where a token with the word end does."""
+        plain, other = [], []
+        for word in words:
+            (plain if word.decode().isalpha() else other).append(word)
+        for i in range(0, len(plain), RUNNING * 16):
+            texts = [plain[j : j + RUNNING] for j in range(i, min(i + RUNNING * 16, len(plain)), RUNNING)]
+            encodings = self.batch([b" ".join(t).decode() for t in texts], add_special_tokens=False)
+            for part, e in zip(texts, encodings):
+                ids = np.array(e.ids, dtype="<u4")
+                ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(ends) != len(part):  # a letter that normalisation turns into something else
+                    other += part
+                    continue
+                raw = ids.tobytes()
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+        for i in range(0, len(other), 20_000):
+            part = other[i : i + 20_000]
+            for word, e in zip(part, self.batch([w.decode() for w in part], add_special_tokens=False)):
+                self.known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
@@ -69,7 +90,7 @@ class WordEncoder:
         if fresh:
             ends = {w: w[:-1] for w in fresh if w[-1:] in (b",", b".") and w[-2:-1].isalnum()}
             need = (fresh - ends.keys()) | (set(ends.values()) - known.keys()) | ({b",", b"."} - known.keys())
-            self._direct(sorted(need))
+            self._direct(list(need))
             for word, stem in ends.items():
                 known[word] = known[stem] + known[word[-1:]]
         look = known.__getitem__
