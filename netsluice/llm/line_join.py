@@ -5,36 +5,98 @@ shorter line is cut into. Each line therefore files its own segments under (leng
 looks up, for every length it may be matched with, the few substrings whose place the edits before and
 behind them allow. Lines that meet under a key are verified by a banded bit-parallel edit distance, many
 pairs side by side. Equal lines are one line throughout; only keys under which different lines meet are
-ever joined, and texts are fetched for those lines alone.
+followed up, and texts are fetched for those lines alone. The lines of a key are compared where they meet,
+in blocks that split large keys, and what leaves are numbers of links and a forest of edges, never pairs.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsluice.llm.common import written
+from netsluice.llm.common import per_block, written
 from netsluice.llm.components import components
 
 #: Edits between linked lines, and the least length of a line that links with lines not equal to it.
 EDITS, MIN_CHARS = 2, 20
-#: Pairs that are verified side by side, by characters.
-BLOCK = 4_000_000
-
-
-def lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per line with a word: doc_id, text_key, line_no (from 0, blank lines counted), line without outer blanks, hashes."""
-    split = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"),
-        F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"),
-    ).withColumn("line", F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    return split.filter(F.col("line") != "").withColumns(
-        {"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line"), "n_chars": F.char_length("line")}
+#: Characters of pairs that are verified side by side, and lines of a key that one task compares with as many.
+BLOCK, MET = 4_000_000, 1024
+
+
+BLANKS = " \t\n\v\f\r"
+PLACES = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("text_key", pa.int64()), ("line_no", pa.int32()), ("n_chars", pa.int32()),
+        ("h", pa.int64()), ("h2", pa.int64()),
+    ]
+)
+KEYS = pa.schema([("key", pa.int64()), ("segment", pa.int32()), ("h", pa.int64()), ("own", pa.bool_())])
+
+
+def line_hash(line: bytes, seed: int = 0) -> int:
+    x = xxhash.xxh64_intdigest(line, seed)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def split_lines(text: str) -> list[tuple[int, str]]:
+    """Number (from 0, blank lines counted) and content without outer blanks of each line with a word."""
+    return [(k, x) for k, x in enumerate(x.strip(BLANKS) for x in text.split("\n")) if x]
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return df.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.coalesce(text, F.lit("")).alias("text")
     )
 
 
+def line_places(texts: DataFrame) -> DataFrame:
+    """doc_id, text_key, line_no, n_chars and two hashes of every line with a word."""
+
+    def run(batch, texts):
+        rows = []
+        for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), texts):
+            for k, line in split_lines(text):
+                raw = line.encode()
+                rows.append((doc, key, k, len(line), line_hash(raw), line_hash(raw, 1)))
+        return dict(zip(PLACES.names, zip(*rows))) if rows else {n: [] for n in PLACES.names}
+
+    return texts.mapInArrow(per_block(run, PLACES), "doc_id long, text_key long, line_no int, n_chars int, h long, h2 long")
+
+
+def line_texts(texts: DataFrame, min_chars: int) -> DataFrame:
+    """h and line of every line of ``min_chars`` or more; a line that a block repeats comes once from it."""
+
+    def run(batch, texts):
+        found = {line_hash(line.encode()): line for text in texts for _, line in split_lines(text) if len(line) >= min_chars}
+        return {"h": list(found), "line": list(found.values())}
+
+    return texts.mapInArrow(per_block(run, pa.schema([("h", pa.int64()), ("line", pa.string())])), "h long, line string")
+
+
+def line_keys(texts: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """key, segment, h, own of every line of ``min_chars`` or more: what it files (own) and what it looks up."""
+
+    def run(batch, texts):
+        lines = {line_hash(line.encode()): line for text in texts for _, line in split_lines(text) if len(line) >= min_chars}
+        key, segment, h, own = [], [], [], []
+        for x, line in lines.items():
+            for k, s, o in keys(line, edits):
+                key.append(k)
+                segment.append(s)
+                h.append(x)
+                own.append(o)
+        return {"key": key, "segment": segment, "h": h, "own": own}
+
+    return texts.mapInArrow(per_block(run, KEYS), "key long, segment int, h long, own boolean")
+
+
+@lru_cache(maxsize=8)
 def probes(edits: int) -> list[tuple[int, int, int]]:
     """(how much shorter, segment, shift) of the substrings that a line looks up: multi-match-aware windows."""
     out = []
@@ -46,21 +108,18 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def keys(line: Column, n: Column, edits: int, own: bool | None = None) -> Column:
-    """Array of (key, own): hashes of (length, segment, substring); own marks the line's own segments."""
-    parts = edits + 1
-    out = []
+def keys(line: str, edits: int) -> list[tuple[int, int, bool]]:
+    """(key, segment, own): hashes of (length, segment, substring); own marks the line's own segments."""
+    n, parts, out = len(line), edits + 1, []
     for shorter, segment, shift in probes(edits):
-        is_own = shorter == 0 and shift == 0
-        if own is None or own == is_own:
-            length = n - F.lit(shorter)
-            base, plain = F.floor(length / parts).cast("int"), F.lit(parts) - length % parts  # the last ones are longer by one
-            size = base + F.when(F.lit(segment) >= plain, 1).otherwise(0)
-            start = base * segment + F.greatest(F.lit(0), F.lit(segment) - plain) + F.lit(shift)
-            key = F.xxhash64(length, F.lit(segment), F.substring(line, start + 1, size))
-            fits = (start >= 0) & (start + size <= n)
-            out.append(F.when(fits, F.struct(key.alias("key"), F.lit(is_own).alias("own"))))
-    return F.array_compact(F.array(*out))
+        length = n - shorter
+        base, plain = length // parts, parts - length % parts  # the last segments are longer by one
+        size = base + (segment >= plain)
+        start = base * segment + max(0, segment - plain) + shift
+        if start >= 0 and start + size <= n:
+            content = line[start : start + size].encode()
+            out.append((line_hash(content, length * parts + segment + 2), segment, shorter == 0 and shift == 0))
+    return out
 
 
 def within_edits(a: list[str], b: list[str], edits: int) -> np.ndarray:
@@ -139,36 +198,105 @@ def _banded(a: list[str], b: list[str], edits: int) -> np.ndarray:
     return result
 
 
-def near_lines(found: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (u, v) of hashes of different lines within ``edits`` edits, each once; ``found`` is of ``lines``."""
-    filed = found.filter(F.col("n_chars") >= min_chars)
-    rows = filed.select("h", F.inline(keys(F.col("line"), F.col("n_chars"), edits)))
+def first_segment(short: str, long: str, edits: int) -> int:
+    """The first segment of the shorter line that the longer one looks up with success; more than all if none."""
+    n, shorter, parts = len(short), len(long) - len(short), edits + 1
+    base, plain = n // parts, parts - n % parts
+    for segment in range(parts):
+        size = base + (segment >= plain)
+        start = base * segment + max(0, segment - plain)
+        content = short[start : start + size]
+        low = max(-segment, shorter - (edits - segment))
+        high = min(segment, shorter + (edits - segment))
+        if any(start + k >= 0 and long[start + k : start + k + size] == content for k in range(low, high + 1)):
+            return segment
+    return parts
+
+
+def linked_here(own: list[tuple[int, str]], looking: list[tuple[int, str]], segment: int, edits: int):
+    """Pairs (place in own, place in looking) of the lines of a key that are links and are first met here.
+
+    Of lines of one length the smaller hash is the filed one; a pair that an earlier segment brings together
+    is left to that segment's key, so every link is found once.
+    """
+    pairs = [
+        (i, j)
+        for i, (u, x) in enumerate(own)
+        for j, (v, y) in enumerate(looking)
+        if (len(x) < len(y) or u < v) and u != v and first_segment(x, y, edits) == segment
+    ]
+    for k in range(0, len(pairs), 4000):
+        part = pairs[k : k + 4000]
+        near = within_edits([own[i][1] for i, _ in part], [looking[j][1] for _, j in part], edits)
+        yield from (p for p, ok in zip(part, near) if ok)
+
+
+def near_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Links between different lines within ``edits`` edits; ``texts`` has a column text.
+
+    Returns edges (u, v) between hashes that join exactly the lines that links join, a few per line, and
+    (node, n_links) with the number of all links of each line.
+    """
+    rows = line_keys(texts, edits, min_chars)
     met = written(
         rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("filed"))
         .filter("filed and low <> high").select("key"),
         "line-keys",
     )
-    meeting = written(rows.join(met, "key", "left_semi").distinct(), "line-meetings")
-    index = meeting.filter("own").select("key", F.col("h").alias("u"))
-    pairs = (
-        index.join(meeting.select("key", F.col("h").alias("v")), "key").filter("u <> v")
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    )
-    pairs = written(pairs, "line-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
-    texts = written(filed.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-texts")
+    meeting = rows.join(met, "key", "left_semi").groupBy("key", "segment", "h").agg(F.max("own").alias("own"))
+    meeting = written(meeting, "line-meetings")
+    contents = line_texts(texts, min_chars).join(meeting.select("h").distinct(), "h", "left_semi")
+    contents = written(contents.dropDuplicates(["h"]), "line-texts")
+    # a key of many lines is cut into blocks, and every block of its own lines meets every block of all
+    blocks = meeting.groupBy("key").agg(F.ceil(F.count("*") / MET).cast("int").alias("blocks"))
+    placed = meeting.join(blocks, "key").join(contents, "h").withColumn("block", F.pmod(F.xxhash64("h", F.lit("block")), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.filter("own").select("key", "segment", "h", "line", F.lit(True).alias("filed"), F.col("block").alias("a"), others.alias("b"))
+    dealt = dealt.union(placed.select("key", "segment", "h", "line", F.lit(False).alias("filed"), others.alias("a"), F.col("block").alias("b")))
+
+    def compare(batches):
+        state: dict = {"place": None, "own": [], "looking": [], "segment": 0}
+
+        def settled():
+            own, looking = state["own"], state["looking"]
+            degree: dict[int, int] = {}
+            root: dict[int, int] = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
 
-    def verify(batches):
+            for i, j in linked_here(own, looking, state["segment"], edits):
+                u, v = own[i][0], looking[j][0]
+                degree[u] = degree.get(u, 0) + 1
+                degree[v] = degree.get(v, 0) + 1
+                root[find(u)] = find(v)
+            state["own"], state["looking"] = [], []
+            return [(x, n, find(x)) for x, n in degree.items()]
+
+        out = []
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                near = within_edits(part.column("a").to_pylist(), part.column("b").to_pylist(), edits)
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(near))
+            columns = [batch.column(c).to_pylist() for c in ("key", "a", "b", "segment", "h", "line", "filed")]
+            for key, a, b, segment, h, line, is_filed in zip(*columns):
+                if (key, a, b) != state["place"]:
+                    out += settled()
+                    state["place"], state["segment"] = (key, a, b), segment
+                state["own" if is_filed else "looking"].append((h, line))
+            if len(out) > 10_000:
+                yield _links(out)
+                out = []
+        yield _links(out + settled())
 
-    both = pairs.join(texts.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(
-        texts.select(F.col("h").alias("v"), F.col("line").alias("b")), "v"
-    )
-    return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    parts = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    linked = written(parts.mapInArrow(compare, "node long, n long, root long"), "line-links")
+    return linked.select(F.col("node").alias("u"), F.col("root").alias("v")), linked.groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def _links(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "n", "root"])
 
 
 def deduplicated_lines(
@@ -180,12 +308,11 @@ def deduplicated_lines(
     reach; rows without an id come last. n_links counts the different lines linked directly. kept marks the
     first place. Null and blank texts have no lines. Rows that repeat an id and a text are one document.
     """
-    found = lines(df, id_col, text_col)
-    links = written(near_lines(found, edits, min_chars), "line-links")
+    texts = _texts(df, id_col, text_col)
+    found = written(line_places(texts), "line-places")
+    links, degree = near_lines(texts, edits, min_chars)
     place = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no"))
     distinct = written(found.groupBy("h", "h2").agg(place().alias("first")), "distinct-lines")
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = both.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_links"))
     linked = components(links, "line-components").join(degree, "node")  # every linked line has a degree
     linked = written(linked, "linked-lines")
     firsts = (
@@ -196,7 +323,7 @@ def deduplicated_lines(
     of = distinct.join(classes, "h", "left").select(
         "h", "h2", F.coalesce("class_first", "first").alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
-    rows = found.drop("line").join(of, ["h", "h2"])
+    rows = found.join(of, ["h", "h2"])
     return rows.select(
         "doc_id", "line_no", "n_chars", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
         "n_links", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
