@@ -6,6 +6,8 @@ Segments of equal content are one class: all but its first place are repeats thr
 the first places of classes that meet others, is sorted by suffix: two suffixes are compared by a binary
 search for their common extension over prefix polynomial hashes, in a merge sort that runs for all groups
 side by side; strings found equal are verified byte by byte, and all but the first of them are repeats.
+A key of more than ``DEALT`` windows is never held whole: its windows are dealt one by one by a 128-bit
+digest of all their bytes, a task sends on one place of each, and all but the first of those are repeats.
 
 Texts are scanned once per step and never shuffled: a text is known by its file and its row there, and
 what a step has to know about the rows of a scan lies in files of the shared folder, one for each range
@@ -30,6 +32,10 @@ from netsluice.session import work_path
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once, windows sorted at once, and rows of a file of positions.
 BLOCK, SORTED, ROWS = 1_000_000, 400_000, 1 << 14
+#: Windows of a key that are sorted together; those of a larger key are dealt one by one.
+DEALT = 200_000
+
+SPANS = ["file", "row", "begin", "end"]
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -336,9 +342,13 @@ def removed_spans(scan: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     copies = copies.select("file", "row", F.col("start").alias("begin"), (F.col("start") + F.shiftright("n", 1) + (length - 1)).alias("end"))
 
     # classes that meet others of their key, or may repeat within: the suffix sort compares their first places
-    met = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.col("n") % 2).alias("twice"))
-    met = met.filter("classes > 1 or twice = 1").select("key")
-    firsts = classes.join(met, "key", "left_semi").select("first.file", "first.row", "first.start", "n", "key")
+    met = classes.groupBy("key").agg(
+        F.count("*").alias("classes"), F.max(F.col("n") % 2).alias("twice"), F.sum(F.shiftright("n", 1)).alias("windows")
+    )
+    met = written(met.filter("classes > 1 or twice = 1").select("key", (F.col("windows") > DEALT).cast("long").alias("large")), "met-keys")
+    firsts = classes.join(met, "key").select(
+        "first.file", "first.row", "first.start", (F.shiftright("n", 1) * 2 + F.col("large")).alias("n"), "key"
+    )
     second = work_path(spark, "firsts")
     _position_files(firsts, second)
 
@@ -349,7 +359,8 @@ def removed_spans(scan: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 found = _positions(second, file, row)
                 if found is not None:
                     for key, start, n in zip(found["key"].tolist(), found["start"].tolist(), found["n"].tolist()):
-                        out.append((key, doc, file, row, start, n >> 1, raw[start : start + (n >> 1) + length - 1]))
+                        if not n & 1:
+                            out.append((key, doc, file, row, start, n >> 1, raw[start : start + (n >> 1) + length - 1]))
             if out:
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
@@ -372,27 +383,122 @@ def removed_spans(scan: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
     ddl = "key long, doc_id long, file long, row long, start long, n long, span binary"
     sorted_ = scan.mapInArrow(spans, ddl).repartition("key").sortWithinPartitions("key")
-    return copies.union(sorted_.mapInArrow(sort, "file long, row long, begin long, end long"))
+    found = copies.union(sorted_.mapInArrow(sort, "file long, row long, begin long, end long"))
+    return found.union(_dealt_windows(scan, second, length)) if met.filter("large = 1").limit(1).count() else found
+
+
+def _dealt_windows(scan: DataFrame, folder: str, length: int) -> DataFrame:
+    """(file, row, begin, end) of the repeats among the windows of large keys, whose runs have an odd ``n`` in ``folder``."""
+
+    def single(batches):
+        for ids, texts in _text_blocks(batches):
+            held: list[tuple] = []
+            windows = 0
+            for (file, row, doc), raw in zip(ids, texts):
+                found = _positions(folder, file, row)
+                if found is not None:
+                    large = found["n"] & 1 == 1
+                    for start, n in zip(found["start"][large].tolist(), (found["n"][large] >> 1).tolist()):
+                        for at in range(start, start + n, SORTED):
+                            part = min(SORTED, start + n - at)
+                            held.append((doc, file, row, at, part, raw))
+                            windows += part
+                            if windows >= SORTED:
+                                yield _single(held, length)
+                                held, windows = [], 0
+            if held:
+                yield _single(held, length)
+
+    def repeats(batches):
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            high, low = np.asarray(batch["high"]), np.asarray(batch["low"])
+            again = np.asarray(batch["gone"].to_numpy(zero_copy_only=False)).copy()
+            again[1:] |= (high[1:] == high[:-1]) & (low[1:] == low[:-1])
+            again[0] |= before == (high[0], low[0])
+            before = high[-1], low[-1]
+            yield pa.RecordBatch.from_arrays([batch[c] for c in SPANS], names=SPANS).filter(pa.array(again))
+
+    def joined(batches):
+        """Spans of one text that touch, as one."""
+        for batch in batches:
+            if batch.num_rows:
+                file, row, begin, end = (np.asarray(batch[c]) for c in SPANS)
+                new = np.ones(len(row), bool)
+                new[1:] = (file[1:] != file[:-1]) | (row[1:] != row[:-1]) | (begin[1:] > end[:-1])
+                at = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (file[at], row[at], begin[at], np.maximum.reduceat(end, at))], names=SPANS)
+
+    ddl = "high long, low long, gone boolean, last boolean, doc_id long, file long, row long, begin long, end long"
+    places = scan.mapInArrow(single, ddl).repartition("high", "low")
+    places = places.sortWithinPartitions("gone", "high", "low", "last", "doc_id", "file", "row", "begin")
+    spans = places.mapInArrow(repeats, "file long, row long, begin long, end long")
+    spans = spans.repartition("file", "row").sortWithinPartitions(*SPANS)
+    return spans.mapInArrow(joined, "file long, row long, begin long, end long")
+
+
+def _order(doc, file, row, start) -> np.ndarray:
+    """Rank of each place in the corpus."""
+    order = sorted(range(len(row)), key=lambda i: (doc[i] is None, doc[i] or 0, file[i], row[i], start[i]))
+    rank = np.empty(len(row), np.int64)
+    rank[order] = np.arange(len(row))
+    return rank
+
+
+def _edges(later: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each run of later copies within a span."""
+    same = np.append(of[1:] == of[:-1], False)
+    begin = np.flatnonzero(later & ~np.append(False, later[:-1] & (of[1:] == of[:-1])) if len(of) else later)
+    return begin, np.flatnonzero(later & ~(np.append(later[1:], False) & same))
+
+
+def _single(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """The first place of each different window of the rows, and as ``gone`` the runs of all others."""
+    doc, file, row, start, n, raws = zip(*rows)
+    digest = b"".join(
+        b"".join(hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(a, a + k)) for a, k, raw in zip(start, n, raws)
+    )
+    high, low = np.frombuffer(digest, "<i8").reshape(-1, 2).T
+    counts = np.array(n)
+    of = np.repeat(np.arange(len(rows)), counts)
+    window = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    order = np.lexsort((window, _order(doc, file, row, start)[of], low, high))
+    later = np.zeros(len(of), bool)
+    later[order[1:]] = (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+    first = np.flatnonzero(~later)
+    begin, end = _edges(later, of)
+    at = np.append(first, begin)
+    span, place = of[at], np.array(start)[of[at]] + window[at]
+    gone = np.arange(len(at)) >= len(first)
+    rows_ = np.array(row)[span]
+    stop = np.append(place[: len(first)], np.array(start)[of[end]] + window[end]) + length
+    missing = np.array([d is None for d in doc])[span]
+    return pa.RecordBatch.from_arrays(
+        [
+            # runs that are gone wait for no window: any spread will do
+            pa.array(np.where(gone, rows_, high[at])), pa.array(np.where(gone, place, low[at])), pa.array(gone), pa.array(missing),
+            pa.array(np.array([d or 0 for d in doc], np.int64)[span], mask=missing), pa.array(np.array(file)[span]), pa.array(rows_),
+            pa.array(place), pa.array(stop),
+        ],
+        names=["high", "low", "gone", "last", "doc_id", *SPANS],
+    )
 
 
 def _later(rows: list[tuple], length: int) -> pa.RecordBatch:
     key, doc, file, row, start, n, spans = zip(*rows)
-    order = sorted(range(len(rows)), key=lambda i: (doc[i] is None, doc[i] or 0, file[i], row[i], start[i]))
-    rank = np.empty(len(rows), np.int64)
-    rank[order] = np.arange(len(rows))
     counts = np.array(n)
+    rank = _order(doc, file, row, start)
     later = later_copies(list(spans), counts, np.unique(np.array(key), return_inverse=True)[1], rank, length)
     of = np.repeat(np.arange(len(rows)), counts)
     window = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    edge = np.diff(np.concatenate([[0], later.astype(np.int8), [0]]))
-    same = np.append(of[1:] == of[:-1], False)
-    begin = np.flatnonzero(later & ~np.append(False, later[:-1] & (of[1:] == of[:-1])) if len(of) else edge[:0])
-    end = np.flatnonzero(later & ~(np.append(later[1:], False) & same))
+    begin, end = _edges(later, of)
     span = of[begin]
     at = np.array(start)[span]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.array(file)[span]), pa.array(np.array(row)[span]), pa.array(at + window[begin]), pa.array(at + window[end] + length)],
-        names=["file", "row", "begin", "end"],
+        names=SPANS,
     )
 
 

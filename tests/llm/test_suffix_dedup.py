@@ -49,6 +49,30 @@ def test_removed_bytes(spark, length, gram):
     assert got == brute(rows, length)
 
 
+@pytest.mark.parametrize("most, block", [(0, 400_000), (90, 50), (400, 400_000)])
+def test_large_keys_are_dealt_by_window(spark, monkeypatch, most, block):
+    """Results as before, and no key of more than ``most`` windows reaches a sort."""
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefghij é") for _ in range(n))
+    line, passage = text(40), text(130)  # one line, and one passage longer than a window, with ever other neighbours
+    rows = corpus() + [(1000 + i, text(r.randint(0, 90)) + r.choice([line, passage]) + text(r.randint(0, 90))) for i in range(80)]
+    held = S._later
+
+    def bounded(members, length):
+        windows = {}
+        for m in members:
+            windows[m[0]] = windows.get(m[0], 0) + m[5]
+        assert max(windows.values()) <= most
+        return held(members, length)
+
+    monkeypatch.setattr(S, "DEALT", most, raising=False)
+    monkeypatch.setattr(S, "SORTED", block)
+    monkeypatch.setattr(S, "_later", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((tuple(x) for x in S.digests_without_repeats(df).collect()), key=str)
+    assert got == brute(rows, 100)
+
+
 def test_texts(spark, tmp_path):
     r = random.Random(2)
     a = "".join(r.choice("abcdefgh ") for _ in range(150))
