@@ -12,6 +12,7 @@ comes from counts per task and length, so no task sees all pieces of a length.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -44,20 +45,35 @@ class WordEncoder:
 
     White space only separates for such a tokenizer, so the ids of a text are those of its words in
     order; lower-casing A to Z first changes nothing, as the tokenizer lower-cases all letters. A
-    comma or full stop behind a letter or digit is a word of its own for it.
+    comma or full stop behind a letter or digit is a word of its own for it. With ``added_tokens`` the
+    vocabulary's added tokens are cut out first, as they are written, each as its one id; else they are text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # of single words, which are lower-cased: an added token never is one
         self.batch = self.tokenizer.encode_batch_fast
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder() if added_tokens else {}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that do not stand for their characters alone")
+        # under a name with a blank, which no word has
+        self.added = {b" " + t.content.encode(): struct.pack("<I", i) for i, t in added.items()}
+        self.marks = sorted((name[1:] for name in self.added), key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, self.marks)) + b")")
+        self.known: dict[bytes, bytes] = dict(self.added)
+
+    def _words(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        if not any(mark in raw for mark in self.marks):
+            return raw.lower().split()
+        parts = self.cut.split(raw)  # text and added tokens in turn
+        return [w for k, part in enumerate(parts) for w in ([b" " + part] if k % 2 else part.lower().split())]
 
     def _direct(self, words: list[bytes]) -> None:
         """Words of letters alone go as running texts: each ends where a token with the word end does."""
@@ -82,9 +98,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
-        split = [text.encode().lower().split() for text in texts]
+        split = [self._words(text) for text in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.known.update(self.added)
         known = self.known
         fresh = set().union(*split) - known.keys()
         if fresh:
@@ -98,17 +115,18 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def load(path: str, added_tokens: bool) -> WordEncoder:
+    return WordEncoder(path, added_tokens)
 
 
 def token_pieces(
-    df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text",
+    added_tokens: bool = False,
 ) -> DataFrame:
     """Pieces of at most ``capacity`` ids, with a checksum and a rank among the task's pieces of that length."""
 
     def run(batches):
-        encoder, task, seen = load(tokenizer_path), TaskContext.get().partitionId(), {}
+        encoder, task, seen = load(tokenizer_path, added_tokens), TaskContext.get().partitionId(), {}
         end, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch, texts in blocks(batches):
             rows = []
@@ -176,15 +194,17 @@ def match_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 
 def pack(
-    df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    added_tokens: bool = False,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row.
 
     A null or empty text is a piece of the end id alone. Repeated rows are packed as often as they come;
-    rows without an id too. Pieces of equal length keep the order of the input's partitions.
+    rows without an id too. Pieces of equal length keep the order of the input's partitions. With ``added_tokens``
+    the ids are those of the tokenizer's plain call; without, an added token's characters are text.
     """
     spark = df.sparkSession
-    pieces = written(token_pieces(df, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    pieces = written(token_pieces(df, tokenizer_path, capacity, end_id, id_col, text_col, added_tokens), "pieces")
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(

@@ -39,7 +39,7 @@ def op5(spark, sf_dir):
 
 @query("op6_best_fit_packing")
 def op6(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), added_tokens=True)
 
 
 @query("op7_hnsw_near_duplicates")

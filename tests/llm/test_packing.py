@@ -54,6 +54,28 @@ def test_pieces(spark):
         assert used <= 1.02 * -(-sum(x.length for x in got) // capacity) + 1
 
 
+def test_added_tokens(spark, tmp_path):
+    """The query op6 and the pipeline's stage give the ids of the tokenizer's plain call."""
+    import corpus_pipeline
+    from netsluice.llm import queries
+
+    t = Tokenizer.from_file(PATH)
+    texts = TEXTS + [
+        "see <|endoftext|> here", "x<|endoftext|>,y <|ENDOFTEXT|> <|StartOfText|> <|startoftext|><|endoftext|>", "<|endoftext|>",
+        "don<|endoftext|>'t a <|endoftext|>. b.<|endoftext|> e<|endoftext|>\u0301 <|endoftext| <<|endoftext|>>", " <|startoftext|>\n",
+    ]
+    want = []
+    for i, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want.append((i, k // 4096, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for out in (queries.op6(spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path))):
+        assert sorted((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in out.collect()) == want
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
