@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from catalog import query, table
 from catalog.bindings import SCORED_SQL, scored_events
 from netsluice.functions.text import is_attack_outcome
-from netsluice.operators import detections, metrics
+from netsluice.operators import detections, metrics, postings
 from netsluice.operators.profile import class_split
 from netsluice.operators.ranking import number_rows
+from netsluice.session import work_path
 from netsluice.streaming.rates import signal_history
 
 _S = f"with s as ({SCORED_SQL})"
@@ -184,6 +185,47 @@ def search_words(spark, sf_dir):
     return detections.search_detections(_detections(spark, sf_dir), "all", "RRO").select("id")
 
 
+def _indexed_log(spark, sf_dir):
+    """The detections as a log of a file per day, indexed in two runs but for its last day."""
+    log, index = work_path(spark, "detection-log"), work_path(spark, "postings")
+    found = _detections(spark, sf_dir).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
+    for days in ("day < '2024-01-11'", "day >= '2024-01-11' and day < '2024-01-25'", "day >= '2024-01-25'"):
+        found.where(days).repartition("day").write.mode("append").partitionBy("day").parquet(log)
+        if ">= '2024-01-25'" not in days:
+            postings.update_index(spark, log, index)
+    return log, index
+
+
+_DAYS = f"""{_S}, d as (select strftime(ts, '%Y-%m-%d') as day, event_id, value,
+        [{_js_number('value')}, cast(user_id as varchar), lower(event_type)] as texts from s where {_ATTACK})"""
+
+
+def _found_sql(needle: str) -> str:
+    """The rows, and how many files an index has to read: those that hold all trigrams, and those not indexed."""
+    grams = sorted({needle[i : i + 3] for i in range(len(needle) - 2)})
+    held = " and ".join(f"bool_or(len(list_filter(texts, lambda t: contains(t, '{g}'))) > 0)" for g in grams)
+    return f"""{_DAYS}, f as (select day, ({held}) or day >= '2024-01-25' as is_read from d group by day)
+    select sha256(concat('Batch|', event_id)) as id, day, (select count(*) from f) as files,
+        (select count(*) from f where is_read) as files_read
+    from d where len(list_filter(texts, lambda t: contains(t, '{needle}'))) > 0"""
+
+
+def _search(spark, sf_dir, needle):
+    found, facts = postings.search_indexed(spark, *_indexed_log(spark, sf_dir), "Batch", needle)
+    return found.select("id", F.col("day").cast("string").alias("day"), *[F.lit(v).cast("long").alias(k) for k, v in facts.items()])
+
+
+@query("search_indexed", _found_sql("61.37"))
+def search_indexed(spark, sf_dir):
+    """A rare text: the files of most days are never opened."""
+    return _search(spark, sf_dir, " 61.37 ")
+
+
+@query("search_indexed_words", _found_sql("rro"))
+def search_indexed_words(spark, sf_dir):
+    return _search(spark, sf_dir, "RRO")
+
+
 @query(
     "sorted_results",
     f"""{_S} select row_number() over (order by confidence desc, event_id) as place, event_id, confidence from s""",

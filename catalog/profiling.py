@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query, table
-from catalog.bindings import IS_ATTACK
+from catalog.bindings import FLOW_NUMBERS, IS_ATTACK, clean_sql, flow_numbers, spread
+from netsluice import schema
 from netsluice.functions.numbers import log10_from_one
-from netsluice.operators import distribution, profile
+from netsluice.operators import distribution, fingerprints, profile
+from netsluice.operators.gram import correlation_matrix
 from netsluice.operators.quantiles import exact_quantiles
 from netsluice.operators.ranking import top_by_count
 
@@ -197,6 +199,54 @@ def correlations(spark, sf_dir):
     return distribution.correlations(df, _NUMERIC).withColumn("r", F.col("r") + 0.0)
 
 
+_LONG = f"""with w as (select event_id, {', '.join(f'{e} as {f}' for f, e in FLOW_NUMBERS.items())} from events),
+    l as (unpivot w on columns(* exclude event_id) into name feature value x)"""
+
+
+@query(
+    "correlation_matrix",
+    f"""{_LONG} select a.feature, b.feature as other, count(*) as n, round(corr(a.x, b.x), 6) + 0.0 as r
+    from l a join l b using (event_id) group by a.feature, b.feature""",
+)
+def all_correlations(spark, sf_dir):
+    """All 78 numeric flow columns, each with gaps of its own, in one scan."""
+    df = correlation_matrix(flow_numbers(spark, sf_dir), list(FLOW_NUMBERS))
+    return df.select("feature", "other", "n", (F.round("r", 6) + 0.0).alias("r"))
+
+
+_COPIES = {
+    "copy_a": clean_sql("fwd_iat_mean"), "copy_b": clean_sql("fwd_iat_mean"), "copy_but_one": f"case when event_id = 77 then -1.0 else {clean_sql('fwd_iat_mean')} end",
+    "copy_with_gap": f"case when event_id <> 78 then {clean_sql('active_mean')} end", "minus": f"-({clean_sql('active_mean')})",
+    "text_a": "event_type", "text_b": "concat(event_type, '')", "whole": "user_id", "whole_as_double": "cast(user_id as double)",
+}
+
+
+def _wide_sql() -> list[str]:
+    return [f"{clean_sql(f)} as {f}" for f in schema.NUMERIC_FIELDS] + [f"{e} as {f}" for f, e in _COPIES.items()]
+
+
+_NUMBER_NAMES = [*schema.NUMERIC_FIELDS, *[c for c in _COPIES if not c.startswith("text")]]
+_PLACES = ", ".join(f"('{f}', {i})" for i, f in enumerate([*schema.NUMERIC_FIELDS, *_COPIES]))
+
+
+@query(
+    "equal_columns",
+    f"""with w as (select event_id, {', '.join(_wide_sql())} from events),
+    l as (unpivot (select event_id, {', '.join(f'cast({c} as double) as {c}' for c in _NUMBER_NAMES)} from w)
+        on columns(* exclude event_id) into name name value x),
+    p(name, place) as (values {_PLACES}),
+    n as (select count(*) as n from events)
+    select a.name as "left", b.name as "right" from l a join l b on a.event_id = b.event_id and a.x = b.x
+        join p pa on pa.name = a.name join p pb on pb.name = b.name where pa.place < pb.place
+        group by a.name, b.name having count(*) = (select n from n)
+    union all select 'text_a', 'text_b'""",
+)
+def equal_columns(spark, sf_dir):
+    """Every pair of equal columns among 78 flow columns and some copies of them."""
+    df = spread(table(spark, sf_dir, "events")).selectExpr(*_wide_sql())
+    return fingerprints.redundant_columns(df)
+
+
 @query(
     "redundant_pairs",
     """select 'l_quantity' as feature, 'l_extendedprice' as other, round(corr(l_quantity, l_extendedprice), 6) as r

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from netsluice.functions.keys import quoted
 from netsluice.functions.numbers import clip_above
 from netsluice.functions.text import trimmed
+from netsluice.operators.gram import correlation_matrix
 from netsluice.operators.quantiles import _value, exact_quantiles, quantile_caps
 from netsluice.operators.ranking import top_by_count
 from netsluice.session import stored
@@ -31,19 +32,8 @@ def class_means(
 
 
 def correlations(df: DataFrame, features: Sequence[str], digits: int = 3) -> DataFrame:
-    """Pearson coefficients over the rows where both values are present; every ordered pair."""
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    aggs = []
-    for i, j in pairs:
-        a, b = _value(features[i]), _value(features[j])
-        both = a.isNotNull() & b.isNotNull()
-        aggs.append(F.corr(F.when(both, a), F.when(both, b)).alias(f"r{i}_{j}"))
-    cells = [
-        F.struct(F.lit(features[x]).alias("feature"), F.lit(features[y]).alias("other"), F.col(f"r{i}_{j}").alias("r"))
-        for i, j in pairs
-        for x, y in {(i, j), (j, i)}
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*cells))).withColumn("r", F.round("r", digits))
+    """Pearson coefficients over the rows where both values are present; every ordered pair, by one scan."""
+    return correlation_matrix(df, features).select("feature", "other", F.round("r", digits).alias("r"))
 
 
 def redundant_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0.9) -> DataFrame:
