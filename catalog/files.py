@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import query, table
@@ -11,7 +16,7 @@ from netsluice.operators.clean import clean_flows
 from netsluice.operators.detections import numbered_results
 from netsluice.plans.pipeline import file_verdicts, gate_files, ingest_files
 from netsluice.quality.report import DataQualityError
-from netsluice.session import work_path
+from netsluice.session import stored, work_path
 from netsluice.sources.files import (
     export_json_lines,
     export_parquet,
@@ -23,7 +28,7 @@ from netsluice.sources.files import (
     read_upload,
 )
 from netsluice.sources.interleave import file_positions
-from netsluice.sources.landing import admission, admit_landing, landing_changes, list_landing, write_files
+from netsluice.sources.landing import admission, admit_landing, landing_changes, list_landing
 
 
 @query(
@@ -60,20 +65,24 @@ def raw_file_scan(spark, sf_dir):
     )
 
 
+_FILE_ROWS = 2_500
+
+
 @query(
     "file_line_numbers",
-    """select event_id % 3 as file, row_number() over (partition by event_id % 3 order by event_id) as line,
+    f"""select event_id // {_FILE_ROWS} as file, row_number() over (partition by event_id // {_FILE_ROWS} order by event_id) as line,
         cast(event_id as varchar) as duration from events""",
 )
 def file_line_numbers(spark, sf_dir):
-    """Three files in order of the events; every line's number beside what stands in it."""
+    """Files of 2,500 flows each, in order of the events; every line's number beside what stands in it."""
     path = work_path(spark, "numbered")
-    flows = raw_flows(spark, sf_dir).withColumn("Flow Duration", F.col("event_id").cast("string"))
-    for k in range(3):
-        part = flows.where(F.col("event_id") % 3 == k).coalesce(1).sortWithinPartitions("event_id")
-        part.drop("event_id").write.option("header", "true").csv(f"{path}/{k}")
-    lines = file_positions(read_raw_flows(spark, [f"{path}/{k}" for k in range(3)], with_position=True))
-    file = F.element_at(F.split("source", "/"), -2).cast("bigint")
+    flows = raw_flows(spark, sf_dir).withColumns(
+        {"Flow Duration": F.col("event_id").cast("string"), "file": F.expr(f"event_id div {_FILE_ROWS}")}
+    )
+    dealt = flows.repartition("file").sortWithinPartitions("file", "event_id").drop("event_id")
+    dealt.write.partitionBy("file").option("header", "true").csv(path)
+    lines = file_positions(read_raw_flows(spark, f"{path}/file=*", with_position=True))
+    file = F.regexp_extract("source", "/file=([0-9]+)/", 1).cast("bigint")
     return lines.select(file.alias("file"), "line", F.col("Flow Duration").alias("duration"))
 
 
@@ -93,11 +102,23 @@ def ingest(spark, sf_dir):
     )
 
 
-@query("ingest_files_capped", "select 600 as rows")
+@query(
+    "ingest_files_capped",
+    """with f as (select event_id, event_id // 2500 as file, event_id % 2500 as line from events),
+        o as (select *, row_number() over (order by line // 50, file, line) as place from f)
+    select event_id, file from o where place <= 600""",
+)
 def ingest_capped(spark, sf_dir):
-    out = work_path(spark, "ingested")
-    ingest_files(spark, _write_raw(spark, sf_dir), out, batch=50, max_records=600)
-    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("rows"))
+    """Which rows come through: 50 of each file in turn, up to 600 of all."""
+    raw, out = work_path(spark, "raw"), work_path(spark, "ingested")
+    flows = raw_flows(spark, sf_dir).withColumns(
+        {"Flow Duration": F.col("event_id").cast("string"), "file": F.format_string("%06d", F.expr(f"event_id div {_FILE_ROWS}"))}
+    )
+    dealt = flows.repartition("file").sortWithinPartitions("file", "event_id").drop("event_id")
+    dealt.write.partitionBy("file").option("header", "true").csv(raw)
+    ingest_files(spark, f"{raw}/file=*", out, batch=50, max_records=600)
+    number = F.col("Flow Duration").cast("bigint")
+    return spark.read.parquet(out).select(number.alias("event_id"), F.floor(number / _FILE_ROWS).alias("file"))
 
 
 @query(
@@ -149,6 +170,21 @@ def cleaned_csv_scan(spark, sf_dir):
 
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write each row (name, content) as a file of the folder; returns how many. A second attempt writes the same bytes."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inner = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(inner, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                with store.open_output_stream(f"{inner}/{name}", compression=None) as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return rows.select("name", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 _PAGE_FILES = "select page_id, case when page_id % 4 = 0 then chr(9) || chr(10) || html when page_id % 4 = 1 then 'x,y' || chr(10) || html else html end as content from pages"
 
 
@@ -169,8 +205,7 @@ def landing_folder(spark, sf_dir):
     )
     pages = table(spark, sf_dir, "pages").select("page_id", F.encode(content, "UTF-8").alias("content"))
     write_files(pages.where("page_id % 3 <> 0").select(F.concat("page_id", F.lit(".csv")).alias("name"), "content"), path)
-    before = list_landing(spark, path)
-    before = spark.createDataFrame(before.collect(), before.schema)  # the state that an earlier run kept, a row per page
+    before = stored(list_landing(spark, path), "listing")  # the state that an earlier run kept
     write_files(pages.where("page_id % 3 = 0").select(F.concat("page_id", F.lit(".csv")).alias("name"), "content"), path)
     number = F.regexp_extract("name", r"^(\d+)", 1).cast("bigint")
     changes = landing_changes(list_landing(spark, path), before)
@@ -248,7 +283,7 @@ def gated_files(spark, sf_dir):
     from f cross join r""",
 )
 def gate_outcome(spark, sf_dir):
-    """A good and a bad raw file, the verdict on each rule, and the rules for which the gate stopped."""
+    """A good and a bad folder of raw files, the verdict on each rule, and the rules for which the gate stopped."""
     path = work_path(spark, "outcome")
     good = raw_flows(spark, sf_dir).withColumns(
         {"Destination Port": F.lit("80"), "Flow Duration": F.col("event_id").cast("string"), "Label": F.lit("BENIGN")}
@@ -260,15 +295,15 @@ def gate_outcome(spark, sf_dir):
         }
     )
     for name, df in (("good", good), ("bad", bad)):
-        df.drop("event_id").coalesce(1).write.option("header", "true").csv(f"{path}/{name}")
+        df.drop("event_id").write.option("header", "true").csv(f"{path}/{name}")
     paths = [f"{path}/good", f"{path}/bad"]
-    verdicts = file_verdicts(spark, paths)
+    verdicts = file_verdicts(spark, paths, by_folder=True)
     try:
-        gate_files(spark, paths)
+        gate_files(spark, paths, by_folder=True)
         failed = []
     except DataQualityError as e:
         failed = e.report.failures()
-    file = F.element_at(F.split("source", "/"), -2)
+    file = F.element_at(F.split("source", "/"), -1)
     return verdicts.select(
         file.alias("file"), "rule_name", "passed",
         F.when(F.col("rule_name").isin("port_range_valid", "label_values_valid"), F.col("details")["invalid_count"].cast("bigint")).alias("invalid"),

@@ -98,21 +98,24 @@ def top_label_rows(df: DataFrame, label: str, k: int = 6) -> DataFrame:
 
 
 def box_stats(df: DataFrame, column: str, label: str, k: int = 6, prob: float = 0.99) -> DataFrame:
-    """Quartiles and 1.5-IQR whiskers of the column, clipped at its quantile, for the top labels."""
+    """Quartiles and 1.5-IQR whiskers of the column, clipped at its quantile, for the top labels.
+
+    The two columns of the top labels are written once. Clipping at the cap leaves all ranks below it as they are, and
+    makes the others the cap: the quartiles of the clipped values are those of the values, clipped.
+    """
     top = top_label_rows(df, label, k).select(trimmed(F.col(label)).alias(label), _value(column).alias(column))
-    clipped = clip_at_quantile(top.where(F.col(column).isNotNull()), column, label, prob)
-    quartiles = (
-        exact_quantiles(clipped, [column], [0.25, 0.5, 0.75], [label])
-        .groupBy(label)
-        .pivot("prob", [0.25, 0.5, 0.75])
-        .agg(F.first("value"))
-        .toDF("_label", "q1", "median", "q3")
+    top = stored(top.where(F.col(column).isNotNull()), "top")
+    order = F.col("prob")
+    named = {"q1": 0.25, "median": 0.5, "q3": 0.75, "cap": prob}
+    found = exact_quantiles(top, [column], list(named.values()), [label]).groupBy(F.col(label).alias("_label")).agg(
+        *[F.max(F.when(order == p, F.col("value"))).alias(n) for n, p in named.items()]
     )
+    # a quartile between two order statistics of which the upper one is clipped
+    x = clip_above(F.col(column), F.col("cap"))
     spread = F.col("q3") - F.col("q1")
-    x = F.col(column)
     low_fence, high_fence = F.col("q1") - 1.5 * spread, F.col("q3") + 1.5 * spread
     return (
-        clipped.join(F.broadcast(quartiles), F.col(label) == F.col("_label"))
+        top.join(F.broadcast(found), F.col(label) == F.col("_label"))  # k rows
         .groupBy(label, "q1", "median", "q3")
         .agg(
             F.count(x).alias("rows"),

@@ -1,14 +1,15 @@
 """Exact quantiles with linear interpolation, by one way at every size and bounded in memory.
 
-A sketch of each column gives a bracket around each wanted rank. Exact counts below and inside the
-bracket then prove that it holds the rank; a bracket that does not is opened, one with many values
-inside is cut down by a sketch of its inside, and counted again. At last the copies of each value
-inside the proven brackets are counted, and the two order statistics are read off.
+A first scan sketches each column; a sketch gives a bracket around each wanted rank. A second scan counts, in one
+aggregation, the copies of every value inside a bracket and the rows of every stretch between brackets. From these
+counts alone follow the ranks of all values inside, a proof that a bracket holds its rank, and the two order
+statistics. A bracket that does not hold its rank is opened and the second scan repeated; one with many different
+values inside is cut down among the counted values, the data is not read again for it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 from netsluice.functions.keys import quoted
 from netsluice.session import stored
 
+#: Different values of one bracket that a task sorts; more are cut down first.
 WINDOW_ROWS = 1_000_000
-ACCURACY = 10_000
-_MARGIN = 5.0 / ACCURACY
-_GRID = 1000
-_SLACK = 2
+SKETCH = 4096
+_MARGIN = 0.002  #: twice the rank error that a sketch of this size stays below in 99 of 100 cases
+_DOUBLINGS = 10  #: of the margin, up to more than 1
+_MARKS = 1000
 _LOW, _HIGH = float("-inf"), float("inf")
 
 
@@ -29,154 +31,163 @@ def _value(name: str) -> Column:
     return F.when(F.isnan(c), None).otherwise(c)
 
 
-class _Brackets:
-    """One row per group: for column i its size ``n{i}``, for its probability j the edges ``l{i}_{j}``, ``h{i}_{j}``.
+class _Ranks:
+    """The wanted ranks of ``columns`` at ``probs`` (ascending) within the groups ``by``.
 
-    Without groups the row is turned into literals, so the data is read with plain comparisons; with
-    groups it is joined by the group's key, null included.
+    Group keys are named ``_0``, ``_1``, ... on the way. A cell (i, j) is a column and a probability.
     """
 
     def __init__(self, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]):
-        self.columns, self.probs, self.by = list(columns), list(probs), list(by)
-        self.cells = [(i, j) for i in range(len(self.columns)) for j in range(len(self.probs))]
-
-    def beside(self, df: DataFrame, brackets: DataFrame) -> DataFrame:
-        """The values of each column as ``x{i}``, with the brackets of the row's group."""
-        values = df.select(*[quoted(b).alias(f"_{k}") for k, b in enumerate(self.by)], *[_value(c).alias(f"x{i}") for i, c in enumerate(self.columns)])
-        if not self.by:
-            row = brackets.first()  # a row of columns x probabilities
-            return values.withColumns({c: F.lit(row[c]).cast("double") for c in brackets.columns if c[0] in "lh"})
-        return self.joined(values, brackets.select(*self.keys(), *[c for c in brackets.columns if c[0] in "lh"]))
-
-    def joined(self, left: DataFrame, right: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        self.columns, self.probs, self.by = list(columns), sorted(set(probs)), list(by)
+        self.keys = [f"_{k}" for k in range(len(self.by))]
+        self.cell = [*self.keys, "i", "j"]
+
+    def grouped(self, df: DataFrame) -> DataFrame:
+        """Group keys and the values as ``x0``, ``x1``, ..."""
+        keys = [quoted(b).alias(k) for b, k in zip(self.by, self.keys)]
+        return df.select(*keys, *[_value(c).alias(f"x{i}") for i, c in enumerate(self.columns)])
+
+    def same_group(self, left: DataFrame, right: DataFrame, also: Sequence[str] = ()) -> DataFrame:
         """Both sides by group, null groups too, and by the columns of ``also``."""
-        shared = [*self.keys(), *also]
-        renamed = right.withColumnsRenamed({c: f"of{c}" for c in shared})
-        same = F.lit(True)
-        for c in shared:
-            same = same & F.col(c).eqNullSafe(F.col(f"of{c}"))
-        return left.join(renamed, same).drop(*[f"of{c}" for c in shared])
-
-    def kept(self, rows: DataFrame) -> DataFrame:
-        """The rows evaluated: a row per group in a table, or the one row of columns x probabilities as it is."""
-        return stored(rows, "brackets") if self.by else rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
-
-    def keys(self) -> list[str]:
-        return [f"_{k}" for k in range(len(self.by))]
-
-    def first(self, df: DataFrame) -> DataFrame:
-        """Sizes, and sketched edges on both sides of each probability; an outer one is open."""
-        aggs = []
-        for i, c in enumerate(self.columns):
-            at = [min(max(p + side, 0.0), 1.0) for p in self.probs for side in (-_MARGIN, _MARGIN)]
-            aggs.append(F.count(_value(c)).alias(f"n{i}"))
-            aggs.append(F.percentile_approx(_value(c), F.array(*map(F.lit, at)), F.lit(ACCURACY)).alias(f"e{i}"))
-        sketched = df.groupBy(*[quoted(b).alias(f"_{k}") for k, b in enumerate(self.by)]).agg(*aggs)
+        renamed = right.withColumnsRenamed({c: f"of{c}" for c in [*self.keys, *also]})
+        on = F.lit(True)
+        for c in [*self.keys, *also]:
+            on = on & F.col(c).eqNullSafe(F.col(f"of{c}"))
+        return left.join(renamed, on).drop(*[f"of{c}" for c in [*self.keys, *also]])
+
+    def brackets(self, values: DataFrame) -> DataFrame:
+        """Per group and column the ascending lower and upper edges ``l{i}`` and ``h{i}``, outer ones open."""
+        sketches = [F.kll_sketch_agg_double(f"x{i}", F.lit(SKETCH)).alias(f"s{i}") for i in range(len(self.columns))]
         edges = []
-        for i, j in self.cells:
-            p = self.probs[j]
-            edges.append((F.lit(_LOW) if p <= _MARGIN else F.col(f"e{i}")[2 * j]).alias(f"l{i}_{j}"))
-            edges.append((F.lit(_HIGH) if p >= 1 - _MARGIN else F.col(f"e{i}")[2 * j + 1]).alias(f"h{i}_{j}"))
-        return sketched.select(*self.keys(), *[f"n{i}" for i in range(len(self.columns))], *edges)
-
-    def counted(self, df: DataFrame, brackets: DataFrame, grid: bool) -> DataFrame:
-        """The brackets with exact counts: below (``b``), on the lower edge (``c``), between the edges (``s``), on the
-        upper edge of another value (``t``); and on demand a sketch of what lies between (``g``)."""
-        aggs = []
-        for i, j in self.cells:
-            x, low, high = F.col(f"x{i}"), F.col(f"l{i}_{j}"), F.col(f"h{i}_{j}")
-            between = (x > low) & (x < high)
-            aggs.append(F.count(F.when(x < low, 1)).alias(f"b{i}_{j}"))
-            aggs.append(F.count(F.when(x == low, 1)).alias(f"c{i}_{j}"))
-            aggs.append(F.count(F.when(between, 1)).alias(f"s{i}_{j}"))
-            aggs.append(F.count(F.when((x == high) & (high > low), 1)).alias(f"t{i}_{j}"))
-            if grid:
-                marks = F.array(*[F.lit(k / _GRID) for k in range(_GRID + 1)])
-                aggs.append(F.percentile_approx(F.when(between, x), marks, F.lit(ACCURACY)).alias(f"g{i}_{j}"))
-        found = self.beside(df, brackets).groupBy(*self.keys()).agg(*aggs)
-        if not self.by:
-            row = brackets.first()
-            return found.withColumns({c: F.lit(row[c]).cast(t) for c, t in brackets.dtypes})
-        return self.joined(found, brackets)
-
-    def rank(self, i: int, j: int) -> Column:
-        return F.lit(self.probs[j]) * (F.col(f"n{i}") - 1)
-
-    def proven(self, i: int, j: int) -> Column:
-        """The bracket holds both order statistics around the rank."""
-        b, c, s, t = (F.col(f"{k}{i}_{j}") for k in "bcst")
-        n = F.col(f"n{i}")
-        at = F.floor(self.rank(i, j))
-        return (n == 0) | ((b <= at) & (F.least(at + 1, n - 1) < b + c + s + t))
-
-    def open_cells(self, window_rows: int) -> Column:
-        """How many brackets of a group are not proven, or hold too many rows between their edges."""
-        out = F.lit(0)
-        for i, j in self.cells:
-            out = out + F.when(~self.proven(i, j) | (F.col(f"s{i}_{j}") > window_rows), 1).otherwise(0)
-        return out
-
-    def narrowed(self, counted: DataFrame, window_rows: int) -> DataFrame:
-        """Proven brackets cut down around the rank by the sketch of what is between their edges, others opened.
-
-        What is between the new edges is under a hundredth of what was, or the rank is that of an edge.
-        """
-        edges = []
-        for i, j in self.cells:
-            low, high, s, g = (F.col(f"{k}{i}_{j}") for k in "lhsg")
-            first = F.col(f"b{i}_{j}") + F.col(f"c{i}_{j}")  # the rank of the first row between
-            share = (self.rank(i, j) - first) / s * _GRID
-            left, right = F.floor(share).cast("int") - _SLACK, F.ceil(share).cast("int") + _SLACK
-            cut_low = F.when(left <= 0, low).when(left >= _GRID, high).otherwise(F.get(g, left))
-            cut_high = F.when(right >= _GRID, high).when(right <= 0, low).otherwise(F.get(g, right))
-            many = s > window_rows
-            edges.append(F.when(~self.proven(i, j), F.lit(_LOW)).when(many, cut_low).otherwise(low).alias(f"l{i}_{j}"))
-            edges.append(F.when(~self.proven(i, j), F.lit(_HIGH)).when(many, cut_high).otherwise(high).alias(f"h{i}_{j}"))
-        return counted.select(*self.keys(), *[f"n{i}" for i in range(len(self.columns))], *edges)
-
-    def read_off(self, df: DataFrame, counted: DataFrame) -> DataFrame:
-        """(by..., column, prob, value) from the copies of each value inside the brackets."""
-        cells = [
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x{i}").alias("x"))
-            for i, j in self.cells
-        ]
-        inside = [
-            F.when((F.col(f"x{i}") >= F.col(f"l{i}_{j}")) & (F.col(f"x{i}") <= F.col(f"h{i}_{j}")), c)
-            for (i, j), c in zip(self.cells, cells)
-        ]
-        keys = self.keys()
-        copies = (
-            self.beside(df, counted).select(*keys, F.explode(F.array_compact(F.array(*inside))).alias("c"))
-            .groupBy(*keys, "c.i", "c.j", "c.x").agg(F.count(F.lit(1)).alias("copies"))
-        )
-        facts = counted.select(
-            *keys,
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(self.columns[i]).alias("column"),
-                            F.lit(self.probs[j]).alias("prob"), F.col(f"n{i}").alias("n"), F.col(f"b{i}_{j}").alias("below"),
-                        )
-                        for i, j in self.cells
-                    ]
-                )
-            ),
+        for i in range(len(self.columns)):
+            edges += [e.alias(f"{side}{i}") for side, e in zip("lh", _edges(F.col(f"s{i}"), self.probs))]
+        return values.groupBy(*self.keys).agg(*sketches).select(*self.keys, *edges)
+
+    def counted(self, values: DataFrame, brackets: DataFrame) -> DataFrame:
+        """(keys, i, a, b, x, copies): rows by the number a of lower edges up to the value and the number b of upper edges
+        below it, and inside a bracket (a > b) by the value itself."""
+        if self.by:
+            beside = self.same_group(values, brackets)
+        else:
+            row = brackets.first()  # two numbers for each column and probability
+            beside = values.withColumns({c: F.array(*[F.lit(e).cast("double") for e in row[c]]) for c in brackets.columns})
+        cells = []
+        for i in range(len(self.columns)):
+            x = F.col(f"x{i}")
+            a, b = F.lit(0), F.lit(0)
+            for j in range(len(self.probs)):
+                a = a + (F.col(f"l{i}")[j] <= x).cast("int")
+                b = b + (F.col(f"h{i}")[j] < x).cast("int")
+            cells.append(F.struct(F.lit(i).alias("i"), a.alias("a"), b.alias("b"), F.when(a > b, x).alias("x")))
+        rows = beside.select(*self.keys, F.inline(F.array(*cells))).where(F.col("a").isNotNull())
+        return rows.groupBy(*self.keys, "i", "a", "b", "x").agg(F.count(F.lit(1)).alias("copies"))
+
+    def per_cell(self, counts: DataFrame) -> DataFrame:
+        """The counts once for each probability of their column, with ``inside``: whether the value lies in its bracket."""
+        every = counts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(self.probs) - 1))))
+        return every.withColumn("inside", (F.col("a") > F.col("j")) & (F.col("b") <= F.col("j")))
+
+    def cells(self, counts: DataFrame) -> DataFrame:
+        """(keys, i, j, n, below, held, kinds, first, second): rows, rows below the bracket, rows and values inside it, and
+        the two wanted ranks from 0."""
+        sums = self.per_cell(counts).groupBy(*self.cell).agg(
+            F.sum("copies").alias("n"),
+            F.coalesce(F.sum(F.when(F.col("a") <= F.col("j"), F.col("copies"))), F.lit(0)).alias("below"),
+            F.coalesce(F.sum(F.when(F.col("inside"), F.col("copies"))), F.lit(0)).alias("held"),
+            F.count(F.when(F.col("inside"), 1)).alias("kinds"),
         )
-        rows = self.joined(copies, facts, ["i", "j"])
-        upto = Window.partitionBy(*keys, "column", "prob").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        at = F.col("prob") * (F.col("n") - 1)
-        first = F.floor(at)
-        ranked = rows.withColumn("upto", F.col("below") + F.sum("copies").over(upto))
-        found = ranked.groupBy(*keys, "column", "prob", "n").agg(
-            F.min(F.when(F.col("upto") > first, F.col("x"))).alias("a"),
-            F.min(F.when(F.col("upto") > F.least(first + 1, F.col("n") - 1), F.col("x"))).alias("b"),
+        first = F.floor(self.rank())
+        return sums.withColumns({"first": first, "second": F.least(first + 1, F.col("n") - 1)})
+
+    def rank(self) -> Column:
+        return F.element_at(F.array(*map(F.lit, self.probs)), F.col("j") + 1) * (F.col("n") - 1)
+
+    def opened(self, brackets: DataFrame, cells: DataFrame) -> DataFrame:
+        """Brackets without their rank opened on both sides, along with the edges further out, so that edges stay ascending."""
+        wrong = cells.where(~_proven()).groupBy(*self.keys, "i").agg(F.max("j").alias("last"), F.min("j").alias("first"))
+        spans = wrong.groupBy(*self.keys).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("last", "first")))).alias("w"))
+        if self.by:
+            renamed = spans.withColumnsRenamed({k: f"of{k}" for k in self.keys})
+            on = F.lit(True)
+            for k in self.keys:
+                on = on & F.col(k).eqNullSafe(F.col(f"of{k}"))
+            beside = brackets.join(renamed, on, "left").drop(*renamed.columns[:-1])
+        else:
+            beside = brackets.crossJoin(spans)  # one row each
+        out = []
+        for i in range(len(self.columns)):
+            span = F.try_element_at("w", F.lit(i))
+            out.append(_open_to(F.col(f"l{i}"), lambda j, last=span["last"]: j <= last, _LOW).alias(f"l{i}"))
+            out.append(_open_to(F.col(f"h{i}"), lambda j, first=span["first"]: j >= first, _HIGH).alias(f"h{i}"))
+        return beside.select(*self.keys, *out)
+
+    def cut(self, inside: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What lies near the wanted ranks among (cell, x, copies), and the cells with the rows below that.
+
+        Marks part a cell's values in a thousand about equal portions; the portions of both ranks are kept.
+        """
+        marks = F.array(*[F.lit(k / _MARKS) for k in range(_MARKS + 1)])
+        grid = inside.groupBy(*self.cell).agg(F.percentile_approx("x", marks, F.lit(10 * _MARKS)).alias("g"))
+        dealt = self.same_group(inside, grid, ["i", "j"]).withColumn("k", F.size(F.filter("g", lambda m: m < F.col("x")))).drop("g")
+        dealt = stored(dealt, "dealt")
+        sums = dealt.groupBy(*self.cell, "k").agg(F.sum("copies").alias("c"))
+        upto = Window.partitionBy(*self.cell).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = self.same_group(sums, cells, ["i", "j"]).withColumn("upto", F.col("below") + F.sum("c").over(upto))
+        near = ranked.where((F.col("upto") > F.col("first")) & (F.col("upto") - F.col("c") <= F.col("second")))
+        kept = stored(near.groupBy(*self.cell).agg(F.min(F.col("upto") - F.col("c")).alias("below"), F.min("k").alias("from"), F.max("k").alias("to")), "kept")
+        part = self.same_group(dealt, kept.drop("below"), ["i", "j"]).where(F.col("k").between(F.col("from"), F.col("to"))).drop("k", "from", "to")
+        return part, self.same_group(cells.drop("below"), kept.drop("from", "to"), ["i", "j"])
+
+    def read_off(self, inside: DataFrame, cells: DataFrame) -> DataFrame:
+        """(by..., column, prob, value) from the copies of each value around the ranks."""
+        upto = Window.partitionBy(*self.cell).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = self.same_group(inside, cells, ["i", "j"]).withColumn("upto", F.col("below") + F.sum("copies").over(upto))
+        found = ranked.groupBy(*self.cell, "n", "first").agg(
+            F.min(F.when(F.col("upto") > F.col("first"), F.col("x"))).alias("a"),
+            F.min(F.when(F.col("upto") > F.col("second"), F.col("x"))).alias("b"),
         )
-        weight = at - first
+        weight = self.rank() - F.col("first")
         a, b = F.col("a"), F.col("b")
         # an infinite neighbour of no weight must not be multiplied
         value = F.when((a == b) | (weight == 0), a).otherwise(a * (1 - weight) + b * weight)
-        return found.select(*[F.col(k).alias(name) for k, name in zip(keys, self.by)], "column", "prob", value.alias("value"))
+        return found.select(
+            *[F.col(k).alias(name) for k, name in zip(self.keys, self.by)],
+            F.element_at(F.array(*map(F.lit, self.columns)), F.col("i") + 1).alias("column"),
+            F.element_at(F.array(*map(F.lit, self.probs)), F.col("j") + 1).alias("prob"),
+            value.alias("value"),
+        )
+
+
+def _edges(sketch: Column, probs: Sequence[float]) -> tuple[Column, Column]:
+    """Ascending sketched values below and above each probability; null without a value.
+
+    They are so far away that the rank error and, in a small group, two ranks more lie between: the distance is doubled
+    until it is enough. A distance beyond 0 or 1 opens the bracket.
+    """
+    ranks = [[p + side * _MARGIN * 2**k for k in range(_DOUBLINGS)] for side in (-1, 1) for p in probs]
+    asked = F.array(*[F.lit(min(max(r, 0.0), 1.0)) for row in ranks for r in row])
+    n = F.kll_sketch_get_n_double(sketch)
+    values = F.when(n > 0, F.kll_sketch_get_quantile_double(sketch, asked))
+    wanted = F.greatest(F.lit(0), F.ceil(F.log2((F.lit(_MARGIN / 2) + 2 / F.nullif(n, F.lit(0))) / _MARGIN))).cast("int")
+
+    def side(rows: range, open_: float) -> Column:
+        out = []
+        for row in rows:
+            shut = sum(0 < r < 1 for r in ranks[row])  # the first ones are inside
+            place = F.lit(row * _DOUBLINGS) + wanted
+            out.append(F.when(n > 0, F.when(wanted < shut, F.get(values, place)).otherwise(F.lit(open_))))
+        return F.array(*out)
+
+    return side(range(len(probs)), _LOW), side(range(len(probs), 2 * len(probs)), _HIGH)
+
+
+def _open_to(edges: Column, which: Callable[[Column], Column], open_: float) -> Column:
+    return F.transform(edges, lambda e, j: F.when(which(j), F.lit(open_)).otherwise(e))
+
+
+def _proven() -> Column:
+    """The bracket of a cell holds both order statistics around the rank."""
+    return (F.col("below") <= F.col("first")) & (F.col("second") < F.col("below") + F.col("held"))
 
 
 def exact_quantiles(
@@ -184,18 +195,29 @@ def exact_quantiles(
 ) -> DataFrame:
     """Rows (by..., column, prob, value); null and NaN are left out, infinities count as values.
 
-    A column without a value has no row. One job sketches, one counts, and one more for each round in
-    which some bracket holds over ``window_rows`` rows; a row per group is all that is kept of them.
+    A column without a value has no row. The data is read twice, and once more for each round in which some
+    bracket missed its rank. Where a bracket holds over ``window_rows`` different values, they are cut down first.
     """
     window_rows = WINDOW_ROWS if window_rows is None else window_rows
-    state = _Brackets(columns, probs, by)
-    brackets = state.kept(state.first(df))
+    ranks = _Ranks(columns, probs, by)
+    values = ranks.grouped(df)
+    brackets = ranks.brackets(values)
+    brackets = stored(brackets, "brackets") if by else brackets.sparkSession.createDataFrame(brackets.collect(), brackets.schema)  # one row
     while True:
-        counted = state.kept(state.counted(df, brackets, grid=False))
-        if not counted.where(state.open_cells(window_rows) > 0).limit(1).count():
-            return state.read_off(df, counted)
-        sketched = state.kept(state.counted(df, brackets, grid=True))
-        brackets = state.kept(state.narrowed(sketched, window_rows))
+        counts = stored(ranks.counted(values, brackets), "counts")
+        cells = ranks.cells(counts)
+        state = cells.agg(F.count(F.when(~_proven(), 1)).alias("wrong"), F.coalesce(F.max("kinds"), F.lit(0)).alias("kinds")).first()
+        if not state["wrong"]:
+            break
+        brackets = stored(ranks.opened(brackets, cells), "brackets")
+    inside, kinds = ranks.per_cell(counts).where("inside").select(*ranks.cell, "x", "copies"), state["kinds"]
+    while kinds > window_rows:
+        inside, cells = ranks.cut(inside, cells)
+        most = inside.groupBy(*ranks.cell).agg(F.count(F.lit(1)).alias("kinds")).agg(F.max("kinds")).first()[0]
+        if most >= kinds:  # fewer values than marks
+            break
+        kinds = most
+    return ranks.read_off(inside, cells)
 
 
 def quantile_caps(df: DataFrame, column: str, by: str, prob: float = 0.99) -> DataFrame:

@@ -20,20 +20,29 @@ from netsluice.sources.files import raw_numbers, read_raw_flows
 from netsluice.sources.interleave import file_positions, first_rows, interleave
 
 
-def file_verdicts(spark: SparkSession, paths: str | Sequence[str], first: int | None = None, **options) -> DataFrame:
-    """The raw rules' results of every file, by one job; ``first`` restricts the check to a file's first rows."""
+def file_verdicts(
+    spark: SparkSession, paths: str | Sequence[str], first: int | None = None, by_folder: bool = False, **options
+) -> DataFrame:
+    """The raw rules' results of every file, or of every folder of files, by one job.
+
+    ``first`` restricts the check to a file's first rows.
+    """
     if first is None:
         df = read_raw_flows(spark, paths, with_position=True, **options).drop("block", "line_order")
     else:
         df = first_rows(
             file_positions(read_raw_flows(spark, paths, with_position=True, **options)), n=first
         ).drop("line")
+    if by_folder:
+        df = df.withColumn("source", F.regexp_replace("source", "/[^/]*$", ""))
     return raw_rule_results(df, by=["source"])
 
 
-def gate_files(spark: SparkSession, paths: str | Sequence[str], first: int | None = None, **options) -> DataFrame:
-    """Gate every raw file; returns the verdicts (source, rule, ...), or raises with the first failing file's report."""
-    return gate_each(file_verdicts(spark, paths, first, **options), "source")
+def gate_files(
+    spark: SparkSession, paths: str | Sequence[str], first: int | None = None, by_folder: bool = False, **options
+) -> DataFrame:
+    """Gate every raw file, or folder; returns the verdicts (source, rule, ...), or raises with the first failing one's report."""
+    return gate_each(file_verdicts(spark, paths, first, by_folder, **options), "source")
 
 
 def ingest_files(

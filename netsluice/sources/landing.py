@@ -99,18 +99,3 @@ def admit_landing(
     n = spark.sparkContext.defaultParallelism
     large = with_heads(files.where(F.col("length") >= min_bytes).repartition(n, "path"))
     return admission(small.unionByName(large), min_bytes).select("name", "length", "admitted", "reason")
-
-
-def write_files(rows: DataFrame, folder: str) -> int:
-    """Write each row (name, content) as a file of the folder; returns how many. A second attempt writes the same bytes."""
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, inner = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
-        store.create_dir(inner, recursive=True)
-        for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
-                with store.open_output_stream(f"{inner}/{name}", compression=None) as f:
-                    f.write(content or b"")
-            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
-
-    return rows.select("name", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
