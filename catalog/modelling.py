@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query, table
-from catalog.bindings import raw_flows
-from netsluice.operators import evaluation
+from catalog.bindings import CLEAN_LABEL, FLOW_NUMBERS, IS_ATTACK, clean_sql, flow_numbers, raw_flows, spread
+from catalog.boosted_sql import boosted_ctes
+from netsluice import schema
+from netsluice.operators import boosting, evaluation
+from netsluice.operators.boosting import BoostParams
 from netsluice.operators.clean import clean_flows
 from netsluice.operators.detections import batch_summary
+from netsluice.plans.registry import load_model, save_model
 from netsluice.plans.scoring import score_flows
-from netsluice.plans.training import TreeParams, cross_validate, holdout_metrics, pipeline, training_table
+from netsluice.plans.training import TreeParams, cross_validate, fit_model, holdout_metrics, pipeline, training_table
+from netsluice.session import work_path
 
 # a fixed linear score against the return flag
 _SCORE = "round(0.5 * l_quantity / 50 + 2 * l_discount + l_tax, 2)"
@@ -86,22 +91,123 @@ def _flows(spark, sf_dir):
     return flows.withColumn("flow_duration", longer)
 
 
-_SMALL = TreeParams(trees=3, depth=3)
+_BOOST = BoostParams(trees=2, depth=2, rate=0.3, bins=8)
+_SOME = ["flow_duration", "total_fwd_packets", "total_backward_packets", "flow_bytes_s", "fwd_iat_mean", "active_mean", "idle_std"]
+_EVENT_WEIGHT = "1.0 + event_id % 3 / 2.0"
+
+
+@query(
+    "boosted_trees",
+    f"""with rows as (select event_id, {IS_ATTACK} as target, {_EVENT_WEIGHT} as weight, {', '.join(f'{FLOW_NUMBERS[f]} as {f}' for f in _SOME)} from events),
+    {boosted_ctes('a_', 'rows', _SOME, 3, 3, 0.3, 16)}
+    select tree, node, feature, round(threshold, 9) as threshold, missing_left, round(gain, 6) as gain, round(value, 9) as value
+    from a_nodes""",
+)
+def boosted_trees(spark, sf_dir):
+    """Every node of three trees over features with gaps."""
+    target = spread(table(spark, sf_dir, "events")).selectExpr("event_id as id", f"{IS_ATTACK} as is_attack", f"{_EVENT_WEIGHT} as weight")
+    rows = flow_numbers(spark, sf_dir).join(target, F.col("event_id") == F.col("id"))
+    edges = boosting.even_edges(rows, _SOME, 16)
+    model = boosting.fit(rows, _SOME, params=BoostParams(trees=3, depth=3, rate=0.3, bins=16), edges=edges)
+    rounded = {"threshold": F.round("threshold", 9), "gain": F.round("gain", 6), "value": F.round("value", 9)}
+    return model.node_table(spark).withColumns(rounded)
+
+
+def _flow_sql(f: str) -> str:
+    longer = f" + case when {IS_ATTACK} = 1 then 2000 else 0 end" if f == "flow_duration" else ""
+    return f"{clean_sql(f)}{longer} as {f}"
+
+
+# flows with the weight of their label, the hold-out and the folds, as training_table makes them
+_TRAINING_SQL = f"""f as (select event_id, {IS_ATTACK} as target, {CLEAN_LABEL} as label, md5(concat_ws('|', event_id, '42')) as o,
+        {', '.join(_flow_sql(f) for f in schema.FEATURES)} from events),
+    lw as (select label, sqrt(sum(count(*)) over () / (count(*) over () * count(*))) as weight from f group by label),
+    cs as (select target, count(*) as n from f group by target),
+    sh as (select *, n * ceil(sum(n) over () * 0.2) / sum(n) over () as share, ceil(sum(n) over () * 0.2) as total from cs),
+    ho as (select target, floor(share) + case when row_number() over (order by round(share - floor(share), 9) desc,
+        target) <= total - sum(floor(share)) over () then 1 else 0 end as held from sh),
+    sp as (select f.*, weight, row_number() over (partition by target order by o) <= held as is_test
+        from f join lw using (label) join ho using (target)),
+    rows as materialized (select *, row_number() over (partition by target, is_test order by o) > count(*) over (partition by target, is_test) // 2 as fold
+        from sp)"""
+
 
+def _boosted(prefix: str, train: str) -> str:
+    return boosted_ctes(prefix, "rows", schema.FEATURES, _BOOST.trees, _BOOST.depth, _BOOST.rate, _BOOST.bins, train)
 
-@query("training_metrics")
+
+def _metrics_sql(name: str, source: str) -> str:
+    return f"""{name} as (select (tp + tn) / (tp + tn + fp + fn) as accuracy, tp / (tp + fp) as precision, tp / (tp + fn) as recall,
+        2 * tp / (2 * tp + fp + fn) as f1 from (select cast(count(*) filter (where target = 1 and margin > 0) as double) as tp,
+        cast(count(*) filter (where target = 0 and margin > 0) as double) as fp,
+        cast(count(*) filter (where target = 1 and margin <= 0) as double) as fn,
+        cast(count(*) filter (where target = 0 and margin <= 0) as double) as tn from {source}))"""
+
+
+_NAMES = ("accuracy", "precision", "recall", "f1")
+
+
+@query(
+    "training_metrics",
+    f"""with {_TRAINING_SQL},
+    {_boosted('x_', 'not is_test and fold')}, {_boosted('y_', 'not is_test and not fold')}, {_boosted('z_', 'not is_test')},
+    {_metrics_sql('xm', "(select s.* from x_scores s join rows using (event_id) where not is_test and not fold)")},
+    {_metrics_sql('ym', "(select s.* from y_scores s join rows using (event_id) where not is_test and fold)")},
+    {_metrics_sql('zm', "(select s.* from z_scores s join rows using (event_id) where is_test)")},
+    rk as (select s.target, rank() over (order by round(margin, 12)) + (count(*) over (partition by round(margin, 12)) - 1) / 2.0 as r
+        from z_scores s join rows using (event_id) where is_test),
+    au as (select (sum(r) filter (where target = 1) - sum(target) * (sum(target) + 1) / 2) / (sum(target) * sum(1 - target)) as auc from rk)
+    {' union all '.join(f"select 'cv_mean_{n}' as metric, round((xm.{n} + ym.{n}) / 2, 9) as value from xm, ym" for n in _NAMES)}
+    union all {' union all '.join(f"select 'test_{n}', round({n}, 9) from zm" for n in _NAMES)}
+    union all select 'test_roc_auc', round(auc, 9) from au""",
+)
 def training_metrics(spark, sf_dir):
+    """Folds and hold-out of boosted trees, each fitted with bins of its own training rows."""
     data = training_table(_flows(spark, sf_dir), ["event_id"], folds=2).cache()
     train = data.where("is_test = 0")
-    metrics = cross_validate(train, _SMALL, 2)
-    metrics |= holdout_metrics(data.where("is_test = 1"), pipeline(_SMALL).fit(train))
+    metrics = {}
+    for fold in (0, 1):
+        rest = train.where(F.col("fold") != fold)
+        model = fit_model(rest, _BOOST, edges=boosting.even_edges(rest, schema.FEATURES, _BOOST.bins))
+        for name, value in holdout_metrics(train.where(F.col("fold") == fold), model).items():
+            if name != "test_roc_auc":
+                metrics[name.replace("test_", "cv_mean_")] = metrics.get(name.replace("test_", "cv_mean_"), 0.0) + value / 2
+    model = fit_model(train, _BOOST, edges=boosting.even_edges(train, schema.FEATURES, _BOOST.bins))
+    metrics |= holdout_metrics(data.where("is_test = 1"), model)
     data.unpersist()
     rows = [(k, float(v)) for k, v in sorted(metrics.items())]
-    return spark.createDataFrame(rows, "metric string, value double")
+    return spark.createDataFrame(rows, "metric string, value double").withColumn("value", F.round("value", 9))
 
 
-@query("score_flows")
+@query(
+    "score_flows",
+    f"""with {_TRAINING_SQL}, {_boosted('z_', 'not is_test')},
+    s as (select event_id, event_id % 50 <> 0 as scored_ok, 1 / (1 + exp(-margin)) as p from z_scores)
+    select event_id, case when scored_ok and p > 0.5 then 'ATTACK' else 'BENIGN' end as is_anomaly,
+        round(case when not scored_ok then 0 when p > 0.5 then p else 1 - p end, 9) as confidence,
+        round(case when scored_ok then p end, 9) as ml_confidence_score, '1.0.0' as ml_model_version, scored_ok from s""",
+)
 def score(spark, sf_dir):
+    """Flows scored by boosted trees that were saved and loaded again."""
+    flows = _flows(spark, sf_dir)
+    train = training_table(flows, ["event_id"], folds=2).where("is_test = 0")
+    model = fit_model(train, _BOOST, edges=boosting.even_edges(train, schema.FEATURES, _BOOST.bins))
+    root = work_path(spark, "registry")
+    save_model(spark, model, root, schema.MODEL_VERSION)
+    model, version = load_model(spark, root)
+    scored = score_flows(flows, model, version, valid=F.expr("event_id % 50 <> 0"))
+    return scored.select(
+        "event_id", "is_anomaly", *[F.round(c, 9).alias(c) for c in ("confidence", "ml_confidence_score")],
+        "ml_model_version", "scored_ok",
+    )
+
+
+_SMALL = TreeParams(trees=3, depth=3)
+
+
+@query("score_flows_pipeline")
+def score_with_pipeline(spark, sf_dir):
+    """The same with Spark ML's trees."""
     flows = _flows(spark, sf_dir)
     model = pipeline(_SMALL).fit(training_table(flows, ["event_id"], folds=2).where("is_test = 0"))
     scored = score_flows(flows, model, valid=F.expr("event_id % 50 <> 0"))
@@ -110,6 +216,17 @@ def score(spark, sf_dir):
     )
 
 
+@query("training_metrics_pipeline")
+def training_metrics_with_pipeline(spark, sf_dir):
+    data = training_table(_flows(spark, sf_dir), ["event_id"], folds=2).cache()
+    train = data.where("is_test = 0")
+    metrics = cross_validate(train, _SMALL, 2)
+    metrics |= holdout_metrics(data.where("is_test = 1"), pipeline(_SMALL).fit(train))
+    data.unpersist()
+    rows = [(k, float(v)) for k, v in sorted(metrics.items())]
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
 @query(
     "score_without_model",
     """select event_id, 'BENIGN' as is_anomaly, 0.0 as confidence, null as ml_confidence_score,

@@ -5,14 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsluice import schema
 from netsluice.operators.clean import clean_flows
 from netsluice.operators.detections import alerts
-from netsluice.plans.scoring import scored_records
+from netsluice.plans.scoring import Model, scored_records
 from netsluice.quality.records import CleanedRecords, TableRecords
 from netsluice.quality.report import gate, gate_each
 from netsluice.quality.rules import cleaned_rule_results, raw_rule_results, scored_rule_results
@@ -77,7 +76,7 @@ def score_table(
     cleaned: str,
     out: str,
     alerts_out: str,
-    model: PipelineModel | None,
+    model: Model | None,
     version: str = schema.MODEL_VERSION,
 ) -> dict[str, int]:
     """Cleaned table to scored table and alert table, the alerts gated; returns both counts."""

@@ -9,6 +9,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from netsluice.operators.boosting import BoostedTrees
+
 _STAGES = "version string, path string, stage string, at timestamp"
 _RUNS = "run_id string, started timestamp, params map<string,string>, metrics map<string,double>, model_path string"
 
@@ -17,10 +19,13 @@ def _append(spark: SparkSession, path: str, row: tuple, fields: str) -> None:
     spark.createDataFrame([row], fields).coalesce(1).write.mode("append").parquet(path)
 
 
-def save_model(spark: SparkSession, model: PipelineModel, root: str, version: str, stage: str = "None") -> str:
+def save_model(spark: SparkSession, model: PipelineModel | BoostedTrees, root: str, version: str, stage: str = "None") -> str:
     """Save a model version and enter it in the registry."""
     path = f"{root}/models/{version}"
-    model.write().overwrite().save(path)
+    if isinstance(model, BoostedTrees):
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
     _append(spark, f"{root}/registry", (version, path, stage, datetime.now(timezone.utc)), _STAGES)
     return path
 
@@ -40,12 +45,22 @@ def current_version(spark: SparkSession, root: str) -> tuple[str, str] | None:
     return (row["version"], row["path"]) if row else None
 
 
-def load_model(spark: SparkSession, root: str, fallback: str | None = None) -> tuple[PipelineModel | None, str | None]:
+def _load(spark: SparkSession, path: str) -> PipelineModel | BoostedTrees:
+    """A saved model of either kind: boosted trees have a table of nodes, a pipeline its own folders."""
+    try:
+        return BoostedTrees.load(spark, path)
+    except AnalysisException:
+        return PipelineModel.load(path)
+
+
+def load_model(
+    spark: SparkSession, root: str, fallback: str | None = None
+) -> tuple[PipelineModel | BoostedTrees | None, str | None]:
     """(model, version): Production, else latest, else the fallback path, else (None, None)."""
     entry = current_version(spark, root)
     for version, path in ([entry] if entry else []) + ([("local", fallback)] if fallback else []):
         try:
-            return PipelineModel.load(path), version
+            return _load(spark, path), version
         except Exception as e:  # a version that cannot be read gives way to the next choice
             if not any(s in str(e) for s in ("does not exist", "Input path", "PATH_NOT_FOUND", "empty collection")):
                 raise

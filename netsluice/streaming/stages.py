@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -18,7 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from netsluice import schema
 from netsluice.operators.clean import clean_records
 from netsluice.operators.detections import alerts
-from netsluice.plans.scoring import scored_records
+from netsluice.plans.scoring import Model, scored_records
 from netsluice.quality.records import CleanedRecords
 from netsluice.quality.report import DataQualityError, collect_report
 from netsluice.quality.rules import cleaned_rule_results
@@ -53,7 +52,7 @@ def cleaned_stream(records: DataFrame, max_records: int | None = None) -> DataFr
     return clean_records(records)
 
 
-def scored_stream(cleaned: DataFrame, model: PipelineModel | None, version: str = schema.MODEL_VERSION) -> DataFrame:
+def scored_stream(cleaned: DataFrame, model: Model | None, version: str = schema.MODEL_VERSION) -> DataFrame:
     return scored_records(cleaned, model, version)
 
 
