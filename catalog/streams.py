@@ -6,13 +6,20 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from catalog import query, table
-from catalog.bindings import CLEAN_LABEL, IS_ATTACK, OUTCOME, SCORE, SECONDS, broken_records, clean_sql, raw_flows
+from catalog.bindings import CLEAN_LABEL, IS_ATTACK, OUTCOME, SCORE, SECONDS, broken_records, clean_sql, raw_flows, scored_events
+from catalog.boosted_sql import boosted_ctes
 from catalog.detecting import RATES_SQL, _attack, _time
 from netsluice import schema
 from netsluice.functions.text import signal_value
+from netsluice.operators import boosting
+from netsluice.operators.boosting import BoostParams
+from netsluice.operators.clean import clean_flows
+from netsluice.plans.registry import load_model, save_model
+from netsluice.plans.training import fit_model
 from netsluice.session import work_path
 from netsluice.sources.files import export_json_lines
-from netsluice.streaming.rates import keep_history, stream_rates
+from netsluice.streaming.histories import current_histories, source_histories, write_histories
+from netsluice.streaming.rates import RANK_ERROR, keep_history, merged_rates, rank_audit, stream_rates
 from netsluice.streaming.stages import (
     bounded,
     cleaned_stream,
@@ -133,28 +140,67 @@ def stream_raw_files(spark, sf_dir):
     )
 
 
+_STREAM_BOOST = BoostParams(trees=2, depth=2, rate=3.0, bins=8)
+
+
 @query(
     "stream_scores",
-    "select count(*) as scored, 0 as alerts, '1.0.0' as version from events",
+    f"""with rows as materialized (select event_id, {IS_ATTACK} as target, 1.0 as weight, {CLEAN_LABEL} as label,
+        {', '.join(f'{clean_sql(f)} as {f}' for f in schema.FEATURES)} from events),
+    {boosted_ctes('a_', 'rows', schema.FEATURES, 2, 2, 3.0, 8)},
+    s as (select label, 1 / (1 + exp(-margin)) as p from a_scores join rows using (event_id))
+    select label, round(p, 6) as score, '1.0.0' as version, count(*) as scored, count(*) filter (where p > 0.8) as alerts
+    from s group by all""",
 )
 def stream_scores(spark, sf_dir):
-    """Both sinks of the scoring stage; without a model every score is null and nothing is alerted."""
+    """Both sinks of the scoring stage, by a model that was fitted in batch and loaded from the registry."""
+    flows = clean_flows(raw_flows(spark, sf_dir))
+    edges = boosting.even_edges(flows, schema.FEATURES, _STREAM_BOOST.bins)
+    root = work_path(spark, "registry")
+    save_model(spark, fit_model(flows, _STREAM_BOOST, weight=None, edges=edges), root, "1.0.0")
+    model, version = load_model(spark, root)
+    out, alerts = work_path(spark, "scored"), work_path(spark, "alerts")
+    cleaned = cleaned_stream(json_file_stream(spark, _record_files(spark, sf_dir), files_per_trigger=2)).drop("extra")
+    run_scoring(scored_stream(cleaned, model, version), out, alerts, work_path(spark, "checkpoint")).awaitTermination()
+    by = ["label", F.round("ml_confidence_score", 6).alias("score"), F.col("ml_model_version").alias("version")]
+    scored = spark.read.parquet(out).select(*by, F.lit(1).alias("s"), F.lit(0).alias("a"))
+    found = spark.read.parquet(alerts).select(*by, F.lit(0).alias("s"), F.lit(1).alias("a"))
+    return scored.unionByName(found).groupBy("label", "score", "version").agg(F.sum("s").alias("scored"), F.sum("a").alias("alerts"))
+
+
+@query(
+    "stream_scores_without_model",
+    f"select {CLEAN_LABEL} as label, count(*) as scored, count(*) filter (where false) as alerts from events group by 1",
+)
+def stream_scores_without_model(spark, sf_dir):
+    """Without a model every record comes through with no score, and nothing is alerted."""
     out, alerts = work_path(spark, "scored"), work_path(spark, "alerts")
     cleaned = cleaned_stream(json_file_stream(spark, _record_files(spark, sf_dir), files_per_trigger=2)).drop("extra")
     run_scoring(scored_stream(cleaned, None), out, alerts, work_path(spark, "checkpoint")).awaitTermination()
-    scored = spark.read.parquet(out).agg(
-        F.count(F.lit(1)).alias("scored"), F.max("ml_model_version").alias("version")
-    )
-    found = spark.read.parquet(alerts).agg(F.count(F.lit(1)).alias("alerts"))
-    both = scored.unionByName(found, allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in ("scored", "alerts", "version")])
+    found = spark.read.parquet(alerts).groupBy("label").agg(F.count(F.lit(1)).alias("alerts"))
+    scored = spark.read.parquet(out).where("ml_confidence_score is null").groupBy("label").agg(F.count(F.lit(1)).alias("scored"))
+    return scored.join(found, "label", "left").select("label", "scored", F.coalesce("alerts", F.lit(0)).alias("alerts"))
 
 
-@query("stream_rates", f"{RATES_SQL} from s group by 1")
-def rates(spark, sf_dir):
+@query(
+    "stream_resumed",
+    f"""select {', '.join(f'{clean_sql(f)} as {f}' for f in _SHOWN)}, {CLEAN_LABEL} as label, event_id % 3 as delivery from events""",
+)
+def stream_resumed(spark, sf_dir):
+    """Three deliveries of records, and a run of the cleaning stage after each: every run goes on where the last one ended."""
+    files, out, checkpoint = work_path(spark, "records"), work_path(spark, "cleaned"), work_path(spark, "checkpoint")
+    for k in range(3):
+        flows = raw_flows(spark, sf_dir).where(F.col("event_id") % 3 == k).withColumn("Flow IAT Min", F.lit(str(k))).drop("event_id")
+        export_json_lines(flows, f"{files}/{k}")
+        stream = cleaned_stream(json_file_stream(spark, f"{files}/*", files_per_trigger=3)).drop("extra")
+        run_to_table(stream, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select(*_SHOWN, "label", F.col("flow_iat_min").cast("bigint").alias("delivery"))
+
+
+def _finished_rates(spark, sf_dir, window_seconds):
     """Event-time windows; complete mode, so that the last window is emitted as well."""
     out = work_path(spark, "rates")
-    stream = stream_rates(_event_stream(spark, sf_dir), "ts", _attack(), F.col("seconds"), 3_600)
+    stream = stream_rates(_event_stream(spark, sf_dir), "ts", _attack(), F.col("seconds"), window_seconds)
 
     def replace(batch, batch_id):
         batch.write.mode("overwrite").parquet(out)
@@ -162,9 +208,53 @@ def rates(spark, sf_dir):
     bounded(
         stream.writeStream.outputMode("complete").foreachBatch(replace), work_path(spark, "checkpoint")
     ).start().awaitTermination()
-    return spark.read.parquet(out).select(
-        _time("window_start"), "predictions",
-        *[F.round(c, 9).alias(c) for c in ("per_second", "anomaly_ratio", "avg_latency")],
+    return spark.read.parquet(out)
+
+
+def _audited(spark, sf_dir, rates, window_seconds):
+    """Rates beside the check of their sketched quantile against the exact ranks of the rows."""
+    audit = rank_audit(scored_events(spark, sf_dir), "ts", F.col("seconds"), rates, window_seconds)
+    within = (F.col("low") - RANK_ERROR <= 0.95) & (F.col("high") + RANK_ERROR >= 0.95)
+    shown = rates.select(
+        "window_start", "predictions", *[F.round(c, 9).alias(c) for c in ("per_second", "anomaly_ratio", "avg_latency")]
+    )
+    return shown.join(audit.select("window_start", within.alias("p95_within")), "window_start").withColumn("window_start", _time("window_start"))
+
+
+@query("stream_rates", f"{RATES_SQL}, true as p95_within from s group by 1")
+def rates(spark, sf_dir):
+    """Hourly rates of a stream, the 95 % latency from a sketch that keeps to its bound."""
+    return _audited(spark, sf_dir, _finished_rates(spark, sf_dir, 3_600), 3_600)
+
+
+@query(
+    "stream_rates_merged",
+    f"{RATES_SQL}, true as p95_within from s group by 1".replace("interval 1 hour", "interval 1 day").replace("3600.0", "86400.0"),
+)
+def daily_rates(spark, sf_dir):
+    """Rates of days merged from five-minute windows, by way of hours."""
+    hours = merged_rates(_finished_rates(spark, sf_dir, 300), 3_600)
+    return _audited(spark, sf_dir, merged_rates(hours, 86_400), 86_400)
+
+
+@query(
+    "stream_histories",
+    f"""with r as (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as place from events)
+    select event_type as source, place, event_id, case when {OUTCOME} = 'BENIGN' then cast({SCORE} as double) else 1.0 end as value
+    from r where place <= 50""",
+)
+def stream_histories(spark, sf_dir):
+    """The last 50 signals of every source; the stream stops in the middle and goes on."""
+    files, out, checkpoint = work_path(spark, "events"), work_path(spark, "histories"), work_path(spark, "checkpoint")
+    events = scored_events(spark, sf_dir)
+    for part in ("event_id % 4 in (0, 3)", "event_id % 4 in (1, 2)"):
+        events.where(part).repartition(3).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(files)
+        histories = source_histories(stream, "event_type", "ts", ["event_id"], ["is_anomaly", "confidence"], idle="60 days")
+        writer = histories.writeStream.outputMode("update").foreachBatch(write_histories(out))
+        bounded(writer, checkpoint).start().awaitTermination()
+    return current_histories(spark, out).select(
+        "source", "place", "event_id", signal_value(_attack(), F.col("confidence")).alias("value")
     )
 
 
