@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from catalog import query, table
@@ -156,6 +158,29 @@ def _detections(spark, sf_dir):
     )
 
 
+@query(
+    "detection_log_writers",
+    f"""{_S} select sha256(concat('Batch|', event_id)) as id, confidence from s where {_ATTACK} and event_id % 4 <> 3""",
+)
+def detection_log_writers(spark, sf_dir):
+    """A log that is cleared, then written by three threads at once, each in two appends."""
+    root, events = work_path(spark, "log"), scored_events(spark, sf_dir)
+
+    def of(condition):
+        return detections.detection_rows(events.where(condition), "Batch", ["event_id"], "ts", ["value", "user_id", "event_type"])
+
+    detections.log_detections(of("event_id % 4 = 3"), root)
+    detections.clear_log(spark, root)
+
+    def write(k):
+        for half in (0, 1):
+            detections.log_detections(of(f"event_id % 4 = {k} and event_id div 4 % 2 = {half}"), root)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    return detections.read_detections(spark, root, _detections(spark, sf_dir).schema).select("id", "confidence")
+
+
 @query(
     "recent_attacks",
     f"""{_S} select sha256(concat('Batch|', event_id)) as id, confidence from s where {_ATTACK}

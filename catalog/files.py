@@ -14,7 +14,10 @@ from catalog.bindings import SCORED_SQL, clean_sql, raw_flows, scored_events
 from netsluice import schema
 from netsluice.operators.clean import clean_flows
 from netsluice.operators.detections import numbered_results
+from netsluice.operators.digest_store import DigestStore
+from netsluice.plans.landing import ingest_landing, ingested
 from netsluice.plans.pipeline import file_verdicts, gate_files, ingest_files
+from netsluice.quality.ledger import ledger_verdicts, update_ledger
 from netsluice.quality.report import DataQualityError
 from netsluice.session import stored, work_path
 from netsluice.sources.files import (
@@ -214,6 +217,99 @@ def landing_folder(spark, sf_dir):
     )
 
 
+def _deliver(spark, flows, folder, days):
+    """Flows as landing files of 2,500 rows each, of some days only."""
+    dealt = flows.where(days).repartition("file").sortWithinPartitions("file", "number")
+    lines = dealt.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("number", "line"))).alias("rows"))  # 2,500 at most
+    header = ",".join(schema.RAW_FIELDS)
+    text = F.concat(F.lit(header + "\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
+    write_files(lines.select(F.concat(F.lit("f"), "file", F.lit(".csv")).alias("name"), F.encode(text, "UTF-8").alias("content")), folder)
+
+
+def _landing_flows(spark, sf_dir):
+    flows = raw_flows(spark, sf_dir).withColumns({"Flow Duration": F.col("event_id").cast("string"), "Label": F.lit("BENIGN")})
+    cells = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in schema.RAW_FIELDS])
+    return flows.select(F.expr(f"event_id div {_FILE_ROWS}").alias("file"), F.col("event_id").alias("number"), cells.alias("line"))
+
+
+@query(
+    "landing_exactly_once",
+    f"""select event_id, event_id // {_FILE_ROWS} as file, case when event_id // {_FILE_ROWS} % 2 = 0 then 1 else 2 end as generation from events""",
+)
+def landing_exactly_once(spark, sf_dir):
+    """Half of the files come, then the others; a run between fails at its gate, the one after it takes each file once."""
+    folder, root, flows = work_path(spark, "landing"), work_path(spark, "raw"), _landing_flows(spark, sf_dir)
+    _deliver(spark, flows, folder, "file % 2 = 0")
+    ingest_landing(spark, folder, root, min_bytes=10)
+    _deliver(spark, flows, folder, "file % 2 = 1")
+
+    def refuse(rows):
+        raise InterruptedError(f"{rows.count()} rows are not committed")
+
+    try:
+        ingest_landing(spark, folder, root, min_bytes=10, check=refuse)
+    except InterruptedError:
+        pass
+    ingest_landing(spark, folder, root, min_bytes=10)
+    ingest_landing(spark, folder, root, min_bytes=10)
+    number = F.col("Flow Duration").cast("bigint")
+    first = ingested(spark, root, upto=1).select(number.alias("event_id"), F.lit(1).alias("generation"))
+    rows = ingested(spark, root).select(number.alias("event_id"), F.regexp_extract("source_name", "([0-9]+)", 1).cast("bigint").alias("file"))
+    return rows.join(first, "event_id", "left").withColumn("generation", F.coalesce("generation", F.lit(2)))
+
+
+@query(
+    "gate_ledger",
+    f"""with f as (select event_id // {_FILE_ROWS} as file, count(*) as n, count(*) filter (where event_id % 3 = 0 and event_id // {_FILE_ROWS} % 2 = 1) as http
+        from events group by 1),
+        r as (select unnest(['row_count_minimum', 'column_count_match', 'critical_columns_present', 'label_null_rate',
+            'no_fully_empty_rows', 'destination_port_null_rate', 'port_range_valid', 'label_values_valid', 'no_infinite_values',
+            'non_negative_numerics', 'duplicate_row_rate', 'schema_column_match']) as rule_name)
+    select cast(file as varchar) as file, rule_name, rule_name <> 'port_range_valid' or http = 0 as passed,
+        case rule_name when 'port_range_valid' then http when 'row_count_minimum' then n end as figure from f cross join r
+    union all select 'all', rule_name, rule_name <> 'port_range_valid' or sum(http) = 0,
+        case rule_name when 'port_range_valid' then sum(http) when 'row_count_minimum' then sum(n) end from f cross join r group by rule_name""",
+)
+def gate_ledger(spark, sf_dir):
+    """Files measured in two runs, judged one by one and all together from the counts that were kept."""
+    folder, root = work_path(spark, "gated"), work_path(spark, "ledger")
+    flows = raw_flows(spark, sf_dir).withColumns(
+        {
+            "file": F.expr(f"event_id div {_FILE_ROWS}"), "Flow Duration": F.col("event_id").cast("string"), "Label": F.lit("BENIGN"),
+            "Destination Port": F.when(F.expr(f"event_id % 3 = 0 and event_id div {_FILE_ROWS} % 2 = 1"), "http").otherwise(F.lit("80")),
+        }
+    ).drop("event_id")
+    for part in ("file % 2 = 0", "file % 2 = 1"):
+        flows.where(part).repartition("file").write.mode("append").partitionBy("file").option("header", "true").csv(folder)
+        update_ledger(spark, f"{folder}/file=*", root)
+    each = ledger_verdicts(spark, f"{folder}/file=*", root).withColumn("file", F.regexp_extract("source", "/file=([0-9]+)/", 1))
+    everything = ledger_verdicts(spark, f"{folder}/file=*", root, "all").withColumn("file", F.lit("all"))
+    figure = F.coalesce(F.col("details")["invalid_count"], F.col("details")["row_count"]).cast("bigint")
+    figure = F.when(F.col("rule_name").isin("port_range_valid", "row_count_minimum"), figure)
+    return each.unionByName(everything, allowMissingColumns=True).select("file", "rule_name", "passed", figure.alias("figure"))
+
+
+@query(
+    "duplicates_between_ingests",
+    """with t as (select i, user_id % 50 as a, event_type as b from events, range(4) r(i) where event_id % 4 <= i and (i < 3 or event_id % 2 = 0)),
+        k as (select i, a, b, count(*) as n from t group by all),
+        s as (select *, exists (select 1 from k p where p.i < k.i and p.a = k.a and p.b = k.b) as seen from k)
+    select i as ingest, cast(sum(n) as bigint) as rows, cast(sum(n - 1) as bigint) as repeats,
+        cast(coalesce(sum(n) filter (where seen), 0) as bigint) as seen_before from s group by i""",
+)
+def duplicates_between_ingests(spark, sf_dir):
+    """Rows of four ingests that were in an earlier one, by the digests that were kept of it; the second is run twice."""
+    store = DigestStore(spark, work_path(spark, "digests"), buckets=8).open()
+    events = table(spark, sf_dir, "events")
+    out = []
+    for i in (0, 1, 1, 2, 3):
+        part = events.where(f"event_id % 4 <= {i}" + (" and event_id % 2 = 0" if i == 3 else ""))
+        found = store.add(part.select(F.expr("user_id % 50").alias("a"), F.col("event_type").alias("b")), str(i))
+        out.append((i, found["rows"], found["repeats"], found["seen_before"]))
+    spark.sql(f"drop table {store.table}")
+    return spark.createDataFrame(sorted(set(out)), "ingest long, rows long, repeats long, seen_before long")
+
+
 @query(
     "landing_changes",
     """select cast(doc_id as varchar) as name, case when doc_id % 5 = 0 then 'added' when doc_id % 5 = 1 then 'removed'

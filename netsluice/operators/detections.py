@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netsluice import schema
 from netsluice.functions.keys import quoted
 from netsluice.functions.text import is_attack_outcome, value_text
 from netsluice.operators.ranking import newest, number_rows
+from netsluice.sources import generations
 
 
 def by_outcome(df: DataFrame, which: str = "all", outcome: str = "is_anomaly") -> DataFrame:
@@ -68,6 +70,7 @@ def detection_rows(
 
 
 def append_detections(detections: DataFrame, path: str) -> None:
+    """Append to a log with a single writer; :func:`log_detections` takes several at once."""
     detections.write.mode("append").parquet(path)
 
 
@@ -76,6 +79,21 @@ def clear_detections(like: DataFrame, path: str) -> None:
     like.limit(0).write.mode("overwrite").parquet(path)
 
 
+def log_detections(detections: DataFrame, root: str) -> int:
+    """Append to a log that several sessions write to and clear; returns the generation that shows the rows."""
+    return generations.append(detections, root)
+
+
+def clear_log(spark: SparkSession, root: str) -> int:
+    """Empty such a log: later readers see what is appended after this generation."""
+    return generations.commit(spark, root, clears=True)
+
+
+def read_detections(spark: SparkSession, root: str, fields: str | T.StructType, upto: int | None = None) -> DataFrame:
+    """The log as of one generation, by default the last."""
+    return generations.read(spark, root, fields, upto)
+
+
 def recent_attacks(detections: DataFrame, k: int = 5, tie: Sequence[str] = ("id",)) -> DataFrame:
     return newest(detections, "timestamp", tie, k)
 

@@ -1,4 +1,4 @@
-"""Versioned models and the log of training runs, kept as small append-only tables."""
+"""Versioned models and the log of training runs, kept as small tables that several writers may extend at once."""
 
 from __future__ import annotations
 
@@ -6,17 +6,18 @@ from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsluice.operators.boosting import BoostedTrees
+from netsluice.sources import generations
 
 _STAGES = "version string, path string, stage string, at timestamp"
 _RUNS = "run_id string, started timestamp, params map<string,string>, metrics map<string,double>, model_path string"
 
 
 def _append(spark: SparkSession, path: str, row: tuple, fields: str) -> None:
-    spark.createDataFrame([row], fields).coalesce(1).write.mode("append").parquet(path)
+    generations.append(spark.createDataFrame([row], fields).coalesce(1), path)
 
 
 def save_model(spark: SparkSession, model: PipelineModel | BoostedTrees, root: str, version: str, stage: str = "None") -> str:
@@ -37,10 +38,7 @@ def promote(spark: SparkSession, root: str, version: str, stage: str = "Producti
 
 def current_version(spark: SparkSession, root: str) -> tuple[str, str] | None:
     """(version, path) of the newest Production entry, else of the newest entry, else nothing."""
-    try:
-        entries = spark.read.schema(_STAGES).parquet(f"{root}/registry")
-    except AnalysisException:
-        return None
+    entries = generations.read(spark, f"{root}/registry", _STAGES)
     row = entries.orderBy(F.desc(F.col("stage") == "Production"), F.desc("at")).first()
     return (row["version"], row["path"]) if row else None
 
@@ -73,3 +71,8 @@ def log_run(
     """Append one training run to the ``training_runs`` table."""
     row = (run_id, datetime.now(timezone.utc), {k: str(v) for k, v in params.items()}, metrics, model_path)
     _append(spark, f"{root}/training_runs", row, _RUNS)
+
+
+def training_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The log of training runs."""
+    return generations.read(spark, f"{root}/training_runs", _RUNS)

@@ -279,7 +279,12 @@ def raw_rule_results(
     ``by_digest``, the row itself), a count and the packed numbers.
     """
     df = df.toDF(*[c.strip() for c in df.columns])
-    rules = raw_rules(df, limits, by)
+    return rule_rows(raw_measures(df, by, by_digest), RAW_STAGE, raw_rules(df, limits, by), by)
+
+
+def raw_measures(df: DataFrame, by: Sequence[str] = (), by_digest: bool = True) -> DataFrame:
+    """The numbers that the raw rules judge, in one row, or a row per group. All of them are counts, which add up."""
+    rules = raw_rules(df, Limits(), by)
     places, packed, word, bit = [], [F.lit(0).cast("bigint")], 0, 0
     for r in rules:
         for k, (number, most) in r.cells.items():
@@ -303,10 +308,9 @@ def raw_rule_results(
         for name, w, bit, mask in places
     ]
     rows, kinds = F.coalesce(F.sum("_copies"), F.lit(0)), F.count(F.lit(1))
-    measured = copies.groupBy(*by).agg(
+    return copies.groupBy(*by).agg(
         *sums, rows.alias("duplicate_row_rate__rows"), (rows - kinds).alias("duplicate_row_rate__repeats")
     )
-    return rule_rows(measured, RAW_STAGE, rules, by)
 
 
 def unknown_labels(df: DataFrame, label: str) -> DataFrame:

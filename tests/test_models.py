@@ -41,7 +41,7 @@ def test_training(spark, trained):
     assert metrics["test_accuracy"] == 1.0 and metrics["cv_mean_f1"] == 1.0 and metrics["test_roc_auc"] == 1.0
     assert set(metrics) == {f"cv_mean_{m}" for m in ("accuracy", "precision", "recall", "f1")} | {
         f"test_{m}" for m in ("accuracy", "precision", "recall", "f1", "roc_auc")}
-    run = spark.read.parquet(f"{root}/training_runs").first()
+    run = registry.training_runs(spark, root).first()
     assert run.params["trees"] == "2" and run.metrics["test_f1"] == 1.0
     assert model_features(model) == schema.FEATURES
 
