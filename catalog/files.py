@@ -15,6 +15,7 @@ from netsluice import schema
 from netsluice.operators.clean import clean_flows
 from netsluice.operators.detections import numbered_results
 from netsluice.operators.digest_store import DigestStore
+from netsluice.operators.sampling import stride_lines
 from netsluice.plans.landing import ingest_landing, ingested
 from netsluice.plans.pipeline import file_verdicts, gate_files, ingest_files
 from netsluice.quality.ledger import ledger_verdicts, update_ledger
@@ -89,6 +90,23 @@ def file_line_numbers(spark, sf_dir):
     return lines.select(file.alias("file"), "line", F.col("Flow Duration").alias("duration"))
 
 
+@query(
+    "stride_sample_files",
+    f"select event_id, event_id // {_FILE_ROWS} as file from events where event_id % {_FILE_ROWS} // 50 % 3 = 0",
+)
+def stride_sample_files(spark, sf_dir):
+    """Every third chunk of 50 lines of each file: a filter on the lines' numbers."""
+    path = work_path(spark, "strided")
+    flows = raw_flows(spark, sf_dir).withColumns(
+        {"Flow Duration": F.col("event_id").cast("string"), "file": F.expr(f"event_id div {_FILE_ROWS}")}
+    )
+    dealt = flows.repartition("file").sortWithinPartitions("file", "event_id").drop("event_id")
+    dealt.write.partitionBy("file").option("header", "true").csv(path)
+    lines = file_positions(read_raw_flows(spark, f"{path}/file=*", with_position=True))
+    number = F.col("Flow Duration").cast("bigint").alias("event_id")
+    return stride_lines(lines, "line", 50, 3).select(number, F.regexp_extract("source", "/file=([0-9]+)/", 1).cast("bigint").alias("file"))
+
+
 @query(
     "ingest_files",
     f"""select count(*) as rows, round(sum({clean_sql('flow_duration')}), 2) as duration,

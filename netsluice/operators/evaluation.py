@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netsluice.functions.numbers import ratio
 from netsluice.operators.ranking import running_totals
+from netsluice.session import stored
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -85,7 +86,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     merged = df.groupBy(score).agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("pos"), F.sum((F.col(label) != 1).cast("bigint")).alias("neg")
     )
-    ranked = running_totals(merged, [score], {"neg_upto": "neg"})
+    ranked = running_totals(stored(merged, "scores"), [score], {"neg_upto": "neg"})
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return ranked.agg(F.when(pairs > 0, wins / pairs).alias("auc"))

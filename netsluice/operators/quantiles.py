@@ -105,15 +105,19 @@ class _Ranks:
     def opened(self, brackets: DataFrame, cells: DataFrame) -> DataFrame:
         """Brackets without their rank opened on both sides, along with the edges further out, so that edges stay ascending."""
         wrong = cells.where(~_proven()).groupBy(*self.keys, "i").agg(F.max("j").alias("last"), F.min("j").alias("first"))
+        if not self.by:
+            opened = brackets.first().asDict()  # one row
+            for r in wrong.collect():  # a row per column at most
+                lows, highs = opened[f"l{r.i}"], opened[f"h{r.i}"]
+                opened[f"l{r.i}"] = [_LOW if j <= r.last else e for j, e in enumerate(lows)]
+                opened[f"h{r.i}"] = [_HIGH if j >= r.first else e for j, e in enumerate(highs)]
+            return brackets.sparkSession.createDataFrame([tuple(opened.values())], brackets.schema)
         spans = wrong.groupBy(*self.keys).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("last", "first")))).alias("w"))
-        if self.by:
-            renamed = spans.withColumnsRenamed({k: f"of{k}" for k in self.keys})
-            on = F.lit(True)
-            for k in self.keys:
-                on = on & F.col(k).eqNullSafe(F.col(f"of{k}"))
-            beside = brackets.join(renamed, on, "left").drop(*renamed.columns[:-1])
-        else:
-            beside = brackets.crossJoin(spans)  # one row each
+        renamed = spans.withColumnsRenamed({k: f"of{k}" for k in self.keys})
+        on = F.lit(True)
+        for k in self.keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"of{k}"))
+        beside = brackets.join(renamed, on, "left").drop(*[f"of{k}" for k in self.keys])
         out = []
         for i in range(len(self.columns)):
             span = F.try_element_at("w", F.lit(i))
@@ -209,7 +213,8 @@ def exact_quantiles(
         state = cells.agg(F.count(F.when(~_proven(), 1)).alias("wrong"), F.coalesce(F.max("kinds"), F.lit(0)).alias("kinds")).first()
         if not state["wrong"]:
             break
-        brackets = stored(ranks.opened(brackets, cells), "brackets")
+        opened = ranks.opened(brackets, cells)
+        brackets = stored(opened, "brackets") if by else opened
     inside, kinds = ranks.per_cell(counts).where("inside").select(*ranks.cell, "x", "copies"), state["kinds"]
     while kinds > window_rows:
         inside, cells = ranks.cut(inside, cells)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,11 @@ from pyspark.sql import functions as F
 
 from netsluice.functions.keys import hash_bucket, hash_order
 from netsluice.functions.text import trimmed
-from netsluice.session import shared_folder
+from netsluice.session import stored
+
+#: Rows of a range that one task sorts, about; and keys looked at to place its edges.
+RANGE_ROWS = 4_000_000
+SAMPLED = 20
 
 
 def with_position(
@@ -68,25 +73,66 @@ def position_by_hash(
     ).drop("_order")
 
 
+def _range_edges(df: DataFrame, order: Sequence[str]) -> list[tuple]:
+    """Ascending keys that part the rows in ranges of at most about RANGE_ROWS; from a sample of the keys by their hash.
+
+    The edges only decide how evenly the ranges come out. They are texts of the keys' values, about SAMPLED keys per
+    range are looked at.
+    """
+    keys = df.select(*[F.col(f"`{c}`") for c in order])
+    n = keys.count()
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(min(tasks, n // 1000 + 1), -(-n // RANGE_ROWS))
+    every = max(1, n // (ranges * SAMPLED))
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in order])
+    sample = keys.where(F.pmod(hashed, F.lit(every)) == 0).distinct().orderBy(*[F.col(f"`{c}`") for c in order])
+    found = [tuple(r) for r in sample.select(*[F.col(f"`{c}`").cast("string") for c in order]).collect()]
+    return [found[len(found) * k // ranges] for k in range(1, ranges) if found]
+
+
+def _range_of(df: DataFrame, order: Sequence[str], edges: Sequence[tuple]) -> Column:
+    """The number of edges up to a row's key, by two short lists: of every so many edges, and of those in between."""
+    types = dict(df.dtypes)
+    key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)])
+    kind = "array<struct<" + ", ".join(f"k{i}: {types[c]}" for i, c in enumerate(order)) + ">>"
+
+    def listed(part: Sequence[tuple]) -> Column:
+        cells = [F.struct(*[F.lit(v).cast(types[c]).alias(f"k{i}") for i, (v, c) in enumerate(zip(e, order))]) for e in part]
+        return F.array(*cells).cast(kind)
+
+    def upto(part: Column) -> Column:
+        return F.size(F.filter(part, lambda e: e <= key))
+
+    step = max(1, math.isqrt(len(edges)))
+    chunks = [edges[i : i + step] for i in range(0, len(edges), step)]
+    if len(chunks) < 2:
+        return upto(listed(edges))
+    chunk = upto(listed([c[0] for c in chunks[1:]]))
+    return chunk * step + upto(F.get(F.array(*[listed(c) for c in chunks]), chunk))
+
+
 def running_totals(df: DataFrame, order: Sequence[str], sums: dict[str, str]) -> DataFrame:
     """Add running sums over the whole table in the order given: ``sums`` maps new to summed column.
 
-    The table is cut into ranges of the order and checkpointed, ranges are summed one by one, and
-    the totals of the earlier ranges (one row per range) are added. No task sees the whole table.
+    Fixed edges part the keys in ranges. The ranges' own sums come from a scan of the keys and summed columns
+    alone; then each row moves once, to the task of its range, is summed there, and the totals of the earlier ranges
+    (one row per range) are added. No task sees the whole table. The rows come out in order, range by range. The table
+    is read three times and must give the same rows each time; equal keys lie in one range.
     """
-    shared_folder(df.sparkSession)
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    edges = _range_edges(df, order)
+    ranged = df.withColumn("_range", _range_of(df, order, edges))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    offsets = totals.select(
-        F.col("_range"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums]
+    offsets = stored(
+        totals.select(F.col("_range").alias("_of"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums]), "offsets"
     )
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_range").orderBy(*[F.col(f"`{c}`") for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
-        .join(F.broadcast(offsets), "_range")  # one row per shuffle partition
+        ranged.repartitionById(len(edges) + 1, F.col("_range"))
+        .withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
+        .join(F.broadcast(offsets), F.col("_range") == F.col("_of"))  # one row per range
         .withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums})
-        .drop("_range", *[f"_{n}" for n in sums])
+        .drop("_range", "_of", *[f"_{n}" for n in sums])
     )
 
 

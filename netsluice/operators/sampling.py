@@ -212,10 +212,22 @@ def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> D
 def stride_sample(
     df: DataFrame, source: str, line: str, batch: int, stride: int
 ) -> DataFrame:
-    """Every stride-th chunk of ``batch`` rows of each source, the first chunk included."""
+    """Every stride-th chunk of ``batch`` rows of each source, the first chunk included.
+
+    The rows are ranked by ``line``, which may have gaps; for gapless numbers :func:`stride_lines` is a plain filter.
+    """
     chunk = F.floor((F.col("_position") - 1) / batch)
     return (
         position_by_number(df, [source], line, "_position")
         .where(F.pmod(chunk, F.lit(stride)) == 0)
         .drop("_position")
     )
+
+
+def stride_lines(df: DataFrame, line: str, batch: int, stride: int) -> DataFrame:
+    """Every stride-th chunk of ``batch`` lines of each source, where ``line`` counts a source's rows from 1 without gaps.
+
+    :func:`~netsluice.sources.interleave.file_positions` makes such numbers; no row moves.
+    """
+    chunk = F.floor((F.col(line) - 1) / batch)
+    return df.where(F.pmod(chunk, F.lit(stride)) == 0)

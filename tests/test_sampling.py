@@ -186,3 +186,31 @@ def test_stored_rows_are_read_from_a_table(spark):
 def test_histogram_leaves_infinite_values_out(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, math.inf), (1, -math.inf), (1, math.nan), (2, math.inf)], "t int, x double")
     assert [(r.t, r.low, r.high, r.rows) for r in histogram(df, "x", "t", 2).orderBy("bin").collect()] == [(1, 1.0, 1.5, 1), (1, 1.5, 2.0, 1)]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_running_totals_of_any_keys(spark, parts, monkeypatch):
+    """Several keys, nulls, NaN, ties, texts and times; more ranges than rows per range would need."""
+    from netsluice.operators import ranking
+
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 2000 // parts)
+    n = 2000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 11 == 0, float("nan")).otherwise((F.hash("id") % 40).cast("double")).alias("a b"),
+        F.when(F.col("id") % 13 > 0, F.concat(F.lit("kéy"), (F.hash("id", F.lit(1)) % 30).cast("string"))).alias("s"),
+        F.timestamp_seconds(F.col("id") % 500).alias("t"), "id", (F.col("id") % 5).alias("v"),
+    ).repartition(7, "id")
+    order = ["a b", "s", "t", "id"]
+    want = [r.id for r in df.orderBy(*[F.col(f"`{c}`") for c in order]).collect()]
+    rows = number_rows(df, order).collect()
+    assert [r.id for r in sorted(rows, key=lambda r: r.row)] == want and [r.row for r in rows] == list(range(1, n + 1))
+    totals = {r.id: r.upto for r in running_totals(df, order, {"upto": "v"}).collect()}
+    assert [totals[i] for i in want] == list(np.cumsum([i % 5 for i in want]))
+    assert number_rows(df.limit(0), order).collect() == []
+
+
+def test_rows_are_numbered_by_one_shuffle(spark, tmp_path):
+    spark.range(30_000).select("id", F.rand(1).alias("wide")).write.parquet(str(tmp_path / "t"))
+    numbered = number_rows(spark.read.parquet(str(tmp_path / "t")), ["id"])
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1 and "Scan ExistingRDD" not in plan
