@@ -1,23 +1,24 @@
-"""A forgiving reader of HTML into block-level nodes with their runs of text."""
+"""A forgiving reader of HTML into block-level nodes with their runs of text, in time linear in the page."""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 
 # Element names by their role in HTML.
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav "
     "header footer aside form fieldset figure figcaption blockquote pre address details summary dialog center menu hr "
-    "hgroup search".split()
+    "hgroup search noscript object audio video".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements without text of the page.
+#: Elements without text of the page: scripts, styles, form controls, drawings, and what stands for other pages.
 DROPPED = frozenset(
-    "script style head template noscript iframe object svg canvas math audio video map select textarea button title "
-    "noframes noembed xmp datalist".split()
+    "script style head template iframe svg canvas map select textarea button title noframes noembed xmp datalist".split()
 )
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 CLOSES_P = BLOCK - {"html", "body", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption"}
 #: An element whose start ends open elements of the second set, up to the nearest of the third.
 IMPLIED = {
@@ -27,10 +28,13 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
 
+# Quotes delimit a value behind "=" alone, elsewhere they are letters. Nothing that has matched is tried in another way.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*+)[^>]*+>"
+    r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=(?:\s*+(?:\"[^\"]*+\"|'[^']*+'))?+|[\"'])*+)>",
     re.S,
 )
+LETTER = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANKS = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -60,10 +64,45 @@ def clean(parts: list[str]) -> str:
     return BLANKS.sub(" ", html.unescape("".join(parts))).strip()
 
 
+class Ends:
+    """Where the elements of a page end, found once per element name."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">") + 1
+        self.balanced: dict[str, dict[int, int]] = {}
+        self.first: dict[str, list[tuple[int, int]]] = {}
+
+    def raw(self, at: int, tag: str) -> int | None:
+        """The place behind the first end tag from ``at`` on."""
+        if tag not in self.first:
+            found = re.compile(rf"</{tag}\s*[^>]*>", re.I).finditer(self.source, 0, self.last)
+            self.first[tag] = [(m.start(), m.end()) for m in found]
+        k = bisect_left(self.first[tag], (at, 0))
+        return self.first[tag][k][1] if k < len(self.first[tag]) else None
+
+    def matching(self, start: int, at: int, tag: str) -> int:
+        """The place behind the end tag of the element whose start tag is at ``start``; ``at`` if it has none."""
+        if tag not in self.balanced:
+            ends: dict[int, int] = {}
+            open_: list[int] = []
+            for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(self.source, 0, self.last):
+                if not m[1]:
+                    open_.append(m.start())
+                elif open_:
+                    ends[open_.pop()] = m.end()
+            self.balanced[tag] = ends
+        return max(self.balanced[tag].get(start, at), at)
+
+
 def parse(source: str) -> list[Node]:
-    """All nodes in the order of their starts; the first is the page. Dropped and hidden elements leave nothing."""
+    """All nodes in the order of their starts; the first is the page. Dropped and hidden elements leave nothing.
+
+    A tag without an end, as a page that is cut off may have, is text up to the end of the page.
+    """
     page = Node("#page", {}, None)
     nodes, stack = [page], [page]  # open block nodes
+    opened: Counter[str] = Counter()  # of the open nodes, by name
+    tails = Ends(source)
     parts: list[str] = []
     linked: list[str] = []
     state = {"order": 0, "link": 0}
@@ -85,17 +124,26 @@ def parse(source: str) -> list[Node]:
 
     def close(until: int) -> None:
         flush()
+        opened.subtract(n.tag for n in stack[until:])
         del stack[until:]
         state["link"] = 0
 
-    at, size, scan = 0, len(source), TOKEN.search
+    at, size, scan = 0, len(source), TOKEN.match
     while at < size:
-        m = scan(source, at)
-        if m is None:
+        begin = source.find("<", at)
+        if begin < 0:
             text(source[at:])
             break
-        if m.start() > at:
-            text(source[at : m.start()])
+        m = scan(source, begin)
+        if m is None and LETTER.match(source, begin):  # it was looked for up to the end of the page
+            text(source[at:])
+            break
+        if m is None:
+            text(source[at : begin + 1])
+            at = begin + 1
+            continue
+        if begin > at:
+            text(source[at:begin])
         at = m.end()
         end, start = m[1], m[2]
         if start is not None:
@@ -103,8 +151,8 @@ def parse(source: str) -> list[Node]:
             if tag in DROPPED:
                 if tag in ("select", "textarea", "button"):
                     stack[-1].inputs += 1
-                if not m[4]:
-                    at = _behind(source, at, tag)
+                if not m[3].endswith("/"):
+                    at = _behind(tails, begin, at, tag)
                 parts.append(" ")
                 continue
             if tag in BLOCK:
@@ -132,14 +180,15 @@ def parse(source: str) -> list[Node]:
                 if tag == "hr":
                     continue
                 if ("hidden" in attrs or HIDDEN.search(attrs.get("style", ""))) and tag not in ("html", "body"):
-                    at = _balanced(source, at, tag)
+                    at = tails.matching(begin, at, tag)
                     continue
-                if tag in ("html", "body") and any(n.tag == tag for n in stack):
+                if tag in ("html", "body") and opened[tag]:
                     continue
                 stack[-1].tags += 1
                 node = Node(tag, attrs, stack[-1])
                 stack[-1].children.append(node)
                 stack.append(node)
+                opened[tag] += 1
                 nodes.append(node)
                 continue
             own = stack[-1]
@@ -156,35 +205,28 @@ def parse(source: str) -> list[Node]:
             elif "hidden" in (m[3] or "") or "none" in (m[3] or ""):
                 attrs = attributes(m[3])
                 if tag not in VOID and ("hidden" in attrs or HIDDEN.search(attrs.get("style", ""))):
-                    at = _balanced(source, at, tag)
+                    at = tails.matching(begin, at, tag)
         elif end is not None:
             tag = end.lower()
-            if tag in BLOCK:
+            if tag in BLOCK and not opened[tag]:
+                flush()
+            elif tag in BLOCK:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         if tag not in ("html", "body"):
                             close(i)
                         break
-                else:
-                    flush()
             elif tag == "a":
                 state["link"] = 0
     flush()
     return nodes
 
 
-def _behind(source: str, at: int, tag: str) -> int:
+def _behind(ends: Ends, start: int, at: int, tag: str) -> int:
     """The place behind an element without text; raw ones end at their first end tag, others are balanced."""
     if tag in RAW:
-        m = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(source, at)
-        return m.end() if m else len(source) if tag in ("script", "style", "textarea", "title") else at
-    return _balanced(source, at, tag)
-
-
-def _balanced(source: str, at: int, tag: str) -> int:
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(source, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return at
+        found = ends.raw(at, tag)
+        if found is None:
+            return len(ends.source) if tag in ("script", "style", "textarea", "title") else at
+        return found
+    return ends.matching(start, at, tag)

@@ -1,6 +1,7 @@
 """Parsing, decoding and held-out layouts."""
 
 import itertools
+import time
 from collections import Counter
 from functools import lru_cache
 
@@ -30,6 +31,37 @@ def test_blocks_of_text():
     assert runs("") == [] and runs("plain") == ["plain"] and runs("<" * 50) == ["<" * 50]
 
 
+def test_text_of_formulas_and_of_embedded_parts():
+    assert runs("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>") == ["Let x=2 be."]
+    assert runs("<article><p>a</p><noscript><p>b</p></noscript><object data=x><p>c</p></object><video>d</video></article>") == ["a", "b", "c", "d"]
+    assert runs("<svg><text>no</text></svg>yes<svg/>and<svg>open") == ["yes and open"]
+
+
+def test_quotes_and_cut_tags():
+    assert runs("<p title=it's>a</p><p title = 'x>y'>b</p><p title=\"open>c</p>") == ["a", "b", "c"]
+    assert runs("<p>a</p><p class='x") == ["a", "<p class='x"]
+    assert runs("<p>a < b <3 <</p>c </") == ["a < b <3 <", "c </"]
+    assert runs("a<" + "b c='d' " * 5) == ["a<" + " ".join(["b c='d'"] + ["b c='d'"] * 4)]
+
+
+def test_broken_pages_take_linear_time():
+    tag = "<div " + " ".join(f'data-a{k}="value {k}"' for k in range(200))
+    n = 100_000
+    pages = [
+        tag, "<p>x</p>" * 1000 + tag, "<div " + "a='b' \"" * 5000, "<div>" * n, "<svg>" * n, "x <a " * n, "<div hidden>" * n, "</b" * n,
+        "<iframe>" * n, "<ul><li>" * (n // 2) + "</ol>" * n, "<div>" * n + "</section>" * n, "<a x='" * n + '">', "<a " * n + 'x=">"',
+        "<!-" * n, "<textarea>" * n, "<div x=\"" * n, "<p><b " * n, "&#" * n, "<table><tr>" * (n // 2),
+    ]
+    for page in pages:
+        start = time.perf_counter()
+        parse(page)
+        assert time.perf_counter() - start < 3, page[:40]
+    start = time.perf_counter()
+    nodes = parse("<div>" * 20_000 + "deep" + "<p>y</p>" * 20_000)
+    assert M.kept_text(nodes, M.decode(nodes, trees().scores(M.features(nodes)))) is not None
+    assert time.perf_counter() - start < 60
+
+
 def test_decoding_is_the_best_without_contradiction():
     g = np.random.default_rng(1)
     nodes = parse("<div><p>a</p><div><p>b</p></div></div><p>c</p>")
