@@ -3,10 +3,10 @@
 Lines within ``edits`` edits of each other agree in at least one of ``edits`` + 1 segments that the
 shorter line is cut into. Each line therefore files its own segments under (length, segment, content) and
 looks up, for every length it may be matched with, the few substrings whose place the edits before and
-behind them allow. Lines that meet under a key are verified by a banded bit-parallel edit distance, many
-pairs side by side. Equal lines are one line throughout; only keys under which different lines meet are
-followed up, and texts are fetched for those lines alone. The lines of a key are compared where they meet,
-in blocks that split large keys, and what leaves are numbers of links and a forest of edges, never pairs.
+behind them allow. Lines that meet under a key are first compared by signatures of 64 bits, of which an edit can
+change a few, and then verified by a banded bit-parallel edit distance, many pairs side by side. Equal lines are one
+line throughout; texts are fetched for lines with a like signature alone. They are compared where they meet, in
+blocks that split large keys, and what leaves are numbers of links and a forest of edges, never pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ from netsluice.llm.components import components
 EDITS, MIN_CHARS = 2, 20
 #: Characters of pairs that are verified side by side, and lines of a key that one task compares with as many.
 BLOCK, MET = 4_000_000, 1024
+#: Different lines of a key that are compared by signatures in one task.
+COMPARED = 16_384
+#: Bits of a signature that one edit can change.
+FLIPS = 4
 
 
 BLANKS = " \t\n\v\f\r"
@@ -35,7 +39,8 @@ PLACES = pa.schema(
         ("h", pa.int64()), ("h2", pa.int64()),
     ]
 )
-KEYS = pa.schema([("key", pa.int64()), ("segment", pa.int32()), ("h", pa.int64()), ("own", pa.bool_())])
+KEYS = pa.schema([("key", pa.int64()), ("tag", pa.int8()), ("h", pa.int64()), ("sign", pa.int64())])
+MEETING = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("tag", pa.int8()), ("sign", pa.int64())])
 
 
 def line_hash(line: bytes, seed: int = 0) -> int:
@@ -80,20 +85,18 @@ def line_texts(texts: DataFrame, min_chars: int) -> DataFrame:
 
 
 def line_keys(texts: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """key, segment, h, own of every line of ``min_chars`` or more: what it files (own) and what it looks up."""
+    """key, tag, h, sign of every line of ``min_chars`` or more: what it files and what it looks up.
+
+    ``tag`` is twice the segment, and one more for a segment of the line's own; ``sign`` is :func:`signatures`'.
+    """
 
     def run(batch, texts):
         lines = {line_hash(line.encode()): line for text in texts for _, line in split_lines(text) if len(line) >= min_chars}
-        key, segment, h, own = [], [], [], []
-        for x, line in lines.items():
-            for k, s, o in keys(line, edits):
-                key.append(k)
-                segment.append(s)
-                h.append(x)
-                own.append(o)
-        return {"key": key, "segment": segment, "h": h, "own": own}
+        key, tag, place, sign = keys(list(lines.values()), edits)
+        h = np.fromiter(lines, np.int64, len(lines))
+        return {"key": key, "tag": tag, "h": h[place], "sign": sign[place]}
 
-    return texts.mapInArrow(per_block(run, KEYS), "key long, segment int, h long, own boolean")
+    return texts.mapInArrow(per_block(run, KEYS), "key long, tag tinyint, h long, sign long")
 
 
 @lru_cache(maxsize=8)
@@ -108,18 +111,66 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def keys(line: str, edits: int) -> list[tuple[int, int, bool]]:
-    """(key, segment, own): hashes of (length, segment, substring); own marks the line's own segments."""
-    n, parts, out = len(line), edits + 1, []
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _letters(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all lines, one after the other, and the n + 1 places where lines begin."""
+    flat = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return flat, np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+
+
+def keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, tag and line (its place) of all that the lines file and look up, and the lines' signatures.
+
+    A key is a hash of (length, segment, substring). Substrings are hashed from running sums of mixed letters times
+    powers of an odd number, for all lines at once; equal ones have equal hashes, and others that meet are told apart
+    by the comparison.
+    """
+    flat, at = _letters(lines)
+    base = np.uint64(0x9E3779B97F4A7C15)
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(flat), base)]))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(flat), inverse)]))
+    upto = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(flat + base) * power[:-1])])
+    n, parts, place = np.diff(at), edits + 1, np.arange(len(lines))
+    out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int8)], [np.empty(0, np.int64)]]
     for shorter, segment, shift in probes(edits):
         length = n - shorter
-        base, plain = length // parts, parts - length % parts  # the last segments are longer by one
-        size = base + (segment >= plain)
-        start = base * segment + max(0, segment - plain) + shift
-        if start >= 0 and start + size <= n:
-            content = line[start : start + size].encode()
-            out.append((line_hash(content, length * parts + segment + 2), segment, shorter == 0 and shift == 0))
-    return out
+        width, plain = length // parts, parts - length % parts  # the last segments are longer by one
+        size = width + (segment >= plain)
+        start = width * segment + np.maximum(0, segment - plain) + shift
+        fits = np.flatnonzero((start >= 0) & (start + size <= n) & (length > 0))
+        first = at[fits] + start[fits]
+        content = (upto[first + size[fits]] - upto[first]) * back[first]
+        key = _mixed(content ^ _mixed((length[fits] * parts + segment + 2).astype(np.uint64)))
+        out[0].append(key.astype(np.int64))
+        out[1].append(np.full(len(fits), 2 * segment + (shorter == 0 and shift == 0), np.int8))
+        out[2].append(place[fits])
+    return (*(np.concatenate(c) for c in out), signatures(flat, at))
+
+
+def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bits per line: for each of 64 kinds of letter pairs whether the line holds an odd number of them.
+
+    An edit takes away and adds three or four pairs at most, so it changes at most FLIPS bits.
+    """
+    bits = np.zeros(len(flat) + 1, np.uint64)
+    if len(flat) > 1:
+        kind = _mixed(flat[:-1] * np.uint64(0x100000001B3) + flat[1:]) >> np.uint64(58)
+        bits[: len(flat) - 1] = np.uint64(1) << kind
+    bits[at[1:][at[1:] > at[:-1]] - 1] = 0  # a pair over the end of a line is none
+    out = np.bitwise_xor.reduceat(bits, at[:-1]) if len(at) > 1 else np.empty(0, np.uint64)
+    out[at[1:] == at[:-1]] = 0
+    return out.astype(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """For each pair of two lists of signatures whether the lines may lie within ``edits`` edits."""
+    return np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= FLIPS * edits
 
 
 def within_edits(a: list[str], b: list[str], edits: int) -> np.ndarray:
@@ -213,46 +264,114 @@ def first_segment(short: str, long: str, edits: int) -> int:
     return parts
 
 
-def linked_here(own: list[tuple[int, str]], looking: list[tuple[int, str]], segment: int, edits: int):
-    """Pairs (place in own, place in looking) of the lines of a key that are links and are first met here.
+def linked_here(own: list[tuple[int, int, str]], looking: list[tuple[int, int, str]], segment: int, edits: int):
+    """Pairs (place in own, place in looking) of the lines (h, sign, text) of a key that are links and are first met here.
 
     Of lines of one length the smaller hash is the filed one; a pair that an earlier segment brings together
-    is left to that segment's key, so every link is found once.
+    is left to that segment's key, so every link is found once. Signatures leave few pairs to look at.
     """
-    pairs = [
-        (i, j)
-        for i, (u, x) in enumerate(own)
-        for j, (v, y) in enumerate(looking)
-        if (len(x) < len(y) or u < v) and u != v and first_segment(x, y, edits) == segment
-    ]
+    if not own or not looking:
+        return
+    signs = [np.array([x[1] for x in side], np.int64) for side in (own, looking)]
+    for i, j in zip(*np.nonzero(alike(*signs, edits))):
+        (u, _, x), (v, _, y) = own[i], looking[j]
+        if (len(x) < len(y) or u < v) and u != v and first_segment(x, y, edits) == segment:
+            yield int(i), int(j)
+
+
+def _verified(pairs, own, looking, edits: int):
+    pairs = list(pairs)
     for k in range(0, len(pairs), 4000):
         part = pairs[k : k + 4000]
-        near = within_edits([own[i][1] for i, _ in part], [looking[j][1] for _, j in part], edits)
+        near = within_edits([own[i][2] for i, _ in part], [looking[j][2] for _, j in part], edits)
         yield from (p for p, ok in zip(part, near) if ok)
 
 
+def meetings(rows: DataFrame, edits: int) -> DataFrame:
+    """The rows of :func:`line_keys` whose line may be near another one of its key, each (key, h) once.
+
+    Rows move once, to the task of their key, with a signature instead of a text. Lines of a key are compared there by
+    signatures; those of a key of more than COMPARED different lines are all passed on, to be compared in blocks.
+    """
+
+    sorted_ = rows.repartition("key").sortWithinPartitions("key", "h")
+    return sorted_.mapInArrow(lambda batches: _meet(batches, edits), "key long, h long, tag tinyint, sign long")
+
+
+def _meet(batches, edits: int):
+    """The batches of a task, sorted by key and h, key by key."""
+    held = None
+    for batch in batches:
+        part = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in MEETING.names])
+        held = part if held is None else np.concatenate([held, part], axis=1)
+        last = np.searchsorted(held[0], held[0, -1])  # the rows of the last key may go on
+        if last:
+            yield from _met(held[:, :last], edits)
+            held = held[:, last:]
+        elif held.shape[1] > 4 * COMPARED:
+            held = _once(held)
+            if held.shape[1] > 2 * COMPARED:  # a large key: its lines go on as they come, some of them twice
+                yield _rows(held)
+                held = held[:, -COMPARED - 1 :]
+    if held is not None:
+        yield from _met(held, edits)
+
+
+def _once(rows: np.ndarray) -> np.ndarray:
+    """Each (key, h) once, with the tag of its own segment if it has it; rows are sorted by both."""
+    new = np.flatnonzero((np.diff(rows[0], prepend=rows[0, 0] - 1) != 0) | (np.diff(rows[1], prepend=rows[1, 0] - 1) != 0))
+    out = rows[:, new].copy()
+    out[2] = np.maximum.reduceat(rows[2], new)
+    return out
+
+
+def _met(rows: np.ndarray, edits: int):
+    """What :func:`meetings` passes on of whole keys."""
+    rows = _once(rows)
+    starts = np.flatnonzero(np.diff(rows[0], prepend=rows[0, 0] - 1) != 0)
+    sizes = np.diff(np.append(starts, rows.shape[1]))
+    filed = np.add.reduceat(rows[2] & 1, starts)
+    keep = np.zeros(rows.shape[1], bool)
+    for k in np.flatnonzero((sizes > 1) & (filed > 0)):
+        at = slice(starts[k], starts[k] + sizes[k])
+        if sizes[k] > COMPARED:
+            keep[at] = True
+            continue
+        sign = rows[3, at]
+        own = np.flatnonzero(rows[2, at] & 1)
+        for first in range(0, len(own), MET):
+            some = own[first : first + MET]
+            near = alike(sign[some], sign, edits)
+            near[np.arange(len(some)), some] = False
+            keep[at.start + some] |= near.any(axis=1)
+            keep[at] |= near.any(axis=0)
+    if keep.any():
+        yield _rows(rows[:, keep])
+
+
+def _rows(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(rows, MEETING)], schema=MEETING)
+
+
 def near_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Links between different lines within ``edits`` edits; ``texts`` has a column text.
 
     Returns edges (u, v) between hashes that join exactly the lines that links join, a few per line, and
     (node, n_links) with the number of all links of each line.
     """
-    rows = line_keys(texts, edits, min_chars)
-    met = written(
-        rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("filed"))
-        .filter("filed and low <> high").select("key"),
-        "line-keys",
-    )
-    meeting = rows.join(met, "key", "left_semi").groupBy("key", "segment", "h").agg(F.max("own").alias("own"))
-    meeting = written(meeting, "line-meetings")
+    meeting = meetings(line_keys(texts, edits, min_chars), edits)
+    # a line of a large key may come twice
+    meeting = meeting.groupBy("key", "h").agg(F.max("tag").alias("tag"), F.first("sign").alias("sign"))
+    segment, own = F.shiftright("tag", 1).cast("int").alias("segment"), (F.col("tag") % 2 == 1).alias("own")
+    meeting = written(meeting.select("key", segment, "h", own, "sign"), "line-meetings")
     contents = line_texts(texts, min_chars).join(meeting.select("h").distinct(), "h", "left_semi")
     contents = written(contents.dropDuplicates(["h"]), "line-texts")
     # a key of many lines is cut into blocks, and every block of its own lines meets every block of all
     blocks = meeting.groupBy("key").agg(F.ceil(F.count("*") / MET).cast("int").alias("blocks"))
     placed = meeting.join(blocks, "key").join(contents, "h").withColumn("block", F.pmod(F.xxhash64("h", F.lit("block")), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.filter("own").select("key", "segment", "h", "line", F.lit(True).alias("filed"), F.col("block").alias("a"), others.alias("b"))
-    dealt = dealt.union(placed.select("key", "segment", "h", "line", F.lit(False).alias("filed"), others.alias("a"), F.col("block").alias("b")))
+    dealt = placed.filter("own").select("key", "segment", "h", "sign", "line", F.lit(True).alias("filed"), F.col("block").alias("a"), others.alias("b"))
+    dealt = dealt.union(placed.select("key", "segment", "h", "sign", "line", F.lit(False).alias("filed"), others.alias("a"), F.col("block").alias("b")))
 
     def compare(batches):
         state: dict = {"place": None, "own": [], "looking": [], "segment": 0}
@@ -268,7 +387,7 @@ def near_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
                     x = root[x]
                 return x
 
-            for i, j in linked_here(own, looking, state["segment"], edits):
+            for i, j in _verified(linked_here(own, looking, state["segment"], edits), own, looking, edits):
                 u, v = own[i][0], looking[j][0]
                 degree[u] = degree.get(u, 0) + 1
                 degree[v] = degree.get(v, 0) + 1
@@ -278,12 +397,12 @@ def near_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
         out = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "a", "b", "segment", "h", "line", "filed")]
-            for key, a, b, segment, h, line, is_filed in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("key", "a", "b", "segment", "h", "sign", "line", "filed")]
+            for key, a, b, segment, h, sign, line, is_filed in zip(*columns):
                 if (key, a, b) != state["place"]:
                     out += settled()
                     state["place"], state["segment"] = (key, a, b), segment
-                state["own" if is_filed else "looking"].append((h, line))
+                state["own" if is_filed else "looking"].append((h, sign, line))
             if len(out) > 10_000:
                 yield _links(out)
                 out = []

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from netsluice.llm import line_join as L
@@ -77,6 +78,67 @@ def test_all_links(spark):
     assert got == brute(rows)
 
 
+def near_variants(r, line):
+    line = list(line)
+    for _ in range(r.randint(0, 2)):
+        k = r.randrange(len(line) + 1)
+        line[k : k + r.randint(0, 1)] = r.choice([[], ["q"], ["é"]])
+    return "".join(line)
+
+
+def test_signatures_never_part_near_lines():
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdefgh é𝄞") for _ in range(r.randint(20, 90))) for _ in range(300)] + ["", "x", "aa"]
+    pairs = [(x, near_variants(r, x)) for x in base for _ in range(6)]
+    a, b = (L.signatures(*L._letters([p[k] for p in pairs])) for k in (0, 1))
+    assert all(L.alike(a[i : i + 1], b[i : i + 1], 2)[0, 0] for i in range(len(pairs)))
+    others = L.signatures(*L._letters(base))
+    assert L.alike(others, others, 2).mean() < 0.05
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_near_lines_share_a_key(edits):
+    r = random.Random(edits)
+    lines = ["".join(r.choice("ab𝄞") for _ in range(r.randint(20, 40))) for _ in range(60)]
+    for line in lines:
+        other = list(line)
+        for _ in range(edits):
+            k = r.randrange(len(other) + 1)
+            other[k : k + r.randint(0, 1)] = r.choice([[], ["c"]])
+        pair = sorted([line, "".join(other)], key=len)
+        key, tag, place, _ = L.keys(pair, edits)
+        filed = {(k, t // 2) for k, t, p in zip(key, tag, place) if p == 0 and t % 2}
+        asked = {(k, t // 2) for k, t, p in zip(key, tag, place) if p == 1}
+        assert filed & asked
+    key, tag, place, sign = L.keys([], edits)
+    assert len(key) == len(tag) == len(place) == len(sign) == 0
+
+
+@pytest.mark.parametrize("compared, step", [(16_384, 7), (16_384, 10_000), (20, 13), (3, 50), (1, 1000)])
+def test_meetings_lose_no_pair(monkeypatch, compared, step):
+    monkeypatch.setattr(L, "COMPARED", compared)
+    monkeypatch.setattr(L, "MET", 5)
+    r = random.Random(1)
+    base = ["".join(r.choice("abcdefgh") for _ in range(30)) for _ in range(12)]
+    lines = list({near_variants(r, r.choice(base)) for _ in range(300)})
+    key, tag, place, sign = L.keys(lines, 2)
+    rows = sorted({(int(k), int(p), int(t), int(s)) for k, t, p, s in zip(key, tag, place, sign[place])}) * 2
+    rows += [(5, p, 1, int(sign[p])) for p in range(len(lines))]  # a key that all lines file
+    rows.sort()
+    batches = [L._rows(np.array(rows[i : i + step], np.int64).T) for i in range(0, len(rows), step)]
+    got = {(k, h) for b in L._meet(iter(batches), 2) for k, h in zip(b.column("key").to_pylist(), b.column("h").to_pylist())}
+    by_key = {}
+    for k, p, t, _ in rows:
+        by_key.setdefault(k, {}).setdefault(p, []).append(t & 1)
+    for k, held in by_key.items():
+        for p, own in held.items():
+            if any(own):
+                for q in held:
+                    if p != q and abs(len(lines[p]) - len(lines[q])) <= 2 and edit_distance(lines[p], lines[q]) <= 2:
+                        assert (k, p) in got and (k, q) in got
+    assert list(L._meet(iter([]), 2)) == []
+
+
 def test_texts_without_repeats(spark):
     a, b = "the first line of some length", "another line that is as long"
     rows = [(1, f"{a}\n\n{b}", 7), (2, f"{a}!\nnew here", 8), (3, f"{b}\n{a}", 9), (4, None, 1), (5, "", 2), (6, " \n", 3)]
