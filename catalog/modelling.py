@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from catalog import query, table
@@ -12,10 +14,12 @@ from netsluice.operators import boosting, evaluation
 from netsluice.operators.boosting import BoostParams
 from netsluice.operators.clean import clean_flows
 from netsluice.operators.detections import batch_summary
-from netsluice.plans.registry import load_model, save_model
+from netsluice.operators.features import extract_features
+from netsluice.plans.registry import load_model, log_run, promote, save_model, training_runs
 from netsluice.plans.scoring import score_flows
-from netsluice.plans.training import TreeParams, cross_validate, fit_model, holdout_metrics, pipeline, training_table
+from netsluice.plans.training import TreeParams, cross_validate, fit_model, holdout_metrics, pipeline, prepare_data, training_table
 from netsluice.session import work_path
+from netsluice.sources.files import json_text
 
 # a fixed linear score against the return flag
 _SCORE = "round(0.5 * l_quantity / 50 + 2 * l_discount + l_tax, 2)"
@@ -227,6 +231,89 @@ def training_metrics_with_pipeline(spark, sf_dir):
     return spark.createDataFrame(rows, "metric string, value double")
 
 
+@query(
+    "prepare_json_lines",
+    f"select {', '.join(f'{clean_sql(f)} as {f}' for f in schema.FEATURES)}, {IS_ATTACK} as is_attack, {CLEAN_LABEL} as label from events",
+)
+def prepare_json_lines(spark, sf_dir):
+    """Cleaned records as JSON lines, blank lines among them, to the table that training reads."""
+    lines, out = work_path(spark, "lines"), work_path(spark, "prepared")
+    cleaned = clean_flows(raw_flows(spark, sf_dir, ())).drop("ingested_at")
+    text = json_text(cleaned).select(F.explode(F.array("value", F.lit("  "))).alias("value"))
+    text.write.text(lines)
+    return prepare_data(spark, lines, out)
+
+
+@query(
+    "leak_guard",
+    f"select event_id, {clean_sql('flow_duration')} as flow_duration, {IS_ATTACK} as is_attack, {len(schema.FEATURES)} as features, 0 as identifiers from events",
+)
+def leak_guard(spark, sf_dir):
+    """Identifier columns never become features, even where one is asked for by name."""
+    flows = clean_flows(raw_flows(spark, sf_dir))
+    marked = flows.withColumns({c: F.lit(1e9) for c in schema.NEVER_FEATURES if c not in flows.columns})
+    data = extract_features(marked, keep=["event_id"]).join(marked.select("event_id", "is_attack"), "event_id")
+    kept = [c for c in extract_features(marked).columns if c in schema.NEVER_FEATURES]
+    return data.select("event_id", "flow_duration", "is_attack", F.lit(len(extract_features(marked).columns)).alias("features"), F.lit(len(kept)).alias("identifiers"))
+
+
+def _version_sql(k: int) -> str:
+    return boosted_ctes(f"v{k}_", "rows", _SOME, 2, 2, 0.3, 8, f"event_id % 3 = {k}")
+
+
+@query(
+    "registry_order",
+    f"""with rows as materialized (select event_id, {IS_ATTACK} as target, 1.0 as weight,
+        {', '.join(f'{clean_sql(f)} as {f}' for f in _SOME)} from events), {', '.join(_version_sql(k) for k in range(3))}
+    {' union all '.join(f"select '{step}' as step, '{v}' as version, round(sum(1 / (1 + exp(-margin))), 5) as total from v{k}_scores"
+        for step, v, k in (("newest", "1.0", 1), ("promoted", "0.0", 0), ("newer", "0.0", 0), ("fallback", "local", 2)))}""",
+)
+def registry_order(spark, sf_dir):
+    """Which model is loaded: the newest, the promoted one though a newer comes, a path where nothing is registered."""
+    flows = clean_flows(raw_flows(spark, sf_dir))
+    root, out = work_path(spark, "registry"), None
+
+    def fitted(k):
+        train = flows.where(F.col("event_id") % 3 == k)
+        return fit_model(train, _BOOST, _SOME, weight=None, edges=boosting.even_edges(train, _SOME, _BOOST.bins))
+
+    def loaded(step, folder, fallback=None):
+        nonlocal out
+        model, version = load_model(spark, folder, fallback)
+        total = score_flows(flows, model).agg(F.round(F.sum("ml_confidence_score"), 5).alias("total"))
+        row = total.select(F.lit(step).alias("step"), F.lit(version).alias("version"), "total")
+        out = row if out is None else out.unionAll(row)
+
+    save_model(spark, fitted(0), root, "0.0")
+    save_model(spark, fitted(1), root, "1.0")
+    loaded("newest", root)
+    promote(spark, root, "0.0")
+    loaded("promoted", root)
+    last = save_model(spark, fitted(2), root, "2.0")
+    loaded("newer", root)
+    loaded("fallback", work_path(spark, "nothing"), last)
+    return out
+
+
+@query(
+    "training_log",
+    f"""{_COUNTS}, m as (select unnest(['accuracy', 'precision', 'recall']) as metric, unnest([(tp + tn) / (tp + tn + fp + fn), tp / (tp + fp), tp / (tp + fn)]) as value from c)
+    select run, metric, round(value * run, 9) as value, run * 10 as trees from m, (select unnest([1, 2, 3]) as run)""",
+)
+def training_log(spark, sf_dir):
+    """Three runs logged at once, read back with their parameters and metrics."""
+    root = work_path(spark, "registry")
+    found = evaluation.binary_metrics(_judged(spark, sf_dir)).first().asDict()
+
+    def run(k):
+        log_run(spark, root, str(k), {"trees": 10 * k}, {m: found[m] * k for m in ("accuracy", "precision", "recall")}, None)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(run, (1, 2, 3)))
+    runs = training_runs(spark, root).select(F.col("run_id").cast("int").alias("run"), F.explode("metrics").alias("metric", "value"), F.col("params")["trees"].cast("int").alias("trees"))
+    return runs.withColumn("value", F.round("value", 9))
+
+
 @query(
     "score_without_model",
     """select event_id, 'BENIGN' as is_anomaly, 0.0 as confidence, null as ml_confidence_score,

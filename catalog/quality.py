@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from catalog import query, table
@@ -11,13 +13,15 @@ from netsluice.operators.clean import clean_flows, clean_records
 from netsluice.plans.staging import staging_test_results, stage_network_logs
 from netsluice.quality.column_tests import ColumnTest, column_test_results
 from netsluice.quality.records import CleanedRecords, JsonRecords, TableRecords
-from netsluice.quality.report import report_rows
+from netsluice.quality.report import collect_report, report_rows
 from netsluice.quality.rules import (
+    Limits,
     cleaned_rule_results,
     raw_rule_results,
     scored_rule_results,
     unknown_labels,
 )
+from netsluice.session import stored
 from netsluice.sources.files import raw_flow_columns
 
 _PORT = number_sql("destination_port")
@@ -81,6 +85,51 @@ def dq_raw(spark, sf_dir):
     return _shown(raw_rule_results(_raw(spark, sf_dir)))
 
 
+@query("dq_raw_padded_headers", _raw_sql())
+def dq_raw_padded_headers(spark, sf_dir):
+    """Headers with blanks around them are the same headers."""
+    df = _raw(spark, sf_dir)
+    padded = df.toDF(*[f"{'  ' if i % 2 else ''}{c}{' ' * (i % 3)}" for i, c in enumerate(df.columns)])
+    return _shown(raw_rule_results(padded))
+
+
+def _limits_sql(rate: float) -> str:
+    return f"""select rule_name, passed and (rule_name <> 'label_null_rate' or round(try_cast(figure as double), 6) <= {rate}) as passed, severity
+        from ({_raw_sql()}) where rule_name in ('label_null_rate', 'non_negative_numerics', 'row_count_minimum')"""
+
+
+@query("dq_raw_limits", _limits_sql(0.001).replace("and 0.01 * count(*)", "and 0.9 * count(*)"))
+def dq_raw_limits(spark, sf_dir):
+    """Other thresholds: a null rate of labels that fails, negative values that only warn."""
+    results = raw_rule_results(_raw(spark, sf_dir), Limits(null_rate=0.001, negative_rate=0.9))
+    return results.where("rule_name in ('label_null_rate', 'non_negative_numerics', 'row_count_minimum')").select("rule_name", "passed", "severity")
+
+
+@query(
+    "dq_report_text",
+    f"""with r as ({_raw_sql("event_type")}), c as (select event_type, count(*) filter (where passed) as ok, count(*) as n,
+            bool_and(passed or severity <> 'error') as passed from r group by event_type)
+    select event_type, 'Quality of raw_csv_validation: ' || case when passed then 'PASSED' else 'FAILED' end as head,
+        ok || '/' || n || ' rules passed' as counts from c
+    union all select event_type, case when passed then 'ok  ' when severity = 'warning' then 'warn' else 'FAIL' end, category || '/' || rule_name from r""",
+)
+def dq_report_text(spark, sf_dir):
+    """The text and the dictionary of each source's report, line by line; a report is 12 rows."""
+    results = stored(raw_rule_results(_raw(spark, sf_dir, ("event_type",)), by=["event_type"]), "results")
+    out = []
+    for source in [r.event_type for r in results.select("event_type").distinct().collect()]:
+        report = collect_report(results.where(F.col("event_type") == source))
+        exported = json.loads(report.to_json())
+        head, counts, *lines = report.summary().split("\n")
+        out.append((source, head, counts.split(", ", 1)[1]))
+        for line, rule in zip(lines, exported["results"]):
+            mark, rest = line[2:6], line[7:]
+            if rest != f"{rule['category']}/{rule['rule_name']}: {rule['message']}":
+                raise ValueError(f"text and dictionary differ: {rest}")
+            out.append((source, mark, rest.split(": ", 1)[0]))
+    return spark.createDataFrame(out, "event_type string, head string, counts string")
+
+
 @query("dq_raw_per_source", _raw_sql("event_type"))
 def dq_raw_per_source(spark, sf_dir):
     return _shown(raw_rule_results(_raw(spark, sf_dir, ("event_type",)), by=["event_type"]), "event_type")

@@ -21,7 +21,7 @@ from netsluice.operators.features import prepared_dataset
 from netsluice.operators.sampling import stratified_folds, stratified_split, under_sample, with_row_key, with_weights
 from netsluice.plans.registry import log_run, save_model
 from netsluice.plans.scoring import Model, score_flows
-from netsluice.session import shared_folder
+from netsluice.session import shared_folder, stored
 from netsluice.sources.files import export_parquet, read_json_lines, read_table
 
 
@@ -90,8 +90,11 @@ def balance_table(
 def training_table(
     df: DataFrame, keys: Sequence[str], test_size: float = 0.2, folds: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Features, target, weight, ``is_test``, and for training rows their ``fold``."""
-    data = prepared_dataset(df, keep=keys)
+    """Features, target, weight, ``is_test``, and for training rows their ``fold``.
+
+    The features are written once; sizes, cuts of the split and cuts of the folds read key and class from there.
+    """
+    data = stored(prepared_dataset(df, keep=keys), "prepared")
     data = with_weights(data)
     data = stratified_split(data, keys, "is_attack", test_size, seed)
     data = data.withColumn("_part", F.concat_ws("-", "is_test", "is_attack"))
