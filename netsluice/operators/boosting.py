@@ -110,14 +110,12 @@ class BoostedTrees:
     def probability(self, values: Sequence[Column]) -> Column:
         """The probability of class 1 from the features' columns: only they go through Arrow."""
 
-        def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def scores(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             for part in parts:
-                x = np.stack(part.to_numpy()).astype(np.float64) if len(part) else np.empty((0, len(self.features)))
-                yield pd.Series(1.0 / (1.0 + np.exp(-self.margins(x))))
+                yield pd.Series(1.0 / (1.0 + np.exp(-self.margins(part.to_numpy(np.float64)))))
 
-        scores.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        missing = [F.coalesce(c.cast("double"), F.lit(float("nan"))) for c in values]
-        return F.pandas_udf(scores, "double")(F.array(*missing))
+        missing = [F.coalesce(c.cast("double"), F.lit(float("nan"))).alias(f"x{i}") for i, c in enumerate(values)]
+        return F.pandas_udf(scores, "double")(F.struct(*missing))
 
     def nodes(self) -> list[tuple]:
         """(tree, node, feature, threshold, missing_left, gain, value) of all nodes that a row can reach."""
