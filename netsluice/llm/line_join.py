@@ -26,8 +26,12 @@ from netsluice.llm.components import components
 EDITS, MIN_CHARS = 2, 20
 #: Characters of pairs that are verified side by side, and lines of a key that one task compares with as many.
 BLOCK, MET = 4_000_000, 1024
+#: Pairs of lines, of one key or of many, whose distances are worked out together.
+TOGETHER = 8192
 #: Different lines of a key that are compared by signatures in one task.
 COMPARED = 16_384
+#: Buckets of line hashes that are broadcast at most: 8 bytes each.
+HASHED = 1 << 22
 #: Bits of a signature that one edit can change.
 FLIPS = 4
 
@@ -123,19 +127,23 @@ def _letters(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
 
 
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(x))])) for x in (base, pow(base, -1, 1 << 64)))
+
+
 def keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Key, tag and line (its place) of all that the lines file and look up, and the lines' signatures.
 
-    A key is a hash of (length, segment, substring). Substrings are hashed from running sums of mixed letters times
-    powers of an odd number, for all lines at once; equal ones have equal hashes, and others that meet are told apart
+    A key is a hash of (length, segment, substring). Substrings are hashed from running sums of letters times powers of
+    an odd number, for all lines at once; equal ones have equal hashes, and others that meet are told apart
     by the comparison.
     """
     flat, at = _letters(lines)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(flat), base)]))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(flat), inverse)]))
-    upto = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(flat + base) * power[:-1])])
+    power, back = _powers(1 << max(10, len(flat).bit_length()))
+    upto = np.concatenate([[np.uint64(0)], np.cumsum((flat + np.uint64(1)) * power[: len(flat)])])
     n, parts, place = np.diff(at), edits + 1, np.arange(len(lines))
     out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int8)], [np.empty(0, np.int64)]]
     for shorter, segment, shift in probes(edits):
@@ -160,7 +168,7 @@ def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """
     bits = np.zeros(len(flat) + 1, np.uint64)
     if len(flat) > 1:
-        kind = _mixed(flat[:-1] * np.uint64(0x100000001B3) + flat[1:]) >> np.uint64(58)
+        kind = (flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(58)
         bits[: len(flat) - 1] = np.uint64(1) << kind
     bits[at[1:][at[1:] > at[:-1]] - 1] = 0  # a pair over the end of a line is none
     out = np.bitwise_xor.reduceat(bits, at[:-1]) if len(at) > 1 else np.empty(0, np.uint64)
@@ -279,14 +287,6 @@ def linked_here(own: list[tuple[int, int, str]], looking: list[tuple[int, int, s
             yield int(i), int(j)
 
 
-def _verified(pairs, own, looking, edits: int):
-    pairs = list(pairs)
-    for k in range(0, len(pairs), 4000):
-        part = pairs[k : k + 4000]
-        near = within_edits([own[i][2] for i, _ in part], [looking[j][2] for _, j in part], edits)
-        yield from (p for p, ok in zip(part, near) if ok)
-
-
 def meetings(rows: DataFrame, edits: int) -> DataFrame:
     """The rows of :func:`line_keys` whose line may be near another one of its key, each (key, h) once.
 
@@ -364,7 +364,11 @@ def near_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     meeting = meeting.groupBy("key", "h").agg(F.max("tag").alias("tag"), F.first("sign").alias("sign"))
     segment, own = F.shiftright("tag", 1).cast("int").alias("segment"), (F.col("tag") % 2 == 1).alias("own")
     meeting = written(meeting.select("key", segment, "h", own, "sign"), "line-meetings")
-    contents = line_texts(texts, min_chars).join(meeting.select("h").distinct(), "h", "left_semi")
+    # at most HASHED buckets are broadcast; a text in none of them is in no meeting and does not move
+    bucket = F.pmod("h", F.lit(HASHED)).alias("bucket")
+    wanted = F.broadcast(meeting.select(bucket).distinct())
+    contents = line_texts(texts, min_chars).withColumn("bucket", bucket).join(wanted, "bucket", "left_semi").drop("bucket")
+    contents = contents.join(meeting.select("h").distinct(), "h", "left_semi")
     contents = written(contents.dropDuplicates(["h"]), "line-texts")
     # a key of many lines is cut into blocks, and every block of its own lines meets every block of all
     blocks = meeting.groupBy("key").agg(F.ceil(F.count("*") / MET).cast("int").alias("blocks"))
@@ -373,48 +377,50 @@ def near_lines(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     dealt = placed.filter("own").select("key", "segment", "h", "sign", "line", F.lit(True).alias("filed"), F.col("block").alias("a"), others.alias("b"))
     dealt = dealt.union(placed.select("key", "segment", "h", "sign", "line", F.lit(False).alias("filed"), others.alias("a"), F.col("block").alias("b")))
 
-    def compare(batches):
-        state: dict = {"place": None, "own": [], "looking": [], "segment": 0}
-
-        def settled():
-            own, looking = state["own"], state["looking"]
-            degree: dict[int, int] = {}
-            root: dict[int, int] = {}
-
-            def find(x):
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for i, j in _verified(linked_here(own, looking, state["segment"], edits), own, looking, edits):
-                u, v = own[i][0], looking[j][0]
-                degree[u] = degree.get(u, 0) + 1
-                degree[v] = degree.get(v, 0) + 1
-                root[find(u)] = find(v)
-            state["own"], state["looking"] = [], []
-            return [(x, n, find(x)) for x, n in degree.items()]
-
-        out = []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "a", "b", "segment", "h", "sign", "line", "filed")]
-            for key, a, b, segment, h, sign, line, is_filed in zip(*columns):
-                if (key, a, b) != state["place"]:
-                    out += settled()
-                    state["place"], state["segment"] = (key, a, b), segment
-                state["own" if is_filed else "looking"].append((h, sign, line))
-            if len(out) > 10_000:
-                yield _links(out)
-                out = []
-        yield _links(out + settled())
-
     parts = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    linked = written(parts.mapInArrow(compare, "node long, n long, root long"), "line-links")
+    linked = written(parts.mapInArrow(lambda batches: _compared(batches, edits), "node long, n long, root long"), "line-links")
     return linked.select(F.col("node").alias("u"), F.col("root").alias("v")), linked.groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
-def _links(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [(), (), ()]
+def _compared(batches, edits: int):
+    """The links of a task's keys: (node, number of links, root of a forest). Pairs of many keys are verified side by side."""
+    place, segment, own, looking, pairs = None, 0, [], [], []
+
+    def met():
+        for i, j in linked_here(own, looking, segment, edits):
+            pairs.append((own[i], looking[j]))
+            if len(pairs) >= TOGETHER:
+                yield _linked(pairs, edits)
+                pairs.clear()
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("key", "a", "b", "segment", "h", "sign", "line", "filed")]
+        for key, a, b, part, h, sign, line, is_filed in zip(*columns):
+            if (key, a, b) != place:
+                yield from met()
+                place, segment, own, looking = (key, a, b), part, [], []
+            (own if is_filed else looking).append((h, sign, line))
+    yield from met()
+    yield _linked(pairs, edits)
+
+
+def _linked(pairs: list[tuple], edits: int) -> pa.RecordBatch:
+    near = within_edits([x[2] for x, _ in pairs], [y[2] for _, y in pairs], edits)
+    degree: dict[int, int] = {}
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for ((u, _, _), (v, _, _)), ok in zip(pairs, near):
+        if ok:
+            degree[u] = degree.get(u, 0) + 1
+            degree[v] = degree.get(v, 0) + 1
+            root[find(u)] = find(v)
+    columns = [list(degree), list(degree.values()), [find(x) for x in degree]]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "n", "root"])
 
 
