@@ -30,6 +30,8 @@ BLOCK, MET = 4_000_000, 1024
 TOGETHER = 8192
 #: Different lines of a key that are compared by signatures in one task.
 COMPARED = 16_384
+#: Letters whose substrings are hashed together; a longer line stands alone.
+LETTERS = 1 << 19
 #: Buckets of line hashes that are broadcast at most: 8 bytes each.
 HASHED = 1 << 22
 #: Bits of a signature that one edit can change.
@@ -95,10 +97,15 @@ def line_keys(texts: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """
 
     def run(batch, texts):
-        lines = {line_hash(line.encode()): line for text in texts for _, line in split_lines(text) if len(line) >= min_chars}
-        key, tag, place, sign = keys(list(lines.values()), edits)
-        h = np.fromiter(lines, np.int64, len(lines))
-        return {"key": key, "tag": tag, "h": h[place], "sign": sign[place]}
+        found = {line_hash(line.encode()): line for text in texts for _, line in split_lines(text) if len(line) >= min_chars}
+        h, lines, out = np.fromiter(found, np.int64, len(found)), list(found.values()), [[], [], [], []]
+        size = np.cumsum([len(x) for x in lines]) if lines else np.empty(0, np.int64)
+        edges = np.flatnonzero(np.diff(size // LETTERS, prepend=-1, append=-1)).tolist() if lines else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            key, tag, place, sign = keys(lines[a:b], edits)
+            for column, part in zip(out, (key, tag, h[a:b][place], sign[place])):
+                column.append(part)
+        return {n: np.concatenate(c) if c else [] for n, c in zip(KEYS.names, out)}
 
     return texts.mapInArrow(per_block(run, KEYS), "key long, tag tinyint, h long, sign long")
 
@@ -127,8 +134,12 @@ def _letters(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
 
 
-@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return _few_powers(size) if size <= 2 * LETTERS else _few_powers.__wrapped__(size)
+
+
+@lru_cache(maxsize=4)
+def _few_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     base = 0x9E3779B97F4A7C15
     return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(x))])) for x in (base, pow(base, -1, 1 << 64)))
