@@ -31,7 +31,7 @@ TOGETHER = 8192
 #: Different lines of a key that are compared by signatures in one task.
 COMPARED = 16_384
 #: Letters whose substrings are hashed together; a longer line stands alone.
-LETTERS = 1 << 19
+LETTERS = 1 << 18
 #: Buckets of line hashes that are broadcast at most: 8 bytes each.
 HASHED = 1 << 22
 #: Bits of a signature that one edit can change.
@@ -135,16 +135,20 @@ def _letters(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _few_powers(size) if size <= 2 * LETTERS else _few_powers.__wrapped__(size)
+    """Powers of an odd number and of its inverse modulo 2**64; those of usual blocks are kept."""
+    return _usual_powers() if size <= 2 * LETTERS else _all_powers(size)
 
 
-@lru_cache(maxsize=4)
-def _few_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
+def _all_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15
     return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(x))])) for x in (base, pow(base, -1, 1 << 64)))
 
 
+@lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _all_powers(2 * LETTERS)
+
+
 def keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Key, tag and line (its place) of all that the lines file and look up, and the lines' signatures.
 
@@ -153,7 +157,7 @@ def keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     by the comparison.
     """
     flat, at = _letters(lines)
-    power, back = _powers(1 << max(10, len(flat).bit_length()))
+    power, back = _powers(len(flat))
     upto = np.concatenate([[np.uint64(0)], np.cumsum((flat + np.uint64(1)) * power[: len(flat)])])
     n, parts, place = np.diff(at), edits + 1, np.arange(len(lines))
     out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int8)], [np.empty(0, np.int64)]]
