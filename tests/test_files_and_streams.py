@@ -248,3 +248,22 @@ def test_history_survives_a_repeated_batch(spark, tmp_path):
     write(batch(5, 7), 1)
     write(batch(5, 7), 1)
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/1").collect()) == [4, 5, 6]
+
+
+def tasks_grow(spark, monkeypatch, make):
+    """Whether twice the tasks hold a table's wide rows when a task may hold half as many."""
+    from catalog import bindings
+
+    monkeypatch.setattr(bindings, "SPREAD_ROWS", 10)
+    few = make()
+    monkeypatch.setattr(bindings, "SPREAD_ROWS", 5)
+    return make() == 2 * few >= 20
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_raw_files_grow_in_number_with_the_events(spark, monkeypatch):
+    from catalog import files
+
+    assert tasks_grow(spark, monkeypatch, lambda: len(spark.read.text(files._write_raw(spark, SF)).inputFiles()))
