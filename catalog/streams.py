@@ -46,10 +46,15 @@ def _record_files(spark, sf_dir, good_ports: bool = False):
     flows = raw_flows(spark, sf_dir, ())
     if good_ports:
         flows = flows.withColumn("Destination Port", F.expr("cast(abs(hash(`Flow Duration`)) % 60000 as string)"))
-    export_json_lines(flows.repartition(4), path)
+    export_json_lines(flows, path)
     return path
 
 
+def _half(spark, folder):
+    """Files of a batch by which the folder's files, that grow in number with the events, come in two batches."""
+    return -(-len(spark.read.text(folder).inputFiles()) // 2)
+
+
 _SHOWN = ["flow_duration", "total_fwd_packets", "flow_bytes_s"]
 
 
@@ -59,8 +64,8 @@ _SHOWN = ["flow_duration", "total_fwd_packets", "flow_bytes_s"]
         {IS_ATTACK} as is_attack from events""",
 )
 def stream_clean(spark, sf_dir):
-    out = work_path(spark, "cleaned")
-    stream = cleaned_stream(json_file_stream(spark, _record_files(spark, sf_dir), files_per_trigger=2)).drop("extra")
+    out, files = work_path(spark, "cleaned"), _record_files(spark, sf_dir)
+    stream = cleaned_stream(json_file_stream(spark, files, files_per_trigger=_half(spark, files))).drop("extra")
     run_to_table(stream, out, work_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out).select(*_SHOWN, "label", "is_attack")
 
@@ -80,7 +85,7 @@ def stream_clean_capped(spark, sf_dir):
 def stream_gated(spark, sf_dir):
     out, held = work_path(spark, "let-through"), work_path(spark, "quarantine")
     files = _record_files(spark, sf_dir, good_ports=True)
-    stream = cleaned_stream(json_file_stream(spark, files, files_per_trigger=2)).drop("extra")
+    stream = cleaned_stream(json_file_stream(spark, files, files_per_trigger=_half(spark, files))).drop("extra")
     run_gated(stream, out, held, work_path(spark, "checkpoint")).awaitTermination()
     df = spark.read.parquet(out)
     n = len([c for c in df.columns if c in schema.NUMERIC_FIELDS])
@@ -99,7 +104,7 @@ def stream_gated(spark, sf_dir):
 def stream_gated_bad(spark, sf_dir):
     """A batch with broken records stops the gated stage and lies in the quarantine, with what was wrong beside the rows."""
     out, held, files = (work_path(spark, n) for n in ("let-through", "quarantine", "records"))
-    broken_records(spark, sf_dir).select("value").repartition(4).write.text(files)
+    broken_records(spark, sf_dir).select("value").write.text(files)
     stream = cleaned_stream(json_file_stream(spark, files))
     try:
         run_gated(stream, out, held, work_path(spark, "checkpoint")).awaitTermination()
@@ -129,8 +134,8 @@ def stream_raw_files(spark, sf_dir):
             "Flow IAT Min": F.expr("cast(event_id % 2 as string)"),
         }
     )
-    flows.drop("event_id").repartition(3).write.option("header", "true").csv(raw)
-    records = raw_file_stream(spark, raw, files_per_trigger=2)
+    flows.drop("event_id").write.option("header", "true").csv(raw)
+    records = raw_file_stream(spark, raw, files_per_trigger=_half(spark, raw))
     bounded(records.writeStream.format("text").outputMode("append"), work_path(spark, "checkpoint")).start(lines).awaitTermination()
     cleaned = cleaned_stream(json_file_stream(spark, lines)).drop("extra")
     run_to_table(cleaned, out, work_path(spark, "checkpoint")).awaitTermination()
@@ -159,8 +164,8 @@ def stream_scores(spark, sf_dir):
     root = work_path(spark, "registry")
     save_model(spark, fit_model(flows, _STREAM_BOOST, weight=None, edges=edges), root, "1.0.0")
     model, version = load_model(spark, root)
-    out, alerts = work_path(spark, "scored"), work_path(spark, "alerts")
-    cleaned = cleaned_stream(json_file_stream(spark, _record_files(spark, sf_dir), files_per_trigger=2)).drop("extra")
+    out, alerts, files = work_path(spark, "scored"), work_path(spark, "alerts"), _record_files(spark, sf_dir)
+    cleaned = cleaned_stream(json_file_stream(spark, files, files_per_trigger=_half(spark, files))).drop("extra")
     run_scoring(scored_stream(cleaned, model, version), out, alerts, work_path(spark, "checkpoint")).awaitTermination()
     by = ["label", F.round("ml_confidence_score", 6).alias("score"), F.col("ml_model_version").alias("version")]
     scored = spark.read.parquet(out).select(*by, F.lit(1).alias("s"), F.lit(0).alias("a"))
@@ -174,8 +179,8 @@ def stream_scores(spark, sf_dir):
 )
 def stream_scores_without_model(spark, sf_dir):
     """Without a model every record comes through with no score, and nothing is alerted."""
-    out, alerts = work_path(spark, "scored"), work_path(spark, "alerts")
-    cleaned = cleaned_stream(json_file_stream(spark, _record_files(spark, sf_dir), files_per_trigger=2)).drop("extra")
+    out, alerts, files = work_path(spark, "scored"), work_path(spark, "alerts"), _record_files(spark, sf_dir)
+    cleaned = cleaned_stream(json_file_stream(spark, files, files_per_trigger=_half(spark, files))).drop("extra")
     run_scoring(scored_stream(cleaned, None), out, alerts, work_path(spark, "checkpoint")).awaitTermination()
     found = spark.read.parquet(alerts).groupBy("label").agg(F.count(F.lit(1)).alias("alerts"))
     scored = spark.read.parquet(out).where("ml_confidence_score is null").groupBy("label").agg(F.count(F.lit(1)).alias("scored"))

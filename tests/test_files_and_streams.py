@@ -267,3 +267,28 @@ def test_raw_files_grow_in_number_with_the_events(spark, monkeypatch):
     from catalog import files
 
     assert tasks_grow(spark, monkeypatch, lambda: len(spark.read.text(files._write_raw(spark, SF)).inputFiles()))
+
+
+@pytest.mark.parametrize(
+    ("module", "run", "folder"),
+    [("files", "gated_files", "gated"), ("streams", "stream_raw_files", "raw-files"), ("streams", "stream_gated_bad", "records"),
+     ("streams", "_record_files", "records")],
+)
+def test_files_of_queries_grow_in_number_with_the_events(spark, monkeypatch, tmp_path, module, run, folder):
+    import importlib
+
+    from catalog import bindings
+
+    made = importlib.import_module(f"catalog.{module}")
+    monkeypatch.setattr(bindings, "SPREAD_ROWS", 50)
+    own = iter(range(100))
+    monkeypatch.setattr(made, "work_path", lambda spark, name: f"{tmp_path}/{name}" if name == folder else f"{tmp_path}/{next(own)}")
+    getattr(made, run)(spark, SF)
+    assert len(spark.read.text(f"{tmp_path}/{folder}").inputFiles()) == 20
+
+
+def test_batches_of_half_the_files(spark, tmp_path):
+    from catalog.streams import _half
+
+    spark.range(21).repartition(7).write.json(f"{tmp_path}/seven")
+    assert _half(spark, f"{tmp_path}/seven") == 4
