@@ -292,3 +292,20 @@ def test_batches_of_half_the_files(spark, tmp_path):
 
     spark.range(21).repartition(7).write.json(f"{tmp_path}/seven")
     assert _half(spark, f"{tmp_path}/seven") == 4
+
+
+def test_raw_numbers_searches_a_row_once_for_letters(spark):
+    cells = [("1", "2.5"), ("1d", "3"), ("inf", "x"), (None, "1_000"), ("1e400", "0x1"), ("NaN", None)]
+    df = spark.createDataFrame(cells, "`Flow Duration` string, `Idle Max` string")
+    out = raw_numbers(df)
+    found = [(r[0], r[1], [tuple(x) for x in r.refused]) for r in out.collect()]
+    assert found == [
+        (1.0, 2.5, []), (None, 3.0, [("flow_duration", "1d")]), (None, None, [("idle_max", "x")]), (None, 1000.0, []),
+        (None, None, [("idle_max", "0x1")]), (None, None, []),
+    ]
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = raw_numbers(spark.createDataFrame([], schema.RAW_SCHEMA))._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("concat_ws") == 1 and plan.count("RLIKE") <= 8  # of the lambdas, not of 78 columns
