@@ -309,3 +309,13 @@ def test_raw_numbers_searches_a_row_once_for_letters(spark):
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert plan.count("concat_ws") == 1 and plan.count("RLIKE") <= 8  # of the lambdas, not of 78 columns
+
+
+def test_gate_outcome_judges_the_files_once(spark, monkeypatch):
+    from catalog import files
+    from netsluice.plans import pipeline
+
+    runs, judge = [], pipeline.raw_rule_results
+    monkeypatch.setattr(pipeline, "raw_rule_results", lambda df, **more: runs.append(df) or judge(df, **more))
+    assert files.gate_outcome(spark, SF).where("stopped = 1").count() == 2
+    assert len(runs) == 1
