@@ -214,3 +214,10 @@ def test_rows_are_numbered_by_one_shuffle(spark, tmp_path):
     numbered = number_rows(spark.read.parquet(str(tmp_path / "t")), ["id"])
     plan = numbered._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1 and "Scan ExistingRDD" not in plan
+
+
+def test_copies_are_written_out_by_many_tasks(spark):
+    rows = spark.range(4000).selectExpr("id % 40 as a", "'x' as b")
+    keyed = sampling.with_row_key(rows, chunk=10)
+    assert keyed.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert keyed.select("row_key").distinct().count() == 4000
