@@ -78,21 +78,33 @@ class EliasFano:
         bit = word * 64 + _select_in_words(self.high[word], at - self.ones[word])
         return ((bit - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
 
-    def _before(self, high: np.ndarray) -> np.ndarray:
-        """How many values have high bits below ``high``: the ones before zero number high - 1."""
+    def _before(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values have high bits below ``high`` (the ones before zero number high - 1), and the bit behind that zero."""
         if self.zeros is None:
             self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         total = int(self.zeros[-1])
         zero = np.clip(high - 1, 0, total - 1)
         word = np.searchsorted(self.zeros, zero, side="right") - 1
         bit = word * 64 + _select_in_words(~self.high[word], zero - self.zeros[word])
-        return np.where(high <= 0, 0, np.where(high > total, self.n, bit - zero))
-
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """The first place whose value is not below each given value; n if none."""
-        values = np.asarray(values, np.uint64)
-        high = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        lo, hi = self._before(high), self._before(high + 1)
+        low, beyond = high <= 0, high > total
+        return np.where(low, 0, np.where(beyond, self.n, bit - zero)), np.where(low, 0, np.where(beyond, len(self.high) * 64, bit + 1))
+
+    def _range(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the values with these high bits: a run of ones, mostly within one 64-bit word."""
+        lo, bit = self._before(high)
+        word, shift = np.minimum(bit >> 6, len(self.high) - 1), (bit & 63).astype(np.uint64)
+        rest = ~(self.high[word] >> shift)
+        run = np.bitwise_count((rest & (~rest + ONE)) - ONE).astype(np.int64)
+        hi = lo + run
+        over = np.flatnonzero((run + shift.astype(np.int64) >= 64) | (bit >> 6 >= len(self.high)))
+        if len(over):
+            hi[over] = self._before(high[over] + 1)[0]
+        return lo, hi
+
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first place not below each value, the end of the places with its high bits, and its low bits."""
+        lo, end = self._range((values >> np.uint64(self.low_bits)).astype(np.int64))
+        hi = end.copy()
         want = values & self.mask
         active = np.flatnonzero(lo < hi)
         while len(active):
@@ -101,13 +113,16 @@ class EliasFano:
             lo[active[below]] = mid[below] + 1
             hi[active[~below]] = mid[~below]
             active = active[lo[active] < hi[active]]
-        return lo
+        return lo, end, want
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """The first place whose value is not below each given value; n if none."""
+        return self._search(np.asarray(values, np.uint64))[0]
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The first place of each value, -1 where it is not in the sequence."""
         values = np.asarray(values, np.uint64)
         if not self.n or not len(values):
             return np.full(len(values), -1)
-        at = self.successor(values)
-        inside = np.minimum(at, self.n - 1)
-        return np.where((at < self.n) & (self.access(inside) == values), at, -1)
+        at, end, want = self._search(values)
+        return np.where((at < end) & (self._low(np.minimum(at, self.n - 1)) == want), at, -1)

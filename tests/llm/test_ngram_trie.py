@@ -92,3 +92,56 @@ def test_elias_fano():
         q = np.concatenate([v, r.integers(0, u + 5, 2000).astype(np.uint64), v + np.uint64(1)])
         assert (e.successor(q) == np.searchsorted(v, q)).all()
     assert EliasFano.of(np.zeros(0, np.uint64)).find(np.array([1], np.uint64)).tolist() == [-1]
+
+
+def brute_of_order(rows, order, min_count, discount=0.75):
+    """The model of strings of up to ``order`` words from dictionaries; none reaches beyond the end before the first word."""
+
+    def words(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [""]
+
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    uni, grams, whole = Counter(), Counter(), Counter()
+    for i, t in rows:
+        if not held[i]:
+            w = words(t)
+            uni.update(w)
+            stream = [""] + w
+            for k in range(2, order + 1):
+                for j in range(len(stream) - k + 1):
+                    grams[tuple(stream[j : j + k])] += 1
+                    whole[tuple(stream[j : j + k - 1])] += 1
+    grams = {g: n for g, n in grams.items() if n >= min_count}
+    kept = Counter()
+    for g, n in grams.items():
+        kept[g[:-1]] += n - discount
+    n, v = sum(uni.values()), len(uni)
+    q = lambda x: float(T.value(T.coded(np.array([math.log10(max(x, 1e-16))])))[0])
+
+    def log10(context, word):
+        if not context:
+            return math.log10((uni[word] + 0.5) / (n + 0.5 * (v + 1)))
+        lower = log10(context[1:], word)
+        if context not in kept:
+            return lower
+        back = 1 - kept[context] / whole[context]
+        g = (*context, word)
+        return q((grams[g] - discount) / whole[context] + back * 10**lower) if g in grams else q(back) + lower
+
+    out = []
+    for i, t in rows:
+        stream = [""] + words(t)
+        out.append((i, sum(log10(tuple(stream[max(0, j - order + 1) : j]), stream[j]) for j in range(1, len(stream)))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("order, min_count, shard_rows", [(3, 1, 1_000_000), (3, 1, 20), (3, 2, 20), (4, 1, 300), (2, 1, 20)])
+def test_longer_strings_and_single_sightings(spark, order, min_count, shard_rows):
+    """Every string of training counts, met once or often, of common contexts as of rare ones."""
+    rows = [(i, " ".join(f"w{(i * 3 + k * k * (1 + i % 3)) % 9}" for k in range(i % 25))) for i in range(90)]
+    rows += [(i, f"the one sighting of{i} the the new{i % 7} words the one") for i in range(100, 130)] + [(131, None), (132, "x" * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.score) for r in T.score_documents(df, order=order, min_count=min_count, shard_rows=shard_rows).collect())
+    want = brute_of_order(rows, order, min_count)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-9, abs=1e-9)
