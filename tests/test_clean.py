@@ -171,3 +171,24 @@ def test_snake_keys_works_out_each_map_once(spark):
     df = entry_points.queries()["snake_keys"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct(") == 1
+
+
+def test_the_texts_of_a_row_are_searched_together_for_letters(spark):
+    """One search a row, not one a cell; a cell with such a letter still is no number, its neighbours still are."""
+    names = schema.RAW_FIELDS
+    row = ["1"] * (len(names) - 1) + ["BENIGN"]
+    rows = [tuple(row[:i] + [t] + row[i + 1 :]) for i, t in ((1, "2d"), (2, "0x1"), (3, "5F"), (4, "7"), (5, None))]
+    df = clean_flows(spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)))
+    odd = {schema.NUMERIC_FIELDS[1]: None, schema.NUMERIC_FIELDS[2]: None, schema.NUMERIC_FIELDS[3]: None}
+    got = [tuple(r) for r in df.select(*schema.NUMERIC_FIELDS[:6]).collect()]
+    want = [[1.0] * 6 for _ in rows]
+    for i in range(3):
+        want[i][i + 1] = odd[schema.NUMERIC_FIELDS[i + 1]]
+    want[3][4], want[4][5] = 7.0, 0.0
+    assert got == [tuple(w) for w in want]
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = clean_flows(spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)))._jdf.queryExecution()
+        assert plan.optimizedPlan().toString().count("[dDfFxX]") < len(names)
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
