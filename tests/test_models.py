@@ -158,3 +158,15 @@ def test_detection_log(spark, tmp_path):
     assert found.count() == 2 and found.select("id").distinct().count() == 1
     clear_detections(rows, log)
     assert spark.read.parquet(log).count() == 0
+
+
+@pytest.mark.parametrize("name", ["score_flows", "score_flows_pipeline"])
+def test_scoring_reads_the_flows_that_training_cleaned(spark, name, monkeypatch):
+    from catalog import QUERIES, modelling
+
+    monkeypatch.setattr(modelling, "fit_model", lambda *a, **k: None)
+    monkeypatch.setattr(modelling, "save_model", lambda *a: None)
+    monkeypatch.setattr(modelling, "load_model", lambda *a: (None, "1.0.0"))
+    monkeypatch.setattr(modelling, "pipeline", lambda *a: type("none", (), {"fit": lambda self, df: None})())
+    files = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("events.parquet" in f for f in files)
