@@ -10,19 +10,22 @@ from __future__ import annotations
 import numpy as np
 
 ONE = np.uint64(1)
-_HALVES = [np.uint64(x) for x in (32, 16, 8, 4, 2, 1)]
-_MASKS = [np.uint64((1 << x) - 1) for x in (32, 16, 8, 4, 2, 1)]
+_PAIRS, _FOURS, _EIGHTS, _EACH, _TOPS = (np.uint64(0x0101010101010101 * x) for x in (0x55, 0x33, 0x0F, 1, 0x80))
+_B1, _B2, _B3, _B4, _B8 = (np.uint64(x) for x in (1, 2, 3, 4, 8))
+_BYTE, _LAST = np.uint64(255), np.uint64(63)
+#: The place of one number k (from 0) in a byte b, at 8 * b + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8).ravel()
 
 
 def _select_in_words(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The place of one number ``rank`` (from 0) in each 64-bit word."""
-    at, rank = np.zeros(len(words), np.uint64), rank.astype(np.int64)
-    for half, mask in zip(_HALVES, _MASKS):
-        count = np.bitwise_count((words >> at) & mask).astype(np.int64)
-        beyond = rank >= count
-        rank = rank - count * beyond
-        at = at + half * beyond.astype(np.uint64)
-    return at.astype(np.int64)
+    """The place of one number ``rank`` (from 0) in each 64-bit word: its byte by sums of the bytes' ones, then by a table."""
+    rank = rank.astype(np.uint64)
+    sums = words - ((words >> _B1) & _PAIRS)
+    sums = (sums & _FOURS) + ((sums >> _B2) & _FOURS)
+    sums = ((sums + (sums >> _B4)) & _EIGHTS) * _EACH  # byte i: the ones of the bytes up to i
+    shift = np.bitwise_count(((rank * _EACH | _TOPS) - sums) & _TOPS).astype(np.uint64) << _B3
+    rank -= ((sums << _B8) >> shift) & _BYTE
+    return (shift + _IN_BYTE[(((words >> shift) & _BYTE) << _B3) + rank]).astype(np.int64)
 
 
 class EliasFano:
@@ -66,10 +69,8 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(at), np.uint64)
         bit = at.astype(np.uint64) * np.uint64(self.low_bits)
-        word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        first = self.low[word] >> shift
-        second = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        return (first | second) & self.mask
+        word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & _LAST
+        return ((self.low[word] >> shift) | (self.low[word + 1] << (_LAST - shift) << ONE)) & self.mask
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The values at some places, each from 0 to n - 1."""
@@ -101,11 +102,9 @@ class EliasFano:
             hi[over] = self._before(high[over] + 1)[0]
         return lo, hi
 
-    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first place not below each value, the end of the places with its high bits, and its low bits."""
-        lo, end = self._range((values >> np.uint64(self.low_bits)).astype(np.int64))
-        hi = end.copy()
-        want = values & self.mask
+    def _first(self, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """The first of the places from lo to hi, of equal high bits, whose low bits are not below those wanted; hi if none."""
+        lo, hi = lo.copy(), hi.copy()
         active = np.flatnonzero(lo < hi)
         while len(active):
             mid = (lo[active] + hi[active]) >> 1
@@ -113,16 +112,30 @@ class EliasFano:
             lo[active[below]] = mid[below] + 1
             hi[active[~below]] = mid[~below]
             active = active[lo[active] < hi[active]]
-        return lo, end, want
+        return lo
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """The first place whose value is not below each given value; n if none."""
-        return self._search(np.asarray(values, np.uint64))[0]
+        values = np.asarray(values, np.uint64)
+        lo, hi = self._range((values >> np.uint64(self.low_bits)).astype(np.int64))
+        return self._first(lo, hi, values & self.mask)
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The first place of each value, -1 where it is not in the sequence."""
         values = np.asarray(values, np.uint64)
+        out = np.full(len(values), -1)
         if not self.n or not len(values):
-            return np.full(len(values), -1)
-        at, end, want = self._search(values)
-        return np.where((at < end) & (self._low(np.minimum(at, self.n - 1)) == want), at, -1)
+            return out
+        lo, end = self._range((values >> np.uint64(self.low_bits)).astype(np.int64))
+        some = np.flatnonzero(lo < end)
+        lo, end, want = lo[some], end[some], values[some] & self.mask
+        low = self._low(lo)  # few values have the same high bits: mostly the first place tells
+        hit = low == want
+        out[some[hit]] = lo[hit]
+        more = np.flatnonzero((low < want) & (lo + 1 < end))
+        if len(more):
+            at = self._first(lo[more] + 1, end[more], want[more])
+            more, at = more[at < end[more]], at[at < end[more]]
+            hit = self._low(at) == want[more]
+            out[some[more[hit]]] = at[hit]
+        return out

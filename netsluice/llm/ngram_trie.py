@@ -14,6 +14,7 @@ each task's sorted strings to the shards and hands texts on as word numbers; eac
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import islice
@@ -37,8 +38,8 @@ ORDER = 2
 MIN_COUNT = 2
 #: Taken off every count of two or more words.
 DISCOUNT = 0.75
-#: Tokens whose strings a task sorts and looks up at once.
-BLOCK_TOKENS = 1_000_000
+#: Tokens whose strings a task sorts and deals at once, and whose strings it looks up and scores: that takes more memory a token.
+BLOCK_TOKENS, SCORED_TOKENS = 1_000_000, 500_000
 #: Words whose numbers a worker remembers before it forgets all of them.
 REMEMBERED = 250_000
 #: Codes of a quantised value, and the least log10 that they reach.
@@ -114,23 +115,33 @@ class Words:
         return out
 
 
+class _Places(dict):
+    """Words and their places in the order in which they came; a new word gets the next."""
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 class Numbering:
-    """Word numbers and counts with a bounded memory, for one worker."""
+    """Word numbers with a bounded memory, for one worker."""
 
     def __init__(self, level: Words):
-        self.level, self.known, self.count = level, {}, np.zeros(0, np.int64)
+        self.level, self.known, self.number = level, _Places(), np.zeros(0, np.int64)
 
     def sequences(self, texts: list[str]) -> list[np.ndarray]:
         """Numbers of each text's tokens."""
-        split = [tokens(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = sorted(set().union(*split) - known.keys())
+        if len(self.known) > REMEMBERED:
+            self.known, self.number = _Places(), np.zeros(0, np.int64)
+        look = self.known.__getitem__
+        places = []
+        for text in texts:
+            words = tokens(text)
+            places.append(np.fromiter(map(look, words), np.int64, len(words)))
+        fresh = list(islice(self.known, len(self.number), None))
         if fresh:
-            known.update(zip(fresh, self.level.numbers(fresh).tolist()))
-        look = known.__getitem__
-        return [np.fromiter(map(look, words), np.int64, len(words)) for words in split]
+            self.number = np.append(self.number, self.level.numbers(fresh))
+        return [self.number[x] for x in places]
 
 
 @lru_cache(maxsize=1)
@@ -142,14 +153,13 @@ def count_words(train: DataFrame) -> DataFrame:
     """word and n over the texts of ``train``; a task counts its own words before the shuffle."""
 
     def run(batches):
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for word in tokens(text):
-                    counts[word] = counts.get(word, 0) + 1
+                counts.update(tokens(text))
                 if len(counts) > 500_000:
                     yield _rows(counts)
-                    counts = {}
+                    counts = Counter()
         yield _rows(counts)
 
     def _rows(counts):
@@ -217,11 +227,11 @@ def number_texts(df: DataFrame, level: Words) -> DataFrame:
     return written(rows.mapInArrow(per_block(run, schema), "doc_id long, held_out boolean, words binary"), "word-numbers")
 
 
-def _token_blocks(batches):
-    """Pieces of Arrow batches of about BLOCK_TOKENS: the piece, its word numbers, and where its texts start."""
+def _token_blocks(batches, most: int):
+    """Pieces of Arrow batches of about ``most`` tokens: the piece, its word numbers, and where its texts start."""
     for batch in batches:
         sizes = np.array([len(x) // 4 for x in batch.column("words").to_pylist()], np.int64)
-        block = (np.cumsum(sizes) - sizes) // BLOCK_TOKENS
+        block = (np.cumsum(sizes) - sizes) // most
         cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1)) if len(sizes) else []
         for i, j in zip(cuts[:-1], cuts[1:]):
             piece = batch.slice(i, j - i)
@@ -242,7 +252,9 @@ def _is_in(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def dealt(context: np.ndarray, word: np.ndarray, shards: int, common: np.ndarray) -> np.ndarray:
     """The shard of each (context, word): by the context alone, where it is not common."""
-    return (context + np.where(_is_in(context, common)[0], word + 1, 0)) % shards
+    if len(common):
+        context = context + np.where(_is_in(context, common)[0], word + 1, 0)
+    return (context % shards).astype(np.min_scalar_type(shards))  # small integers are sorted by their digits
 
 
 @dataclass(frozen=True)
@@ -332,6 +344,7 @@ def _walk(words: np.ndarray, starts: np.ndarray, level: Words, levels: tuple[Str
         of[order] = np.cumsum(new) - 1
         mask = (np.uint64(1) << bits) - np.uint64(1)
         strings = (sorted_[new] >> bits).astype(np.int64), (sorted_[new] & mask).astype(np.int64) - 1, whole[seen[order[new]]]
+        del context, whole, key, order, sorted_, new  # several bytes a token each, while the level is asked
         found = levels[k].look_up(*strings)
         yield seen, strings, of, found
         ids, counts = np.full(len(words), -1), np.zeros(len(words), np.int64)
@@ -362,7 +375,7 @@ def build_strings(
     shards = level.tokens // (2 * shard_rows) + 1
 
     def deal(batches):
-        for _, words, starts in _token_blocks(batches):
+        for _, words, starts in _token_blocks(batches, BLOCK_TOKENS):
             *_, (_, key, _, _) = _walk(words, starts, level, levels)
             key = np.sort(key)
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -447,20 +460,21 @@ def score(numbered: DataFrame, level: Words, levels: tuple[Strings, ...], discou
     """Score numbered texts: one row each, in no order."""
 
     def run(batches):
-        for piece, words, starts in _token_blocks(batches):
+        for piece, words, starts in _token_blocks(batches, SCORED_TOKENS):
             counts = level.counts(words)
             p = unigram(counts, level)
             base = np.log10(p)
             model = base.copy()
-            for seen, strings, of, found in islice(_walk(words, starts, level, levels), len(levels)):
+            for k, (seen, strings, of, found) in enumerate(islice(_walk(words, starts, level, levels), len(levels))):
                 number, count, total, size = found
                 whole = strings[2].astype(float)
                 back = np.where(size > 0, 1.0 - (total - discount * size) / whole, 1.0)
                 share = (count - discount) / whole
                 off = np.where(size > 0, _rounded(back), 0.0)
                 known = (number >= 0)[of]
-                model[seen] = np.where(known, _rounded(share[of] + back[of] * p[seen]), off[of] + model[seen])
-                p = 10.0**model
+                below = model[seen]
+                p = p[seen] if k == 0 else 10.0**below
+                model[seen] = np.where(known, _rounded(share[of] + back[of] * p), off[of] + below)
             total = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has its end token
             yield pa.RecordBatch.from_pydict(
                 {

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from netsluice.llm import elias_fano
 from netsluice.llm import ngram_trie as T
 from netsluice.llm.elias_fano import EliasFano
 
@@ -145,3 +146,22 @@ def test_longer_strings_and_single_sightings(spark, order, min_count, shard_rows
     want = brute_of_order(rows, order, min_count)
     assert [g[0] for g in got] == [w[0] for w in want]
     assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-9, abs=1e-9)
+
+
+def test_search_of_long_and_short_runs_and_what_it_reads(monkeypatch):
+    """Values of equal high bits in runs of one and of many; a value alone with its high bits costs one read of low bits."""
+    r = np.random.default_rng(2)
+    words = np.concatenate([np.array([1, 1 << 63, (1 << 64) - 1], np.uint64), r.integers(1, 1 << 63, 500, np.uint64)])
+    for rank in (0, 1, 7, 31):
+        some = words[np.bitwise_count(words) > rank]
+        got = elias_fano._select_in_words(some, np.full(len(some), rank))
+        assert got.tolist() == [[i for i in range(64) if int(w) >> i & 1][rank] for w in some]
+    v = np.unique(np.concatenate([r.integers(0, 1 << 40, 3000), (1 << 39) + r.integers(0, 9000, 3000)])).astype(np.uint64)
+    e = EliasFano.of(v)
+    asked = np.concatenate([v, v + np.uint64(1), r.integers(0, 1 << 41, 3000).astype(np.uint64)])
+    at = np.searchsorted(v, asked)
+    assert (e.find(asked) == np.where(np.isin(asked, v), at, -1)).all()
+    reads, low = [], EliasFano._low
+    monkeypatch.setattr(EliasFano, "_low", lambda self, at: reads.append(len(at)) or low(self, at))
+    apart = np.arange(1000, dtype=np.uint64) * np.uint64(1000)
+    assert EliasFano.of(apart).find(apart).tolist() == list(range(1000)) and sum(reads) == 1000
