@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsluice import schema
-from netsluice.quality.rules import RAW_STAGE, Limits, raw_measures, raw_rules, rule_rows
+from netsluice.quality.rules import RAW_STAGE, Limits, measure_names, raw_measures, raw_rules, rule_rows
 from netsluice.session import stored
 from netsluice.sources import generations
 from netsluice.sources.files import read_raw_flows
@@ -26,7 +26,7 @@ def _template(spark: SparkSession) -> DataFrame:
 
 
 def _measures(spark: SparkSession) -> list[str]:
-    return raw_measures(_template(spark)).columns
+    return measure_names(raw_rules(_template(spark)))
 
 
 def _fields(spark: SparkSession) -> str:

@@ -202,3 +202,22 @@ def test_ledger_equals_the_whole_gate(spark, folder, tmp_path, monkeypatch):
     os.remove(os.path.join(path, "c.csv"))
     by_day = ledger.ledger_verdicts(spark, path, root, "day")
     assert {r.passed for r in by_day.where("rule_name in ('port_range_valid', 'label_null_rate')").collect()} == {True}
+
+
+def test_measuring_hashes_one_text_a_row_and_plans_names_once(spark, monkeypatch):
+    """Rows of texts are told apart by one JSON array: nulls, empty texts, moved borders and bytes that are no text."""
+    from netsluice.functions.keys import text_digest, texts_json
+    from netsluice.quality import rules
+
+    rows = [("a", "bc"), ("ab", "c"), (None, "abc"), ("", "abc"), ("null", "abc"), ('a","b', None), ("a", 'b",null'), ("a", "bc")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    bad = spark.sql("select cast(x'FF' as string) as x, 'z' as y union all select cast(x'FE' as string), 'z' union all select '\ufffd', 'z'")
+    both = df.unionByName(bad).withColumn("_json", texts_json(["x", "y"]))
+    digests = [bytes(r.d) for r in both.select(text_digest(both, ["x", "y"], "_json").alias("d")).collect()]
+    assert len(set(digests)) == 10 and digests[0] == digests[7] and {len(d) for d in digests} == {32}
+
+    template = ledger._template(spark)
+    names = rules.raw_measures(template).columns
+    monkeypatch.setattr(rules, "raw_measures", None)
+    monkeypatch.setattr(ledger, "raw_measures", None)  # the names come from the rules, no aggregate is planned for them
+    assert ledger._measures(spark) == names
