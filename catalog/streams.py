@@ -6,7 +6,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from catalog import query, table
-from catalog.bindings import CLEAN_LABEL, IS_ATTACK, OUTCOME, SCORE, SECONDS, broken_records, clean_sql, raw_flows, scored_events
+from catalog.bindings import CLEAN_LABEL, IS_ATTACK, LINES_CODEC, OUTCOME, SCORE, SECONDS, broken_records, clean_sql, raw_flows, scored_events
 from catalog.boosted_sql import boosted_ctes
 from catalog.detecting import RATES_SQL, _attack, _time
 from netsluice import schema
@@ -41,12 +41,12 @@ def _event_stream(spark, sf_dir):
 
 
 def _record_files(spark, sf_dir, good_ports: bool = False):
-    """Events as JSON-lines files of raw flow records."""
+    """Events as compressed JSON-lines files of raw flow records."""
     path = work_path(spark, "records")
     flows = raw_flows(spark, sf_dir, ())
     if good_ports:
         flows = flows.withColumn("Destination Port", F.expr("cast(abs(hash(`Flow Duration`)) % 60000 as string)"))
-    export_json_lines(flows, path)
+    export_json_lines(flows, path, compression=LINES_CODEC)
     return path
 
 

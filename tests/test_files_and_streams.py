@@ -319,3 +319,23 @@ def test_gate_outcome_judges_the_files_once(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "raw_rule_results", lambda df, **more: runs.append(df) or judge(df, **more))
     assert files.gate_outcome(spark, SF).where("stopped = 1").count() == 2
     assert len(runs) == 1
+
+
+@pytest.mark.parametrize(
+    ("module", "run", "folder"),
+    [("streams", "_record_files", "records"), ],
+)
+def test_wide_records_lie_compressed(spark, monkeypatch, tmp_path, module, run, folder):
+    import importlib
+
+    made = importlib.import_module(f"catalog.{module}")
+    monkeypatch.setattr("catalog.bindings.SPREAD_ROWS", 250)
+    own = iter(range(100))
+    monkeypatch.setattr(made, "work_path", lambda spark, name: f"{tmp_path}/{name}" if name == folder else f"{tmp_path}/{next(own)}")
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    getattr(made, run)(spark, SF)
+    files = [f for f in (tmp_path / folder).rglob("part-*")]
+    size = sum(f.stat().st_size for f in files)
+    assert all(f.suffix == ".gz" for f in files) and 0 < size < 450 * events
+    lines = spark.read.option("recursiveFileLookup", "true").text(f"{tmp_path}/{folder}").where("trim(value) <> '' and value not like '%Flow Duration,%'")
+    assert lines.count() == events
