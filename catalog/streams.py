@@ -134,9 +134,10 @@ def stream_raw_files(spark, sf_dir):
             "Flow IAT Min": F.expr("cast(event_id % 2 as string)"),
         }
     )
-    flows.drop("event_id").write.option("header", "true").csv(raw)
+    flows.drop("event_id").write.options(header="true", compression=LINES_CODEC).csv(raw)
     records = raw_file_stream(spark, raw, files_per_trigger=_half(spark, raw))
-    bounded(records.writeStream.format("text").outputMode("append"), work_path(spark, "checkpoint")).start(lines).awaitTermination()
+    writer = records.writeStream.format("text").option("compression", LINES_CODEC).outputMode("append")
+    bounded(writer, work_path(spark, "checkpoint")).start(lines).awaitTermination()
     cleaned = cleaned_stream(json_file_stream(spark, lines)).drop("extra")
     run_to_table(cleaned, out, work_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out).groupBy(F.col("flow_iat_min").cast("bigint").alias("file")).agg(
