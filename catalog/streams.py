@@ -50,9 +50,13 @@ def _record_files(spark, sf_dir, good_ports: bool = False):
     return path
 
 
+def _part(spark, folder, batches):
+    """Files of a batch by which the folder's files, that grow in number with the events, come in so many batches."""
+    return -(-len(spark.read.text(folder).inputFiles()) // batches)
+
+
 def _half(spark, folder):
-    """Files of a batch by which the folder's files, that grow in number with the events, come in two batches."""
-    return -(-len(spark.read.text(folder).inputFiles()) // 2)
+    return _part(spark, folder, 2)
 
 
 _SHOWN = ["flow_duration", "total_fwd_packets", "flow_bytes_s"]
@@ -193,12 +197,13 @@ def stream_scores_without_model(spark, sf_dir):
     f"""select {', '.join(f'{clean_sql(f)} as {f}' for f in _SHOWN)}, {CLEAN_LABEL} as label, event_id % 3 as delivery from events""",
 )
 def stream_resumed(spark, sf_dir):
-    """Three deliveries of records, and a run of the cleaning stage after each: every run goes on where the last one ended."""
+    """Three deliveries of records, and a run of the cleaning stage, of three batches, after each: every run goes on where the last one ended."""
     files, out, checkpoint = work_path(spark, "records"), work_path(spark, "cleaned"), work_path(spark, "checkpoint")
     for k in range(3):
         flows = raw_flows(spark, sf_dir).where(F.col("event_id") % 3 == k).withColumn("Flow IAT Min", F.lit(str(k))).drop("event_id")
-        export_json_lines(flows, f"{files}/{k}")
-        stream = cleaned_stream(json_file_stream(spark, f"{files}/*", files_per_trigger=3)).drop("extra")
+        export_json_lines(flows, f"{files}/{k}", compression=LINES_CODEC)
+        some = _part(spark, f"{files}/{k}", 3)
+        stream = cleaned_stream(json_file_stream(spark, f"{files}/*", files_per_trigger=some)).drop("extra")
         run_to_table(stream, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select(*_SHOWN, "label", F.col("flow_iat_min").cast("bigint").alias("delivery"))
 

@@ -324,7 +324,7 @@ def test_gate_outcome_judges_the_files_once(spark, monkeypatch):
 @pytest.mark.parametrize(
     ("module", "run", "folder"),
     [("streams", "_record_files", "records"), ("streams", "stream_raw_files", "raw-files"), ("streams", "stream_raw_files", "lines"),
-     ],
+     ("streams", "stream_resumed", "records"), ],
 )
 def test_wide_records_lie_compressed(spark, monkeypatch, tmp_path, module, run, folder):
     import importlib
@@ -340,3 +340,12 @@ def test_wide_records_lie_compressed(spark, monkeypatch, tmp_path, module, run,
     assert all(f.suffix == ".gz" for f in files) and 0 < size < 450 * events
     lines = spark.read.option("recursiveFileLookup", "true").text(f"{tmp_path}/{folder}").where("trim(value) <> '' and value not like '%Flow Duration,%'")
     assert lines.count() == events
+
+
+def test_three_batches_of_every_delivery(spark, tmp_path, monkeypatch):
+    from catalog import streams
+
+    monkeypatch.setattr("catalog.bindings.SPREAD_ROWS", 50)  # 20 files a delivery
+    monkeypatch.setattr(streams, "work_path", lambda spark, name: f"{tmp_path}/{name}")
+    assert streams.stream_resumed(spark, SF).groupBy("delivery").count().count() == 3
+    assert len(list((tmp_path / "checkpoint" / "commits").glob("[0-9]*"))) == 9
