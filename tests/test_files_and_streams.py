@@ -324,7 +324,7 @@ def test_gate_outcome_judges_the_files_once(spark, monkeypatch):
 @pytest.mark.parametrize(
     ("module", "run", "folder"),
     [("streams", "_record_files", "records"), ("streams", "stream_raw_files", "raw-files"), ("streams", "stream_raw_files", "lines"),
-     ("streams", "stream_resumed", "records"), ],
+     ("streams", "stream_resumed", "records"), ("modelling", "prepare_json_lines", "lines")],
 )
 def test_wide_records_lie_compressed(spark, monkeypatch, tmp_path, module, run, folder):
     import importlib
